@@ -22,5 +22,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op3_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 16 shards by hash of the id to 24 of equal bytes."""
+    from .resharding import hashed_layout, reshard
+
+    return reshard(table(spark, sf_dir, "documents"), hashed_layout(16), 16, 24)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_min_cost_flow, op5_quality, op10_token_counts)}
+
+
+def oracle_sql() -> dict[str, str]:
+    from . import quality
+
+    return {"op5_quality": quality.oracle()}
