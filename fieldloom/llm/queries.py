@@ -16,6 +16,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), size=1024, eos=0)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_counts
 
@@ -29,13 +36,20 @@ def op3_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard(table(spark, sf_dir, "documents"), hashed_layout(16), 16, 24)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_min_cost_flow, op5_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_min_cost_flow, op4_toxicity, op5_quality, op9_language, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
