@@ -10,6 +10,12 @@ from ._common import table
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -49,7 +55,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_min_cost_flow, op4_toxicity, op5_quality, op9_language, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_min_cost_flow, op4_toxicity, op5_quality, op9_language, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
