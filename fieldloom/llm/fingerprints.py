@@ -70,8 +70,10 @@ def toss(sym: np.ndarray, first: np.ndarray) -> np.ndarray:
     return label
 
 
-def level(sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the phrases that the symbols fall into, and where texts begin among them."""
+def level(sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the phrases that the symbols fall into, and where texts begin among them; the symbols
+    that stand in runs, and the text of each."""
+    repeated, owner = sym[:0], first[:0]
     keep = np.empty(len(sym), bool)  # runs of one symbol become one symbol of its own
     keep[0] = True
     np.not_equal(sym[1:], sym[:-1], out=keep[1:])
@@ -82,15 +84,19 @@ def level(sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = np.searchsorted(at, first)
         sym = sym[at]
         long = np.flatnonzero(run > 1)
+        repeated, owner = sym[long], np.searchsorted(first, long, side="right") - 1
         sym[long] = mix(sym[long] + run[long] * _U(0xA24BAED4963EE407))
     label = toss(sym, first)
-    start = np.zeros(len(sym), bool)  # a phrase starts at each local maximum of the labels
-    start[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:])
+    start = np.empty(len(sym), bool)  # a phrase starts at each local maximum of the labels
+    start[1:] = label[1:] > label[:-1]
+    falls = label[:-1] > label[1:]
+    falls[first[1:] - 1] = True  # a text's last symbol has nothing after it
+    start[:-1] &= falls
     start[first] = True
     at = np.flatnonzero(start)
     place = np.arange(len(sym)) - np.repeat(at, np.diff(at, append=len(sym)))
     names = mix(np.add.reduceat(sym * _POWER[place & 63], at))
-    return names, np.searchsorted(at, first)
+    return names, np.searchsorted(at, first), repeated, owner
 
 
 def signatures(texts: list[bytes]) -> list[np.ndarray]:
@@ -103,7 +109,9 @@ def signatures(texts: list[bytes]) -> list[np.ndarray]:
     first = np.cumsum([0] + [len(texts[i]) for i in full[:-1]])
     sym, keys = _BYTES[raw], []
     for depth in range(1, LEVELS + 1):
-        sym, first = level(sym, first)
+        sym, first, repeated, of = level(sym, first)
+        if depth > 1:  # what a run repeats counts too: runs of any length share it
+            keys.append((of.astype(_U) << _U(32)) | (mix(repeated + _U(100 + depth)) >> _U(32)))
         if depth >= FIRST:
             owner = np.repeat(np.arange(len(full), dtype=_U), np.diff(first, append=len(sym)))
             keys.append((owner << _U(32)) | (mix(sym + _U(depth)) >> _U(32)))
