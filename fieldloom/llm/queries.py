@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), size=1024, eos=0)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify, train
 
@@ -55,7 +61,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_min_cost_flow, op4_toxicity, op5_quality, op9_language, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_min_cost_flow, op4_toxicity, op5_quality, op7_sentencepiece, op9_language, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
