@@ -28,6 +28,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=5, threshold=80)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify, train
 
@@ -61,7 +67,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_min_cost_flow, op4_toxicity, op5_quality, op7_sentencepiece, op9_language, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_min_cost_flow, op4_toxicity, op5_quality, op7_sentencepiece, op8_jaccard_join, op9_language, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
