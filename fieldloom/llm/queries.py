@@ -22,6 +22,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), size=1024, eos=0)
 
 
+def op6_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivots import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode
 
@@ -67,7 +73,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_min_cost_flow, op4_toxicity, op5_quality, op7_sentencepiece, op8_jaccard_join, op9_language, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_min_cost_flow, op4_toxicity, op5_quality, op6_pivot_index, op7_sentencepiece, op8_jaccard_join, op9_language, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
