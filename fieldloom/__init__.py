@@ -1,0 +1 @@
+"""fieldloom: declarative field rules compiled to Spark columns."""
