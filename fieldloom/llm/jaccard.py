@@ -28,8 +28,8 @@ _U = np.uint64
 SKETCH_BITS, SKETCH_BLOCKS = 22, 64
 #: Bits of a shingle that travel.
 HASH_BITS = 48
-#: Documents of a tile one task joins; more are cut in chunks.
-TILE = 1024
+#: Points of a tile one task searches; sets of a tile one task joins: larger tiles are cut in chunks.
+POINTS, TILE = 8192, 1024
 #: Rows of (tile, document) a broadcast may hold; beyond it the join is a shuffle.
 MAX_BROADCAST = 1_000_000
 LEAF, FANOUT = 16, 8
@@ -109,7 +109,7 @@ def levels(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, prefix): the set's size, digest and rarest shingles."""
+    """(doc_id, n_shingles, d1, d2, prefix, point): the set's size, digest, rarest shingles and counts by group."""
     shared = docs.sparkSession.sparkContext.broadcast(levels(docs, text_col, words))  # 2 ** SKETCH_BITS bytes
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -126,13 +126,29 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int, threshold
                     order = np.lexsort((s, level[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]))[:k]
                     prefixes.append(packed(s[order] >> _U(64 - HASH_BITS)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 500), pa.array(map(len, found), pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(prefixes, pa.binary())],
-                    names=["doc_id", "n_shingles", "d1", "d2", "prefix"],
+                    [batch.column(0).slice(at, 500), pa.array(map(len, found), pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(prefixes, pa.binary()), pa.array([point_of(s, 64).tobytes() for s in found], pa.binary())],
+                    names=["doc_id", "n_shingles", "d1", "d2", "prefix", "point"],
                 )
 
         return one
 
-    return arrow_map(docs.select(id_col, text_col), make, f"doc_id {id_type}, n_shingles bigint, d1 bigint, d2 bigint, prefix binary")
+    return arrow_map(docs.select(id_col, text_col), make, f"doc_id {id_type}, n_shingles bigint, d1 bigint, d2 bigint, prefix binary, point binary")
+
+
+def group_bits(n: int) -> int:
+    """Groups for a set of n shingles, as a power of two: about five shingles a group."""
+    return min(12, max(4, int(np.ceil(np.log2(max(n / 5, 1))))))
+
+
+def point_of(s: np.ndarray, width: int, bits: int | None = None) -> np.ndarray:
+    """The counts of a set's shingles by hash group."""
+    bits = group_bits(len(s)) if bits is None else bits
+    return np.bincount((s >> _U(width - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+
+
+def folded(point: np.ndarray, size: int) -> np.ndarray:
+    """The same counts over fewer groups."""
+    return point.reshape(size, -1).sum(1, dtype=np.uint16)
 
 
 class RTree:
@@ -183,9 +199,40 @@ class RTree:
 
 
 def counts_of(sets: list[np.ndarray]) -> np.ndarray:
-    """Points: shingles by hash group, a power of two of groups, about five shingles a group."""
-    bits = min(12, max(4, int(np.ceil(np.log2(max(max(map(len, sets)) / 5, 1))))))
-    return np.stack([np.bincount((s >> _U(HASH_BITS - bits)).astype(np.int64), minlength=1 << bits) for s in sets]).astype(np.uint16)
+    bits = group_bits(max(map(len, sets)))
+    return np.stack([point_of(s, HASH_BITS, bits) for s in sets])
+
+
+def candidate_groups(sizes: np.ndarray, points: list[np.ndarray], threshold: int) -> np.ndarray:
+    """For each point the least index it is tied to by pairs that the bound lets pass; itself if none.
+
+    Sets that can link differ in size by the threshold at most, so in their groups by one power of
+    two: each tree holds the points of one number of groups and, folded, of the next.
+    """
+    bits = np.array([len(p).bit_length() - 1 for p in points])
+    parent = list(range(len(points)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    steps = 1 if threshold >= 50 else 12
+    for b in sorted(set(bits.tolist())):
+        own = np.flatnonzero(bits == b)
+        pool = np.concatenate([own, np.flatnonzero((bits > b) & (bits <= b + steps))])
+        if len(pool) < 2:
+            continue
+        stack = np.stack([folded(points[i], 1 << b) for i in pool])
+        tree = RTree(stack, sizes[pool])
+        for k in range(len(own)):
+            a = root(int(own[k]))
+            for j in pool[tree.near(stack[k], int(sizes[own[k]]), threshold)].tolist():
+                c = root(j)
+                if c != a:
+                    parent[max(a, c)] = a = min(a, c)
+    return np.array([root(i) for i in range(len(points))])
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -299,15 +346,41 @@ def tile_members(classes: DataFrame) -> DataFrame:
     return pairs.select("leader", "node", "rep").unionByName(own)
 
 
+def passed(members: DataFrame, points: DataFrame, threshold: int) -> DataFrame:
+    """members without those whom the bound leaves no partner in their tile; the rest in tiles of the
+    groups that it ties together, named by their least node. Tiles above POINTS stay as they are."""
+    large = members.groupBy("leader").count().where(F.col("count") > POINTS).select("leader")
+    large = written(large, "large")
+    schema = "leader bigint, node bigint, rep bigint"
+
+    def tile(table: pa.Table):
+        nodes, reps = table.column("node").to_pylist(), table.column("rep").to_pylist()
+        found = [np.frombuffer(p, np.uint16) for p in table.column("point").to_pylist()]
+        groups = candidate_groups(np.array(table.column("n_shingles").to_pylist(), np.int64), found, threshold)
+        least: dict[int, int] = {}
+        count = np.bincount(groups, minlength=len(nodes))
+        for i, g in enumerate(groups.tolist()):
+            least[g] = min(nodes[i], least.get(g, nodes[i]))
+        for i, g in enumerate(groups.tolist()):
+            if count[g] > 1:
+                yield least[g], nodes[i], reps[i]
+
+    small = members if large.isEmpty() else members.join(large, "leader", "left_anti")
+    rows = small.join(points, "node").select(F.col("leader").alias("k1"), "node", "rep", "n_shingles", "point")
+    out = arrow_map(rows.repartition("k1").sortWithinPartitions("k1", "node"), _tiles(tile, schema), schema)
+    return (out if large.isEmpty() else out.unionByName(members.join(large, "leader", "left_semi").select("leader", "node", "rep"))).distinct()
+
+
 def links(docs: DataFrame, words: int = 5, threshold: int = 80, every: bool = False, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, pairs). rows: (doc_id, n_shingles, d1, d2); classes: (node, rep, d1, d2, n_shingles, copies), one
     for each distinct set; pairs: (a, b, overlap), linked nodes a < b — all with `every`, else enough to connect them."""
     rows = written(described(docs, id_col, text_col, words, threshold), "sets")
     # equal sets collapse before anything is compared: a group of copies is one node
-    classes = rows.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
+    classes = rows.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), F.first("point").alias("point"))
     classes = written(classes.withColumn("node", F.col("d1")), "classes")
     usable = classes.where("rep is not null")
     members = tile_members(usable.select("node", F.col("rep").cast("long").alias("rep"), "n_shingles", "prefix"))
+    members = written(passed(members, usable.select("node", "n_shingles", "point"), threshold), "passed")
     sizes = members.groupBy("leader").count().where(F.col("count") > TILE).select("leader", F.ceil(F.col("count") / TILE).cast("int").alias("chunks"))
     sizes = written(sizes, "large-tiles")
     if sizes.isEmpty():
@@ -319,7 +392,7 @@ def links(docs: DataFrame, words: int = 5, threshold: int = 80, every: bool = Fa
     found = written(_joined(_with_sets(docs, members.select(F.col("leader").alias("k1"), F.col("chunk").alias("k2"), F.lit(0).alias("k3"), "node", "rep", F.lit(0).cast("long").alias("side"), F.lit(0).cast("long").alias("given")), words, id_col, text_col), threshold, every), "links")
     if not sizes.isEmpty():
         found = found.unionByName(_across(docs, members, found, words, threshold, every, id_col, text_col))
-    return rows.select("doc_id", "n_shingles", "d1", "d2"), classes.drop("prefix"), found.distinct()
+    return rows.select("doc_id", "n_shingles", "d1", "d2"), classes.drop("prefix", "point"), found.distinct()
 
 
 def _across(docs, members, found, words, threshold, every, id_col, text_col) -> DataFrame:
