@@ -22,7 +22,7 @@ from fieldloom.llm.toxicity import keep_clean, train
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose hierarchical empirical Bayes score is at least one half."""
+    """Documents whose hierarchical empirical Bayes score is at least 0.2."""
     ready(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 

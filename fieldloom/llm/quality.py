@@ -49,7 +49,7 @@ class Evidence:
         known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
         rows = bins.join(known, "doc_id").select("good", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f"__fl_bins.{f}").alias("b")) for f in FEATURES))).alias("x"))
         counts = {(r["good"], r["f"], r["b"]): r["count"] for r in rows.groupBy("good", "x.f", "x.b").count().collect()}
-        size = [sum(n for (g, f, _), n in counts.items() if g == kind and f == "words") for kind in (False, True)]
+        size = [sum(n for (g, f, _), n in counts.items() if g == kind and f == next(iter(FEATURES))) for kind in (False, True)]
         ratios = {f: {b: math.log((counts.get((True, f, b), 0) + 1) / (size[1] + BINS)) - math.log((counts.get((False, f, b), 0) + 1) / (size[0] + BINS)) for b in range(1, BINS + 1)} for f in FEATURES}
         return cls(size[1], size[0], ratios)
 
@@ -122,7 +122,7 @@ def _scored(df: DataFrame, evidence: Evidence, site_table: DataFrame) -> DataFra
     return _joined(df.withColumn("__fl_ratio", evidence.ratio()), site_table).withColumn("__fl_score", 1 / (1 + F.exp(-(F.col("__fl_ratio") + F.log(rate / (1 - rate))))))
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, site_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.2, site_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, host, path, evidence, host_rate, path_rate, score, keep) of every row.
 
     Evidence is a naive Bayes ratio over text features, counted from all labelled documents. Each
@@ -141,7 +141,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, site_col
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, site_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.2, site_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they were, that quality() keeps; texts are read again, not shuffled, while the sites fit a broadcast."""
     _, evidence, site_table = _fitted(docs, labels, site_col, path_col, id_col, text_col)
     host, path = site_columns(docs, site_col, path_col)
@@ -149,7 +149,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, site_c
     return _scored(made, evidence, site_table).where(F.col("__fl_score") >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def oracle(threshold: float = 0.5) -> str:
+def oracle(threshold: float = 0.2) -> str:
     """DuckDB SQL of quality() over documents and labels."""
     names = list(FEATURES)
     bins = ", ".join(f"{_bin(sql)} AS {f}" for f, (_, sql) in FEATURES.items())
