@@ -27,6 +27,7 @@ SPACE = "▁"
 CACHE = 600_000
 #: Chunks above this length are streamed one character at a time instead of side by side.
 SIDE_BY_SIDE = 48
+BASE, SPREAD, MASK = 0x100000001B3, 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 class Model:
@@ -60,6 +61,28 @@ class Model:
         self.cut_spaces = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.index)
         self.cut_lines = not any("\n" in p for p in self.index)
         self.pairs: dict[int, bool] = {}
+        # pieces by hash, for looking up many substrings at once
+        hashes = {self._hash(p): i for p, i in self.index.items()}
+        self.keys = np.array(sorted(hashes), np.uint64)
+        self.ids = np.array([hashes[k] for k in sorted(hashes)], np.int64)
+        self.exact = len(hashes) == len(self.index)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * BASE + ord(c) + 1) & MASK
+        return (h * SPREAD) & MASK
+
+    def look_up(self, hashes: np.ndarray) -> np.ndarray:
+        """Piece ids of hashed substrings, -1 where there is none."""
+        out = np.full(len(hashes), -1, np.int64)
+        hit = np.flatnonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, hashes[hit]), len(self.keys) - 1)
+        out[hit] = np.where(self.keys[at] == hashes[hit], self.ids[at], -1)
+        return out
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: the best-scored joinable neighbours first, the leftmost of equals."""
@@ -79,7 +102,7 @@ class Model:
         """Whether piece b may follow piece a (-1: the text's start, or a character without piece)."""
         if b < 0:
             return True
-        key = (a + 1) * len(self.pieces) + b
+        key = (a + 1) * (len(self.pieces) + 1) + b + 1
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > CACHE:
@@ -192,18 +215,24 @@ class Encoder:
         came = np.zeros((n + 1, count), np.int64)
         last[0] = -1
         words = [c.replace(" ", SPACE) for c in chunks]
-        get, size = m.index.get, len(m.pieces)
+        size = len(m.pieces) + 1
+        cp = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(count, n).astype(np.uint64)
+        head = np.zeros((n + 1, count), np.uint64)
+        for i in range(n):
+            head[i + 1] = head[i] * np.uint64(BASE) + cp[:, i] + np.uint64(1)
         for end in range(1, n + 1):
             open_ = np.ones(count, bool)
             for start in range(max(0, end - m.longest), end):
-                piece = np.fromiter((get(w[start:end], -1) for w in words), np.int64, count)
-                idx = np.flatnonzero(open_ & (last[start] > -2) & ((piece >= 0) | (end - start == 1)))
+                idx = np.flatnonzero(open_ & (last[start] > -2))
+                piece = m.look_up((head[end, idx] - head[start, idx] * np.uint64(pow(BASE, end - start, 1 << 64))) * np.uint64(SPREAD))
+                if end - start > 1:
+                    idx, piece = idx[piece >= 0], piece[piece >= 0]
                 if not len(idx):
                     continue
-                keys, inverse = np.unique((last[start, idx] + 1) * (size + 1) + piece[idx] + 1, return_inverse=True)
-                fits = np.fromiter((m.allowed(k // (size + 1) - 1, k % (size + 1) - 1) for k in keys.tolist()), bool, len(keys))[inverse]
-                idx = idx[fits]
-                last[end, idx], came[end, idx] = piece[idx], start
+                keys, inverse = np.unique((last[start, idx] + 1) * size + piece + 1, return_inverse=True)
+                fits = np.array([known if (known := m.pairs.get(k)) is not None else m.allowed(k // size - 1, k % size - 1) for k in keys.tolist()], bool)[inverse]
+                idx, piece = idx[fits], piece[fits]
+                last[end, idx], came[end, idx] = piece, start
                 open_[idx] = False
         out = []
         last, came = last.T.tolist(), came.T.tolist()
@@ -221,7 +250,7 @@ class Encoder:
         groups: dict[int, list[str]] = {}
         for c in chunks:
             if c not in self.known:
-                if self.model.kind == "bpe" and len(c) <= SIDE_BY_SIDE:
+                if self.model.kind == "bpe" and self.model.exact and len(c) <= SIDE_BY_SIDE:
                     groups.setdefault(len(c), []).append(c)
                 else:
                     self.known[c] = np.fromiter(stream(self.model, c.replace(" ", SPACE)), "<u4").tobytes()
