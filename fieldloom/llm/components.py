@@ -19,7 +19,7 @@ def components(stars: DataFrame) -> DataFrame:
     ties = written(ties, "ties")
     edges = ties.where("size(roots) > 1").select("root", F.explode("roots").alias("b")).where("root <> b").select(F.col("root").alias("a"), "b")
     # a root may itself be tied to a smaller one
-    chained = ties.select(F.col("root").alias("b")).distinct().join(ties.select(F.col("node").alias("b"), F.col("root").alias("a")), "b").select("a", "b")
+    chained = ties.select(F.explode("roots").alias("b")).distinct().join(ties.select(F.col("node").alias("b"), F.col("root").alias("a")), "b").select("a", "b")
     edges = written(edges.unionByName(chained).distinct(), "edges")
     if edges.isEmpty():
         return ties.select("node", "root")
