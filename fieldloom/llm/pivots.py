@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, functions as F
 from ._common import arrow_map, written
 from .components import components
 
-PREFIX, ROUTE, SHARED = 8, 4, 4
+PREFIX, ROUTE, SHARED = 8, 4, 3
 #: Vectors a posting list is meant to hold; pivots grow with the vectors so that it stays so.
 LIST = 256
 #: Pivots at least and at most, and the bounded sample they are drawn from.
-FEWEST, MOST, SAMPLE = 64, 4096, 8192
+FEWEST, MOST, SAMPLE = 64, 1024, 8192
+#: Cosine above which two pivots are too much alike.
+APART = 0.7
 #: Vectors of a list one task compares; longer lists are compared in blocks.
 BLOCK = 1024
 
@@ -33,13 +35,17 @@ def unit(raw: np.ndarray) -> np.ndarray:
 
 
 def choose(sample: np.ndarray, count: int) -> np.ndarray:
-    """Spread pivots: each next one is the sample vector least like those chosen so far."""
-    if len(sample) <= count:
-        return sample
+    """Spread pivots: each next one is the sample vector least like those chosen so far.
+
+    It ends early where none is left under APART: pivots that near each other would be ordered by
+    noise alone.
+    """
     chosen = [0]
     best = sample @ sample[0]
     while len(chosen) < count:
         i = int(best.argmin())
+        if best[i] > APART:
+            break
         chosen.append(i)
         best = np.maximum(best, sample @ sample[i])
     return sample[chosen]
@@ -141,7 +147,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     # block pairs (i, j), i <= j: a block meets each block once
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     blocks = blocks.withColumn("pair", F.explode(pair)).select("label", "vec_id", "embedding", "copies", "pivots", "pivot", "block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
-    least = min(SHARED, count)
+    least = min(SHARED, len(pivots))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j, pivot = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["pivot"].iloc[0])
