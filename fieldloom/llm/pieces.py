@@ -263,7 +263,7 @@ class Encoder:
         """Little-endian 32-bit ids of each text. An empty text has none; any other gets a space before it."""
         if self.chunks is None:
             return [np.fromiter(stream(self.model, f" {t}".replace(" ", SPACE)), "<u4").tobytes() if t else b"" for t in texts]
-        cut = [self.chunks.findall(f" {t}") if t else [] for t in texts]
+        cut = [self.chunks.findall(f" {t}".replace(SPACE, " ")) if t else [] for t in texts]
         self.learn(set().union(*cut))
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
