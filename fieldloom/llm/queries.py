@@ -77,6 +77,6 @@ QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_min_cost_f
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import quality
+    from . import oracles, quality
 
-    return {"op5_quality": quality.oracle()}
+    return {"op5_quality": quality.oracle(), "op6_pivot_index": oracles.COSINE, "op8_jaccard_join": oracles.JACCARD}
