@@ -66,6 +66,8 @@ class Shingler:
     def sets(self, texts: pa.Array) -> list[np.ndarray]:
         """A sorted array of distinct hashes for each text; of null or no words an empty one."""
         out: list[np.ndarray] = []
+        if not len(texts):
+            return out
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.empty(0, np.uint8)
         at = 0

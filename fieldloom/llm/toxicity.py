@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import arrow_map, fold, written
+from .shingles import Shingler, mix
 
 DECAY = 0.6
 #: Symbols: 26 letters, 10 classes of other characters, digits, signs, start, end.
@@ -263,6 +264,20 @@ def fit(toxic: list[Counter], clean: list[Counter]) -> Machine:
     return machine
 
 
+def first_of_kin(texts: list[str]) -> list[bool]:
+    """Whether a text is the first to hold its least word shingles, by any of three hashes.
+
+    A family of copies would count as many witnesses for whatever its texts share; one is enough.
+    """
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for s in Shingler().sets(pa.array(texts, pa.string())):
+        keys = {(k, int((mix(s ^ np.uint64(k * 0x9E3779B9)) if k else s).min())) for k in range(3)} if len(s) else set()
+        out.append(seen.isdisjoint(keys))
+        seen |= keys
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """Fits on a bounded sample of labelled rows outside the held-out fold: FIT_TOXIC and FIT_CLEAN
     ids in hash order, of at most FIT_CHARS characters each."""
@@ -272,6 +287,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int =
     ids = written(ids, "toxic-ids")  # FIT_TOXIC + FIT_CLEAN rows at most: may be broadcast
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.char_length("text") <= FIT_CHARS)
     rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(FIT_TOXIC + FIT_CLEAN).collect()
+    rows = [r for r, first in zip(rows, first_of_kin([r["text"] for r in rows])) if first]
     return fit([units_of(r["text"]) for r in rows if r["toxic"]], [units_of(r["text"]) for r in rows if not r["toxic"]])
 
 
