@@ -264,8 +264,11 @@ class Tagger:
         if len(ids):
             gamma, _, _ = forward_backward(self.table[ids].astype(float), lengths, self.field.step, self.field.start)
             of = np.repeat(owner, lengths)
+            # a word that a text repeats n times weighs as the root of n: boilerplate does not outvote prose
+            _, back, often = np.unique(of * len(self.table) + ids, return_inverse=True, return_counts=True)
+            weight = often[back] ** -0.5
             for s in range(share.shape[1]):
-                share[:, s] = np.bincount(of, gamma[:, s], len(texts))
+                share[:, s] = np.bincount(of, gamma[:, s] * weight, len(texts))
         total = share.sum(1)
         best = share.argmax(1)
         return [self.field.states[b] if n else UND for b, n in zip(best, total)], [float(min(1.0, share[i, b] / n)) if n else 0.0 for i, (b, n) in enumerate(zip(best, total))]
@@ -274,7 +277,8 @@ class Tagger:
 def identify(docs: DataFrame, field: Field, modulus: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row: one map, no shuffle; whole texts.
 
-    lang_pred is the state with most expected words, score its share of them. A text that is null
+    lang_pred is the state with most expected words, score its share of them; a word that a text
+    holds n times weighs as the root of n. A text that is null
     or has no letter: `und`, 0. A null id is in no fold (held_out false); repeated rows are each
     told; an empty table gives no rows; other columns aren't read. Ties go to the first state by name.
     """
