@@ -25,7 +25,9 @@ from .shingles import Shingler, mix
 
 _U = np.uint64
 #: Cells of the table that tells common shingles from rare ones: a fixed 2 ** SKETCH_BITS bytes at the driver.
-SKETCH_BITS, SKETCH_BLOCKS = 22, 64
+SKETCH_BITS, SKETCH_BLOCKS = 22, 16
+#: Tables of partitions are added up in so many groups, then fewer: no task gets all of them.
+SKETCH_GROUPS = (1024, 32, 1)
 #: Bits of a shingle that travel.
 HASH_BITS = 48
 #: Points of a tile one task searches; sets of a tile one task joins: larger tiles are cut in chunks.
@@ -87,7 +89,7 @@ def levels(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
                 if cells.any():
                     part = TaskContext.get().partitionId()
                     raw = [zlib.compress(cells[b * block : (b + 1) * block].tobytes(), 1) for b in range(SKETCH_BLOCKS)]
-                    yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([part % 16] * SKETCH_BLOCKS, pa.int32()), pa.array(raw, pa.binary())], names=["block", "part", "cells"])
+                    yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([part] * SKETCH_BLOCKS, pa.int32()), pa.array(raw, pa.binary())], names=["block", "part", "cells"])
 
         return Count()
 
@@ -96,11 +98,12 @@ def levels(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
         for raw in pdf["cells"]:
             got = zlib.decompress(raw)
             total += np.frombuffer(got, np.uint32 if len(got) == 4 * block else np.uint64)
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "part": [0], "cells": [zlib.compress(total.tobytes(), 1)]})
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "part": [int(pdf["part"].iloc[0])], "cells": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "block int, part int, cells binary"
     counted = arrow_map(docs.select(text_col), make, schema)
-    counted = counted.groupBy("block", "part").applyInPandas(summed, schema).groupBy("block").applyInPandas(summed, schema)
+    for groups in SKETCH_GROUPS:
+        counted = counted.withColumn("part", F.col("part") % groups).groupBy("block", "part").applyInPandas(summed, schema)
     out = np.zeros(size, np.uint8)
     for r in counted.toLocalIterator():  # SKETCH_BLOCKS rows
         counts = np.frombuffer(zlib.decompress(r["cells"]), np.uint64).astype(float)
