@@ -28,6 +28,8 @@ WINDOW = 24
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1500, 2500, 20_000
 #: Landmarks of either side, rounds of fitting, the G statistic from which a letter run names units.
 LANDMARKS, ROUNDS, WITNESS = 96, 5, 15.0
+#: The score at which a text is as likely toxic as not.
+EVEN = 0.7
 #: Units a worker remembers before it starts afresh.
 CACHE = 800_000
 SPACED = regex.compile(r"(?<!\S)\w(?:[ \t]\w){3,}(?!\S)")
@@ -261,6 +263,7 @@ def fit(toxic: list[Counter], clean: list[Counter]) -> Machine:
     machine.known = frozenset(often)
     x = np.array(x)
     machine.layer = logistic(x, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
+    machine.layer[-1] += math.log(EVEN / (1 - EVEN))
     return machine
 
 
