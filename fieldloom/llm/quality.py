@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ._common import written
 
-#: Evidence features: name -> (Spark SQL, DuckDB SQL), whole numbers; `t` is the text, `n` its
-#: characters, `w` its blank-separated words. Their bin is the bit length, at most BINS.
+#: Evidence features: name -> (Spark SQL, DuckDB SQL), whole numbers; {t} is the text, {n} its
+#: characters, {w} its blank-separated words. Their bin is the bit length, at most BINS.
 FEATURES = {
-    "symbols": ("1000L * regexp_count(t, '[#$%&*!|]') div greatest(n, 1)", "1000 * len(regexp_extract_all(t, '[#$%&*!|]')) // greatest(n, 1)"),
-    "capitals": ("1000L * regexp_count(t, '[A-Z]') div greatest(n, 1)", "1000 * len(regexp_extract_all(t, '[A-Z]')) // greatest(n, 1)"),
-    "digits": ("1000L * regexp_count(t, '[0-9]') div greatest(n, 1)", "1000 * len(regexp_extract_all(t, '[0-9]')) // greatest(n, 1)"),
-    "repeats": ("1000L * (size(w) - size(array_distinct(w))) div size(w)", "1000 * (len(w) - len(list_distinct(w))) // len(w)"),
-    "word_length": ("cast(power(2, least(n div size(w), 14)) as bigint)", "cast(power(2, least(n // len(w), 14)) as bigint)"),
-    "words": ("cast(size(w) as bigint)", "cast(len(w) as bigint)"),
+    "symbols": ("1000L * regexp_count({t}, '[#$%&*!|]') div greatest({n}, 1)", "1000 * len(regexp_extract_all({t}, '[#$%&*!|]')) // greatest({n}, 1)"),
+    "capitals": ("1000L * regexp_count({t}, '[A-Z]') div greatest({n}, 1)", "1000 * len(regexp_extract_all({t}, '[A-Z]')) // greatest({n}, 1)"),
+    "digits": ("1000L * regexp_count({t}, '[0-9]') div greatest({n}, 1)", "1000 * len(regexp_extract_all({t}, '[0-9]')) // greatest({n}, 1)"),
+    "repeats": ("1000L * (size({w}) - size(array_distinct({w}))) div size({w})", "1000 * (len({w}) - len(list_distinct({w}))) // len({w})"),
+    "stutter": ("1000L * size(filter({w}, (x, i) -> i > 0 and x = {w}[i - 1])) div size({w})", "1000 * len(list_filter({w}, lambda x, i: i > 1 AND x = {w}[i - 1])) // len({w})"),
+    "word_length": ("cast(power(2, least({n} div size({w}), 14)) as bigint)", "cast(power(2, least({n} // len({w}), 14)) as bigint)"),
+    "words": ("cast(size({w}) as bigint)", "cast(len({w}) as bigint)"),
 }
 BINS = 16
 #: Sites a broadcast may hold; beyond it the join is salted.
@@ -31,12 +32,12 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with a struct column __fl_bins of the binned features."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     made = docs.withColumn("__fl", F.struct(text.alias("t"), F.char_length(text).cast("long").alias("n"), F.split(text, " ").alias("w")))
-    fields = [F.expr(_bin(spark_sql.replace("(t,", "(__fl.t,").replace("(w)", "(__fl.w)").replace("(n,", "(__fl.n,").replace("(n div", "(__fl.n div"))).alias(name) for name, (spark_sql, _) in FEATURES.items()]
+    fields = [F.expr(_bin(sql.format(t="__fl.t", n="__fl.n", w="__fl.w"))).alias(name) for name, (sql, _) in FEATURES.items()]
     return made.withColumn("__fl_bins", F.struct(*fields)).drop("__fl")
 
 
 class Evidence:
-    """Naive Bayes log-likelihood ratios of the binned features (at most 6 x 16 numbers), and the labels' prior."""
+    """Naive Bayes log-likelihood ratios of the binned features (BINS numbers a feature), and the labels' prior."""
 
     def __init__(self, good: int, bad: int, ratios: dict[str, dict[int, float]]):
         self.good, self.bad, self.ratios = good, bad, ratios
@@ -152,7 +153,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.2, site_c
 def oracle(threshold: float = 0.2) -> str:
     """DuckDB SQL of quality() over documents and labels."""
     names = list(FEATURES)
-    bins = ", ".join(f"{_bin(sql)} AS {f}" for f, (_, sql) in FEATURES.items())
+    bins = ", ".join(f"{_bin(sql.format(t='t', n='n', w='w'))} AS {f}" for f, (_, sql) in FEATURES.items())
     unpivot = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS f, {f} AS b FROM bins" for f in names)
     ratio = " + ".join(f"(SELECT coalesce(max(r), (SELECT ln(1 / (g + {BINS}.0)) - ln(1 / (b + {BINS}.0)) FROM size)) FROM ratios WHERE f = '{f}' AND ratios.b = bins.{f})" for f in names)
     return f"""
