@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -38,6 +39,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; only where that is unset, one of our own (single machine)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="fieldloom-")
         atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
