@@ -25,8 +25,9 @@ LIST = 256
 FEWEST, MOST, SAMPLE = 64, 1024, 8192
 #: Cosine above which two pivots are too much alike.
 APART = 0.7
-#: Vectors of a list one task compares; longer lists are compared in blocks.
-BLOCK = 1024
+#: Longer lists are compared block against block, of so many vectors at least and at most; in between
+#: a block grows as STRETCH times the root of its list, so that copies for blocks stay few.
+BLOCK, LARGEST, STRETCH = 256, 16384, 8
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -142,7 +143,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     vector_type = distinct.schema["embedding"].dataType.simpleString()
     posted = arrow_map(distinct.select("label", "vec_id", "embedding", "copies"), make, f"label {label_type}, vec_id bigint, embedding {vector_type}, copies bigint, pivots array<int>, pivot int")
     posted = written(posted, "posted")
-    lists = written(posted.groupBy("label", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "lists")
+    lists = written(posted.groupBy("label", "pivot").agg(F.count("*").alias("n")).select("label", "pivot", F.ceil(F.col("n") / F.least(F.lit(float(LARGEST)), F.greatest(F.lit(float(BLOCK)), STRETCH * F.sqrt("n")))).cast("int").alias("blocks")), "lists")
     blocks = posted.join(lists, ["label", "pivot"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     # block pairs (i, j), i <= j: a block meets each block once
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))

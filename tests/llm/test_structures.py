@@ -198,6 +198,7 @@ def test_pivots_against_brute_force(spark):
 
 def test_lists_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(pivots, "BLOCK", 16)
+    monkeypatch.setattr(pivots, "STRETCH", 1)
     rng = np.random.default_rng(0)
     base = rng.normal(size=(3, 8))
     rows = [(i, [float(v) for v in base[i % 3] + rng.normal(size=8) * 0.02], 7) for i in range(150)]
