@@ -94,13 +94,14 @@ def windows(unit: str) -> list[str]:
 
 
 def grouped(units: list[str]):
-    """Indices and symbol rows of units of one length, at most 2048 at a time."""
+    """Indices and symbol rows of units of one length, so many that their triples stay few megabytes."""
     by: dict[int, list[int]] = {}
     for at, u in enumerate(units):
         by.setdefault(len(u), []).append(at)
-    for idx in by.values():
-        for a in range(0, len(idx), 2048):
-            part = idx[a : a + 2048]
+    for n, idx in by.items():
+        step = max(64, 500_000 // (1 + math.comb(n + 2, 3)))
+        for a in range(0, len(idx), step):
+            part = idx[a : a + step]
             yield part, symbols([units[x] for x in part])
 
 
@@ -123,7 +124,7 @@ class Machine:
         out = np.full(len(units), -1.0)
         for part, s in grouped(units):
             if s.shape[1] >= 5:  # two letters or fewer say nothing
-                raw = (self.weights[codes(s)] * triples(s.shape[1])[3]).sum(1)
+                raw = self.weights[codes(s)] @ triples(s.shape[1])[3]
                 out[part] = raw / np.sqrt(np.maximum(self_kernel(s), 1e-12)) + self.bias
         return out
 
@@ -146,13 +147,15 @@ def units_of(text: str | None) -> Counter:
 
 def nystrom(units: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature rows K(x, L) K(L, L)^-1/2, the root, and the landmarks' tables."""
-    tables = np.stack([feature_table(u) for u in landmarks])
+    tables = np.empty((len(landmarks), SYMBOLS**3), np.float32)
+    for m, u in enumerate(landmarks):
+        tables[m] = feature_table(u)
     gram = np.zeros((len(units), len(landmarks)))
     for part, s in grouped(units):
         c, w, norm = codes(s), triples(s.shape[1])[3], np.sqrt(np.maximum(self_kernel(s), 1e-12))
         for m, t in enumerate(tables):
-            gram[part, m] = (t[c] * w).sum(1) / norm
-    value, vector = np.linalg.eigh(tables @ tables.T)
+            gram[part, m] = t[c] @ w / norm
+    value, vector = np.linalg.eigh((tables @ tables.T).astype(float))
     root = vector @ np.diag(np.where(value > 1e-6, 1 / np.sqrt(np.maximum(value, 1e-6)), 0)) @ vector.T
     return gram @ root, root, tables
 
@@ -213,9 +216,11 @@ def fit(toxic: list[Counter], clean: list[Counter]) -> Machine:
     sizes = [len(clean), len(toxic)]
     grams = lambda u: {f"^{u}$"[i : i + k] for k in (4, 5) for i in range(len(u) + 3 - k)}
     own, runs = [[Counter(u for d in side for u in d) for side in bags], [Counter(), Counter()]]
-    for side, count in zip(bags, runs):
-        for d in side:
-            count.update(set().union(*map(grams, d)) if d else ())
+    for d in bags[1]:
+        runs[1].update(set().union(*map(grams, d)) if d else ())
+    runs[1] = Counter({g: n for g, n in runs[1].items() if n > 3})  # fewer texts cannot pass the test below
+    for d in bags[0]:
+        runs[0].update(g for g in set().union(*map(grams, d)) if g in runs[1]) if d else None
 
     def telling(key: str) -> bool:
         """Whether toxic texts hold the run at over three times the clean ones' share, by a G-test."""
@@ -247,7 +252,8 @@ def fit(toxic: list[Counter], clean: list[Counter]) -> Machine:
         weight = np.array([*(chosen[u] for u in good), *(max(own[0][u], 1) for u in neg)], float) ** 0.5
         weight[y > 0] *= weight[y < 0].sum() / weight[y > 0].sum()
         w = svm(z, y, weight)
-        machine = Machine((root @ w[:-1]) @ tables, w[-1])
+        machine = Machine((root @ w[:-1]).astype(np.float32) @ tables, w[-1])
+        del z, tables
         value = dict(zip(everything, machine.units(everything).tolist()))
         worst = {u for d in bags[0] for u in heapq.nlargest(2, d, key=lambda u: (value[u], u))}
         hard = sorted({*worst, *hard}, key=lambda u: (-value[u], u))[:2000]
