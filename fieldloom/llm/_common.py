@@ -8,7 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,10 @@ from pyspark.sql import types as T
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: An Arrow batch ends at so many rows or bytes, whichever comes first: texts can be long.
 BATCH_ROWS, BATCH_BYTES = 5000, "16m"
+#: A key with over 1/HEAVY of all rows is joined by broadcast: there are fewer than HEAVY of those.
+HEAVY = 1024
+#: A key of so few rows is no burden to any task.
+HEAVY_ROWS = 1000
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -51,7 +55,78 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     path = f"{scratch_root(df.sparkSession)}/fieldloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._fieldloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more; other DataFrames are left alone."""
+    for t in tables:
+        if path := getattr(t, "_fieldloom_path", None):
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def joined(many: DataFrame, few: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """many joined with few, one row a key, whose `weight` says how many rows of many have that key.
+
+    Keys that hold over 1/HEAVY of all rows, fewer than HEAVY of them, are broadcast; the rest meets in
+    a shuffle, in which no key is hot then. `few` must be cheap to read again. how: inner or left.
+    """
+    total = few.agg(F.sum(weight)).first()[0] or 0
+    limit = max(HEAVY_ROWS, total // HEAVY)
+    heavy = few.where(F.col(weight) > limit).drop(weight)  # weights add up to total: fewer than HEAVY rows
+    light = few.where(F.col(weight) <= limit).drop(weight)
+    if heavy.isEmpty():
+        return many.join(light, keys, how)
+    top = many.join(F.broadcast(heavy), keys)
+    rest = many.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)
+    return top.unionByName(rest)
+
+
+def tiles(make_rows: Callable[[pa.Table], Iterable], schema: pa.Schema) -> Callable:
+    """For arrow_map over rows sorted by their key columns k*: make_rows on all rows of each key."""
+
+    class Tiles:
+        def __init__(self):
+            self.held: list[pa.RecordBatch] = []
+
+        def __call__(self, batch: pa.RecordBatch):
+            keys = [c for c in batch.schema.names if re.fullmatch(r"k\d*", c)]
+            values = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+            cut = [i for i in range(1, len(values)) if values[i] != values[i - 1]]
+            if self.held:
+                last = self.held[-1]
+                if tuple(last.column(c)[last.num_rows - 1].as_py() for c in keys) != values[0]:
+                    cut = [0, *cut]
+            rows: list = []
+            at = 0
+            for c in cut:
+                self.held.append(batch.slice(at, c - at))
+                rows += self.flush()
+                at = c
+                if len(rows) >= BATCH_ROWS:
+                    yield self.batch(rows)
+                    rows = []
+            self.held.append(batch.slice(at))
+            if rows:
+                yield self.batch(rows)
+
+        def flush(self) -> list:
+            table = pa.Table.from_batches([b for b in self.held if b.num_rows])
+            self.held = []
+            return list(make_rows(table)) if table.num_rows else []
+
+        def batch(self, rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+        def finish(self):
+            if self.held and (rows := self.flush()):
+                yield self.batch(rows)
+
+    return Tiles
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], object]], schema: str | T.StructType) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import written
+from ._common import discard, joined, written
 
 
 def components(stars: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def components(stars: DataFrame) -> DataFrame:
         return ties.select("node", "root")
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c"))
-    labels = written(labels, "labels")
+    before = labels = written(labels, "labels")
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("near")).withColumnRenamed("a", "v")
         step = labels.join(near, "v").select("v", "c", F.least("c", "near").alias("n"))
@@ -35,9 +35,12 @@ def components(stars: DataFrame) -> DataFrame:
         step = written(step, "step")
         jumped = step.join(step.select(F.col("v").alias("n"), F.col("n").alias("far")), "n", "left").select("v", F.col("c").alias("old"), F.least("n", F.coalesce("far", "n")).alias("c"))
         jumped = written(jumped, "labels")
-        labels = jumped.select("v", "c")
+        discard(step, before)
+        before, labels = jumped, jumped.select("v", "c")
         if jumped.where("c < old").isEmpty():
             break
+    discard(edges, both)
     named = ties.select("node", "root").unionByName(labels.select(F.col("v").alias("node"), F.col("v").alias("root")))
-    named = named.groupBy("node").agg(F.min("root").alias("root"))
-    return named.join(labels.select(F.col("v").alias("root"), "c"), "root", "left").select("node", F.least("root", F.coalesce("c", "root")).alias("root")).where("node <> root")
+    named = written(named.groupBy("node").agg(F.min("root").alias("root")), "named")
+    sized = written(named.groupBy("root").agg(F.count("*").alias("n")).join(labels.select(F.col("v").alias("root"), "c"), "root", "left"), "sized")
+    return joined(named, sized, ["root"], "n", "left").select("node", F.least("root", F.coalesce("c", "root")).alias("root")).where("node <> root")

@@ -1,10 +1,15 @@
 """N-gram Jaccard join: texts whose sets of word shingles overlap enough, by R-trees over count vectors.
 
-Two sets that reach the threshold share one of their rarest few shingles (the prefix filter). Each
-document goes to the tiles of those: a tile is named by its least member, so documents of one family
-meet in few. In a tile each set is a point, the counts of its shingles by hash group; an R-tree over
-the points bounds the overlap of a set with all below a node by the summed minima of its counts and
-the node's largest; what survives the bound is verified on the sets themselves.
+How many sets hold each shingle is counted exactly: the sets are dealt by hash into buckets, packed, a
+row for each batch of texts and bucket; counted there; and what several sets hold goes back to its
+batch. A shingle of one set alone is shared with nobody, so from then on a set is its shared ones, and
+texts are not read again.
+
+Two sets that reach the threshold share one of their rarest few shingles (the prefix filter). Each set
+goes to the tiles of those: a tile is named by its least member, so texts of one family meet in few. In
+a tile each set is a point, the counts of its shingles by hash group; an R-tree over the points bounds
+the overlap of a set with all below a node by the summed minima of its counts and the node's largest;
+what survives the bound is verified on the sets themselves.
 
 (One R-tree over all points cannot do this alone: with groups enough to tell texts apart, the boxes
 of a large tree overlap in every direction, so each query would visit most leaves.)
@@ -12,42 +17,26 @@ of a large tree overlap in every direction, so each query would visit most leave
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ._common import arrow_map, written
+from ._common import arrow_map, discard, joined, tiles, written
 from .components import components
 from .shingles import Shingler, mix
 
 _U = np.uint64
-#: Cells of the table that tells common shingles from rare ones: a fixed 2 ** SKETCH_BITS bytes at the driver.
-SKETCH_BITS, SKETCH_BLOCKS = 22, 16
-#: Tables of partitions are added up in so many groups, then fewer: no task gets all of them.
-SKETCH_GROUPS = (1024, 32, 1)
-#: Bits of a shingle that travel.
-HASH_BITS = 48
-#: Points of a tile one task searches; sets of a tile one task joins: larger tiles are cut in chunks.
-POINTS, TILE = 8192, 1024
-#: Rows of (tile, document) a broadcast may hold; beyond it the join is a shuffle.
-MAX_BROADCAST = 1_000_000
+#: Shingles a batch of texts holds, and those a bucket is meant to hold: buckets grow with the corpus.
+BATCH, BUCKET = 1 << 21, 1 << 21
+#: A shingle that so many sets of a batch hold is sent once, with its count.
+OFTEN = 32
+#: Digests a task remembers before it starts afresh.
+SEEN = 1 << 18
+#: Sets one task joins: larger tiles are cut in chunks of about so many.
+TILE = 128
 LEAF, FANOUT = 16, 8
 
 
-def packed(hashes: np.ndarray) -> bytes:
-    """48-bit numbers as six bytes each."""
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel().astype(_U)
-
-
 def digest(s: np.ndarray) -> tuple[int, int]:
     """Two signed 64-bit sums over the set."""
     with np.errstate(over="ignore"):
@@ -61,81 +50,215 @@ def need(a, b, threshold: int):
     return -(-threshold * (a + b) // (100 + threshold))
 
 
-def prefix_length(n: int, threshold: int) -> int:
+def prefix_length(n, threshold: int):
     return n - -(-threshold * n // 100) + 1
 
 
-def levels(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
-    """How common the shingles of each hash cell are, over all documents, on a logarithmic scale."""
-    size = 1 << SKETCH_BITS
-    block = size // SKETCH_BLOCKS
+def described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2): the set's size and digest, null digests for an empty set."""
 
     def make():
         shingler = Shingler(words)
-        cells = np.zeros(size, np.uint32)
-
-        class Count:
-            def __call__(self, batch: pa.RecordBatch) -> None:
-                for at in range(0, batch.num_rows, 500):
-                    found = shingler.sets(batch.column(0).slice(at, 500))
-                    if found:
-                        all_ = np.sort(np.concatenate(found) >> _U(64 - SKETCH_BITS))
-                        first = np.flatnonzero(np.r_[True, all_[1:] != all_[:-1]]) if len(all_) else np.empty(0, np.int64)
-                        cells[all_[first].astype(np.int64)] += np.diff(first, append=len(all_)).astype(np.uint32)
-
-            def finish(self):
-                from pyspark import TaskContext
-
-                if cells.any():
-                    part = TaskContext.get().partitionId()
-                    raw = [zlib.compress(cells[b * block : (b + 1) * block].tobytes(), 1) for b in range(SKETCH_BLOCKS)]
-                    yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([part] * SKETCH_BLOCKS, pa.int32()), pa.array(raw, pa.binary())], names=["block", "part", "cells"])
-
-        return Count()
-
-    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(block, np.uint64)
-        for raw in pdf["cells"]:
-            got = zlib.decompress(raw)
-            total += np.frombuffer(got, np.uint32 if len(got) == 4 * block else np.uint64)
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "part": [int(pdf["part"].iloc[0])], "cells": [zlib.compress(total.tobytes(), 1)]})
-
-    schema = "block int, part int, cells binary"
-    counted = arrow_map(docs.select(text_col), make, schema)
-    for groups in SKETCH_GROUPS:
-        counted = counted.withColumn("part", F.col("part") % groups).groupBy("block", "part").applyInPandas(summed, schema)
-    out = np.zeros(size, np.uint8)
-    for r in counted.toLocalIterator():  # SKETCH_BLOCKS rows
-        counts = np.frombuffer(zlib.decompress(r["cells"]), np.uint64).astype(float)
-        out[r["block"] * block : (r["block"] + 1) * block] = np.minimum(4 * np.log2(counts + 1), 255)
-    return out
-
-
-def described(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, prefix, point): the set's size, digest, rarest shingles and counts by group."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels(docs, text_col, words))  # 2 ** SKETCH_BITS bytes
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def make():
-        shingler, level = Shingler(words), shared.value
 
         def one(batch: pa.RecordBatch):
             for at in range(0, batch.num_rows, 500):
                 found = shingler.sets(batch.column(1).slice(at, 500))
                 digests = [digest(s) if len(s) else (None, None) for s in found]
-                prefixes = []
-                for s in found:
-                    k = prefix_length(len(s), threshold) if len(s) else 0
-                    order = np.lexsort((s, level[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]))[:k]
-                    prefixes.append(packed(s[order] >> _U(64 - HASH_BITS)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 500), pa.array(map(len, found), pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(prefixes, pa.binary()), pa.array([point_of(s, 64).tobytes() for s in found], pa.binary())],
-                    names=["doc_id", "n_shingles", "d1", "d2", "prefix", "point"],
+                    [batch.column(0).slice(at, 500), pa.array(map(len, found), pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())],
+                    names=["doc_id", "n_shingles", "d1", "d2"],
                 )
 
         return one
 
-    return arrow_map(docs.select(id_col, text_col), make, f"doc_id {id_type}, n_shingles bigint, d1 bigint, d2 bigint, prefix binary, point binary")
+    return arrow_map(docs.select(id_col, text_col), make, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles bigint, d1 bigint, d2 bigint")
+
+
+# --- counting: batches to buckets and back
+
+
+def _seven(h: np.ndarray) -> bytes:
+    """Hashes without their top byte, which their bucket tells."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _eight(raw: bytes, top: int) -> np.ndarray:
+    out = np.empty((len(raw) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    out[:, 7] = top
+    return out.view("<u8").ravel().astype(_U)
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers in one, two or four bytes each, whichever do for all."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype("u1" if top < 256 else "<u2" if top < 65536 else "<u4").tobytes()
+
+
+def _large(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<u4"}[len(raw) // n if n else 1]).astype(np.int64)
+
+
+_DEALT = pa.schema([("k", pa.int32()), ("batch", pa.int64()), ("docs", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+_BACK = pa.schema([("k", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+_PLAYS = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("prefix", pa.binary()), ("shared", pa.binary())])
+
+
+def _sql(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {({pa.int32(): 'int', pa.int64(): 'bigint', pa.binary(): 'binary'})[f.type]}" for f in schema)
+
+
+class Dealer:
+    """One task's sets as rows for the buckets.
+
+    A row for each batch and bucket: a: shingles, by the set they are of; b: how many of each of the
+    batch's `docs` sets; c: shingles that OFTEN or more of them hold; d: how many do. A header for
+    each batch, under a number below 0: a: digests; b: sizes; c, d: (shingle, set) of those of c.
+    A set met in the task before is left out.
+    """
+
+    def __init__(self, words: int, bits: int, partition: int):
+        self.shingler, self.bits, self.batch = Shingler(words), bits, partition << 32
+        self.seen: set[int] = set()
+        self.nodes, self.sets, self.held = [], [], 0
+
+    def __call__(self, batch: pa.RecordBatch):
+        for at in range(0, batch.num_rows, 500):
+            for s in self.shingler.sets(batch.column(0).slice(at, 500)):
+                if len(s) and (d := digest(s)[0]) not in self.seen:
+                    self.seen.add(d)
+                    self.nodes.append(d)
+                    self.sets.append(s)
+                    self.held += len(s)
+                    if self.held >= BATCH:
+                        yield self.flush()
+        if len(self.seen) > SEEN:
+            self.seen.clear()
+
+    def flush(self) -> pa.RecordBatch:
+        n = len(self.sets)
+        sizes = np.array([len(s) for s in self.sets], np.int64)
+        h, owner = np.concatenate(self.sets), np.repeat(np.arange(n), sizes)
+        order = np.sort(h)
+        first = np.flatnonzero(np.r_[True, order[1:] != order[:-1]])
+        count = np.diff(first, append=len(order))
+        common, often = order[first[count >= OFTEN]], count[count >= OFTEN]
+        rows = []
+        c, d = h[:0], owner[:0]
+        if len(common):
+            hit = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+            c, d = h[hit], owner[hit]
+            h, owner = h[~hit], owner[~hit]
+        shift = _U(64 - self.bits)
+        bucket = (h >> shift).astype(np.uint16 if self.bits <= 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")
+        h, owner, bucket = h[order], owner[order], bucket[order]
+        of = (common >> shift).astype(np.int64)
+        all_ = np.union1d(bucket, of).astype(np.int64)
+        ends, ends_c = np.searchsorted(bucket, all_, side="right"), np.searchsorted(of, all_, side="right")
+        begin, begin_c = np.searchsorted(bucket, all_), np.searchsorted(of, all_)
+        for k, x, y, u, v in zip(all_.tolist(), begin.tolist(), ends.tolist(), begin_c.tolist(), ends_c.tolist()):
+            rows.append((k, self.batch, n, _seven(h[x:y]), _small(np.bincount(owner[x:y], minlength=n)), _seven(common[u:v]), often[u:v].astype("<u4").tobytes()))
+        head = -1 - (self.batch * 0x9E3779B1 >> 8) % (1 << self.bits)
+        rows.append((head, self.batch, n, np.array(self.nodes, "<i8").tobytes(), sizes.astype("<i8").tobytes(), c.astype("<u8").tobytes(), d.astype("<u4").tobytes()))
+        self.batch += 1
+        self.nodes, self.sets, self.held = [], [], 0
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _DEALT.types)], schema=_DEALT)
+
+    def finish(self):
+        if self.sets:
+            yield self.flush()
+
+
+def _count(bits: int):
+    """A bucket's rows -> rows for their batches: kind 0 the header as it was; 1: a: shingles of several
+    sets, b: the sets, c: levels (eight times the logarithm of how many sets hold it); 2: a, c of the OFTEN ones."""
+
+    def tile(table: pa.Table):
+        rows = [table.column(x).to_pylist() for x in _DEALT.names]
+        if rows[0][0] < 0:
+            yield from ((batch, 0, a, b, c, d) for batch, a, b, c, d in zip(rows[1], *rows[3:]))
+            return
+        top = rows[0][0] >> (bits - 8)
+        single, common = [_eight(a, top) for a in rows[3]], [_eight(c, top) for c in rows[5]]
+        h = np.concatenate([*single, *common])
+        weight = np.concatenate([np.ones(sum(map(len, single)), np.int64), *(np.frombuffer(d, "<u4").astype(np.int64) for d in rows[6])])
+        order = np.argsort(h, kind="stable")
+        sorted_ = h[order]
+        start = np.r_[True, sorted_[1:] != sorted_[:-1]]
+        sums = np.add.reduceat(weight[order], np.flatnonzero(start))
+        held = np.empty(len(h), np.int64)
+        held[order] = sums[np.cumsum(start) - 1]
+        level = np.minimum(8 * np.log2(held), 255).astype(np.uint8)
+        at = 0
+        for batch, n, s, counts in zip(rows[1], rows[2], single, rows[4]):
+            part = slice(at, at + len(s))
+            keep = held[part] > 1
+            if keep.any():
+                yield batch, 1, s[keep].astype("<u8").tobytes(), np.repeat(np.arange(n, dtype="<u4"), _large(counts, n))[keep].tobytes(), level[part][keep].tobytes(), None
+            at += len(s)
+        for batch, c in zip(rows[1], common):
+            if len(c):
+                yield batch, 2, c.astype("<u8").tobytes(), None, level[at : at + len(c)].tobytes(), None
+            at += len(c)
+
+    return tiles(tile, _BACK)
+
+
+def _choose(threshold: int):
+    """A batch's rows -> (node, n_shingles, prefix, shared) of the sets whose rarest shingles are not all their own."""
+
+    def tile(table: pa.Table):
+        kind, a, b, c, d = (table.column(x).to_pylist() for x in ("kind", "a", "b", "c", "d"))
+        head = kind.index(0)
+        nodes, sizes = np.frombuffer(a[head], "<i8"), np.frombuffer(b[head], "<i8")
+        one, two = [i for i, x in enumerate(kind) if x == 1], [i for i, x in enumerate(kind) if x == 2]
+        h = [np.frombuffer(a[i], "<u8") for i in one]
+        owner = [np.frombuffer(b[i], "<u4") for i in one]
+        level = [np.frombuffer(c[i], "u1") for i in one]
+        if two:
+            common, of = np.concatenate([np.frombuffer(a[i], "<u8") for i in two]), np.concatenate([np.frombuffer(c[i], "u1") for i in two])
+            order = np.argsort(common)
+            often = np.frombuffer(c[head], "<u8")
+            h.append(often)
+            owner.append(np.frombuffer(d[head], "<u4"))
+            level.append(of[order][np.searchsorted(common[order], often)])
+        if not h:
+            return
+        h, owner, level = np.concatenate(h), np.concatenate(owner).astype(np.int64), np.concatenate(level)
+        # a set's own shingles are its rarest; of the others so many as the prefix has room for
+        count = np.bincount(owner, minlength=len(nodes))
+        room = prefix_length(sizes, threshold) - (sizes - count)
+        keep = room[owner] > 0
+        h, owner, level = h[keep], owner[keep], level[keep]
+        order = np.lexsort((h, level, owner))
+        by_owner = np.lexsort((h, owner))
+        who, first = np.unique(owner[order], return_index=True)
+        for o, f in zip(who.tolist(), first.tolist()):
+            n = int(count[o])
+            yield int(nodes[o]), int(sizes[o]), h[order[f : f + min(n, int(room[o]))]].tobytes(), h[by_owner[f : f + n]].tobytes()
+
+    return tiles(tile, _PLAYS)
+
+
+def plays(docs: DataFrame, text_col: str, words: int, threshold: int, total: int) -> DataFrame:
+    """(node, n_shingles, prefix, shared) of distinct sets that may link: node is the digest's first
+    half, shared the sorted shingles that other sets hold too, prefix the rarest of them. total: shingles of all texts."""
+    bits = max(8, int(np.ceil(np.log2(max(total, 1) / BUCKET))))
+
+    def dealer():
+        from pyspark import TaskContext
+
+        return Dealer(words, bits, TaskContext.get().partitionId())
+
+    dealt = arrow_map(docs.select(text_col), dealer, _sql(_DEALT))
+    back = arrow_map(dealt.repartition("k").sortWithinPartitions("k", "batch"), _count(bits), _sql(_BACK))
+    found = arrow_map(back.repartition("k").sortWithinPartitions("k", "kind"), _choose(threshold), _sql(_PLAYS))
+    # equal sets of several tasks
+    return written(found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n_shingles", "prefix", "shared"))), "plays")
+
+
+# --- tiles
 
 
 def group_bits(n: int) -> int:
@@ -143,15 +266,10 @@ def group_bits(n: int) -> int:
     return min(12, max(4, int(np.ceil(np.log2(max(n / 5, 1))))))
 
 
-def point_of(s: np.ndarray, width: int, bits: int | None = None) -> np.ndarray:
-    """The counts of a set's shingles by hash group."""
-    bits = group_bits(len(s)) if bits is None else bits
-    return np.bincount((s >> _U(width - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
-
-
-def folded(point: np.ndarray, size: int) -> np.ndarray:
-    """The same counts over fewer groups."""
-    return point.reshape(size, -1).sum(1, dtype=np.uint16)
+def counts_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Each set's point: the counts of its shingles by hash group."""
+    bits = group_bits(max(map(len, sets)))
+    return np.stack([np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=1 << bits) for s in sets])
 
 
 class RTree:
@@ -170,7 +288,7 @@ class RTree:
                 order += part.tolist()
                 continue
             own = points[part]
-            axis = int((own.max(0).astype(np.int64) - own.min(0)).argmax())
+            axis = int((own.max(0) - own.min(0)).argmax())
             part = part[np.argsort(own[:, axis], kind="stable")]
             todo += [part[len(part) // 2 :], part[: len(part) // 2]]
         self.order = np.array(order)
@@ -201,43 +319,6 @@ class RTree:
         return found[np.minimum(self.points[found], point).sum(1) >= least]
 
 
-def counts_of(sets: list[np.ndarray]) -> np.ndarray:
-    bits = group_bits(max(map(len, sets)))
-    return np.stack([point_of(s, HASH_BITS, bits) for s in sets])
-
-
-def candidate_groups(sizes: np.ndarray, points: list[np.ndarray], threshold: int) -> np.ndarray:
-    """For each point the least index it is tied to by pairs that the bound lets pass; itself if none.
-
-    Sets that can link differ in size by the threshold at most, so in their groups by one power of
-    two: each tree holds the points of one number of groups and, folded, of the next.
-    """
-    bits = np.array([len(p).bit_length() - 1 for p in points])
-    parent = list(range(len(points)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    steps = 1 if threshold >= 50 else 12
-    for b in sorted(set(bits.tolist())):
-        own = np.flatnonzero(bits == b)
-        pool = np.concatenate([own, np.flatnonzero((bits > b) & (bits <= b + steps))])
-        if len(pool) < 2:
-            continue
-        stack = np.stack([folded(points[i], 1 << b) for i in pool])
-        tree = RTree(stack, sizes[pool])
-        for k in range(len(own)):
-            a = root(int(own[k]))
-            for j in pool[tree.near(stack[k], int(sizes[own[k]]), threshold)].tolist():
-                c = root(j)
-                if c != a:
-                    parent[max(a, c)] = a = min(a, c)
-    return np.array([root(i) for i in range(len(points))])
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -249,15 +330,15 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 class Tile:
     """Links within one tile, or between its two sides if some members are marked.
 
-    every: all links; else only enough to connect what is connected, and pairs already connected
-    are not verified again.
+    sizes are those of whole sets; the sets given need only hold what any two may share. every: all
+    links; else only enough to connect what is connected, and pairs already connected are not
+    verified again.
     """
 
     def __init__(self, threshold: int, every: bool):
         self.threshold, self.every = threshold, every
 
-    def links(self, ids: list[int], sets: list[np.ndarray], marked: list[bool] | None = None, given: list[int] | None = None):
-        sizes = np.array([len(s) for s in sets], np.int64)
+    def links(self, ids: list[int], sizes: np.ndarray, sets: list[np.ndarray], marked: list[bool] | None = None, given: list[int] | None = None):
         points = counts_of(sets)
         tree = RTree(points, sizes)
         parent = list(range(len(ids)))
@@ -276,7 +357,7 @@ class Tile:
             if marked is not None and not marked[i]:
                 continue
             for j in tree.near(points[i], int(sizes[i]), self.threshold).tolist():
-                if (ids[j] <= ids[i] if marked is None or marked[j] else j == i) or (not self.every and root(i) == root(j)):
+                if (ids[j] <= ids[i] if marked is None or marked[j] else ids[j] == ids[i]) or (not self.every and root(i) == root(j)):
                     continue
                 both = overlap(sets[i], sets[j])
                 if (100 + self.threshold) * both >= self.threshold * int(sizes[i] + sizes[j]):
@@ -286,187 +367,93 @@ class Tile:
                         parent[max(a, b)] = min(a, b)
 
 
-def _tiles(make_rows, schema: str):
-    """A function of Arrow batches sorted by tile key columns k*: make_rows on each whole tile."""
-
-    class Tiles:
-        def __init__(self):
-            self.held: list[pa.RecordBatch] = []
-
-        def __call__(self, batch: pa.RecordBatch):
-            keys = [c for c in batch.schema.names if c.startswith("k")]
-            values = list(zip(*(batch.column(c).to_pylist() for c in keys)))
-            cut = [i for i in range(1, len(values)) if values[i] != values[i - 1]]
-            if self.held:
-                last = self.held[-1]
-                if tuple(last.column(c)[last.num_rows - 1].as_py() for c in keys) != values[0]:
-                    cut = [0, *cut]
-            rows: list = []
-            at = 0
-            for c in cut:
-                self.held.append(batch.slice(at, c - at))
-                rows += self.flush()
-                at = c
-            self.held.append(batch.slice(at))
-            if rows:
-                yield self.batch(rows)
-
-        def flush(self) -> list:
-            table = pa.Table.from_batches([b for b in self.held if b.num_rows])
-            self.held = []
-            return list(make_rows(table)) if table.num_rows > 1 else []
-
-        def batch(self, rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=schema.replace(" bigint", "").split(", "))
-
-        def finish(self):
-            if self.held and (rows := self.flush()):
-                yield self.batch(rows)
-
-    return Tiles
-
-
-def tile_members(classes: DataFrame) -> DataFrame:
-    """(leader, node, rep, n_shingles): documents, each in the tile of the least node it shares a rare
-    shingle with. classes: (node, rep, n_shingles, prefix)."""
+def tile_members(sets: DataFrame) -> DataFrame:
+    """(leader, node): sets, each in the tile of the least node it shares a rare shingle with, leaders
+    among them. sets: plays()."""
 
     def make():
         def one(batch: pa.RecordBatch):
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                raw = part.column(3).to_pylist()
-                size = [len(r) // 6 for r in raw]
-                spread = np.repeat(np.arange(len(raw)), size)
-                yield pa.RecordBatch.from_arrays([pa.array(unpacked(b"".join(raw)).view(np.int64)), *(part.column(c).take(pa.array(spread)) for c in range(2))], names=["h", "node", "rep"])
+            raw = batch.column(1).to_pylist()
+            spread = np.repeat(np.arange(len(raw)), [len(r) // 8 for r in raw])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), "<i8")), batch.column(0).take(pa.array(spread))], names=["h", "node"])
 
         return one
 
-    entries = arrow_map(classes.select("node", "rep", "n_shingles", "prefix"), make, "h bigint, node bigint, rep bigint")
-    order = W.partitionBy("h").orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow)
-    led = entries.withColumn("first", F.min(F.struct("node", "rep")).over(order)).where("first.node <> node")
-    pairs = written(led.groupBy(F.col("first.node").alias("leader"), F.col("first.rep").alias("leader_rep"), "node", "rep").agg(F.lit(1).alias("one")).drop("one"), "pairs")
-    own = pairs.select("leader", F.col("leader").alias("node"), F.col("leader_rep").alias("rep")).distinct()
-    return pairs.select("leader", "node", "rep").unionByName(own)
-
-
-def passed(members: DataFrame, points: DataFrame, threshold: int) -> DataFrame:
-    """members without those whom the bound leaves no partner in their tile; the rest in tiles of the
-    groups that it ties together, named by their least node. Tiles above POINTS stay as they are."""
-    large = members.groupBy("leader").count().where(F.col("count") > POINTS).select("leader")
-    large = written(large, "large")
-    schema = "leader bigint, node bigint, rep bigint"
-
-    def tile(table: pa.Table):
-        nodes, reps = table.column("node").to_pylist(), table.column("rep").to_pylist()
-        found = [np.frombuffer(p, np.uint16) for p in table.column("point").to_pylist()]
-        groups = candidate_groups(np.array(table.column("n_shingles").to_pylist(), np.int64), found, threshold)
-        least: dict[int, int] = {}
-        count = np.bincount(groups, minlength=len(nodes))
-        for i, g in enumerate(groups.tolist()):
-            least[g] = min(nodes[i], least.get(g, nodes[i]))
-        for i, g in enumerate(groups.tolist()):
-            if count[g] > 1:
-                yield least[g], nodes[i], reps[i]
-
-    small = members if large.isEmpty() else members.join(large, "leader", "left_anti")
-    rows = small.join(points, "node").select(F.col("leader").alias("k1"), "node", "rep", "n_shingles", "point")
-    out = arrow_map(rows.repartition("k1").sortWithinPartitions("k1", "node"), _tiles(tile, schema), schema)
-    return (out if large.isEmpty() else out.unionByName(members.join(large, "leader", "left_semi").select("leader", "node", "rep"))).distinct()
+    entries = arrow_map(sets.select("node", "prefix"), make, "h bigint, node bigint")
+    first = entries.groupBy("h").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("n")).where("leader < last").drop("last")
+    first = written(first, "leaders")
+    led = joined(entries, first, ["h"], "n").where("node <> leader")
+    pairs = written(led.groupBy("leader", "node").agg(F.lit(1).alias("one")).drop("one"), "pairs")
+    discard(first)
+    return pairs
 
 
 def links(docs: DataFrame, words: int = 5, threshold: int = 80, every: bool = False, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, pairs). rows: (doc_id, n_shingles, d1, d2); classes: (node, rep, d1, d2, n_shingles, copies), one
     for each distinct set; pairs: (a, b, overlap), linked nodes a < b — all with `every`, else enough to connect them."""
-    rows = written(described(docs, id_col, text_col, words, threshold), "sets")
+    rows = written(described(docs, id_col, text_col, words), "rows")
     # equal sets collapse before anything is compared: a group of copies is one node
-    classes = rows.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), F.first("point").alias("point"))
+    classes = rows.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("node", F.col("d1")), "classes")
-    usable = classes.where("rep is not null")
-    members = tile_members(usable.select("node", F.col("rep").cast("long").alias("rep"), "n_shingles", "prefix"))
-    members = written(passed(members, usable.select("node", "n_shingles", "point"), threshold), "passed")
-    sizes = members.groupBy("leader").count().where(F.col("count") > TILE).select("leader", F.ceil(F.col("count") / TILE).cast("int").alias("chunks"))
-    sizes = written(sizes, "large-tiles")
-    if sizes.isEmpty():
-        members = members.withColumn("chunks", F.lit(1)).withColumn("chunk", F.lit(0))
+    sets = plays(docs, text_col, words, threshold, rows.agg(F.sum("n_shingles")).first()[0] or 0)
+    pairs = tile_members(sets)
+    sizes = written(pairs.groupBy("leader").agg(F.count("*").alias("n")), "tiles")
+    large = sizes.where(F.col("n") >= TILE).withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
+    large = written(large, "large-tiles")
+    if large.isEmpty():
+        members = pairs.withColumn("chunk", F.lit(0)).unionByName(sizes.select("leader", F.col("leader").alias("node"), F.lit(0).alias("chunk")))
     else:
-        spread = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
-        members = members.join(sizes, "leader", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.explode(spread))
+        # members go to a chunk each, the leader to all of them
+        spread = joined(pairs, large, ["leader"], "n", "left").select("leader", "node", F.coalesce(F.pmod(F.xxhash64("node"), F.col("chunks")), F.lit(0)).cast("int").alias("chunk"))
+        heads = sizes.join(large.drop("n"), "leader", "left").select("leader", F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"))
+        members = spread.unionByName(heads)
     members = written(members, "members")
-    found = written(_joined(_with_sets(docs, members.select(F.col("leader").alias("k1"), F.col("chunk").alias("k2"), F.lit(0).alias("k3"), "node", "rep", F.lit(0).cast("long").alias("side"), F.lit(0).cast("long").alias("given")), words, id_col, text_col), threshold, every), "links")
-    if not sizes.isEmpty():
-        found = found.unionByName(_across(docs, members, found, words, threshold, every, id_col, text_col))
-    return rows.select("doc_id", "n_shingles", "d1", "d2"), classes.drop("prefix", "point"), found.distinct()
-
-
-def _across(docs, members, found, words, threshold, every, id_col, text_col) -> DataFrame:
-    """Links between chunks of large tiles: members their chunk did not connect to the leader, against all others.
-
-    With `every`, all members against all later chunks.
-    """
-    root = components(found.select(F.col("b").alias("node"), F.col("a").alias("root"))).withColumnRenamed("root", "own")
-    large = members.where("chunks > 1").join(root, "node", "left").withColumn("own", F.coalesce("own", "node"))
-    top = large.where("node = leader").select("leader", F.col("own").alias("top")).distinct()
-    large = written(large.where("node <> leader").join(top, "leader"), "large")
-    loose = large if every else large.where("own <> top")
-    left = loose.select("leader", "node", "rep", "own", F.lit(1).cast("long").alias("side"), F.col("chunk").alias("k2"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k3"))
-    rows = loose.select("leader", F.col("chunk").alias("k2")).distinct()
-    right = large.join(rows, "leader").select("leader", "node", "rep", "own", F.lit(0).cast("long").alias("side"), "k2", F.col("chunk").alias("k3"))
-    both = left.unionByName(right).where("k2 <> k3").select(F.col("leader").alias("k1"), "k2", "k3", "node", "rep", "side", F.col("own").alias("given"))
-    return _joined(_with_sets(docs, both, words, id_col, text_col), threshold, every)
-
-
-def _with_sets(docs: DataFrame, members: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """members with their documents' sets, out of a scan of the texts; the sets alone are shuffled."""
-    keyed = members.groupBy("node", "rep").agg(F.collect_list(F.struct("k1", "k2", "k3", "side", "given")).alias("tiles"))
-    keyed = written(keyed, "keyed")
-    small = members.count() <= MAX_BROADCAST
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep is not null")
-    joined = texts.join(F.broadcast(keyed) if small else keyed, "rep").select("text", "node", "tiles")
-
-    def make():
-        shingler = Shingler(words)
-
-        def one(batch: pa.RecordBatch):
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                nodes, tiles = part.column(1).to_pylist(), part.column(2).to_pylist()
-                out: list[tuple] = []
-                for s, node, own in zip(shingler.sets(part.column(0)), nodes, tiles):
-                    if len(s) and digest(s)[0] == node:  # another row of the same id can hold another text
-                        raw = packed(np.unique(s >> _U(64 - HASH_BITS)))
-                        out += [(t["k1"], t["k2"], t["k3"], node, t["side"], t["given"], raw) for t in own]
-                if out:
-                    cols = list(zip(*out))
-                    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["k1", "k2", "k3", "node", "side", "given", "shingles"])
-
-        return one
-
-    return arrow_map(joined, make, "k1 bigint, k2 int, k3 int, node bigint, side bigint, given bigint, shingles binary")
-
-
-def _joined(rows: DataFrame, threshold: int, every: bool) -> DataFrame:
-    """(a, b, overlap) out of the tiles' rows."""
-    schema = "a bigint, b bigint, overlap bigint"
+    dealt = members.select(F.col("leader").alias("k1"), F.col("chunk").alias("k2"), F.lit(0).alias("k3"), "node", F.lit(0).cast("long").alias("side"), F.lit(0).cast("long").alias("given"))
+    found = written(_verified(dealt, sets, threshold, every), "links")
+    if not large.isEmpty():
+        more = written(_across(members, large, sets, found, threshold, every), "links")
+        found = found.unionByName(more)
+    discard(pairs, sizes, large, members, sets)
+    return rows, classes, found.distinct()
+
+
+def _across(members, large, sets, found, threshold, every) -> DataFrame:
+    """Links between chunks of large tiles: members their chunk did not connect to the leader, against all
+    others, TILE and TILE at a time. With `every`, all members against all other chunks."""
+    roots = components(found.select(F.col("b").alias("node"), F.col("a").alias("root"))).withColumnRenamed("root", "own")
+    top = large.join(roots, F.col("leader") == F.col("node"), "left").select("leader", F.coalesce("own", "leader").alias("top"), "chunks", "n")
+    rest = joined(members.where("node <> leader"), written(top, "tops"), ["leader"], "n").join(roots, "node", "left").withColumn("own", F.coalesce("own", "node"))
+    rest = written(rest, "large")
+    loose = rest if every else rest.where("own <> top")
+    some = loose.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    some = written(some.join(large.select("leader", "n"), "leader"), "loose")
+    left = joined(loose, some, ["leader"], "n")
+    left = left.withColumn("k2", F.col("chunk") if every else F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+    left = left.select("leader", "node", "own", F.lit(1).cast("long").alias("side"), "k2", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k3"))
+    right = joined(rest, some, ["leader"], "n")
+    right = right.select("leader", "node", "own", F.lit(0).cast("long").alias("side"), F.explode(F.sequence(F.lit(0), (F.col("chunks") if every else F.col("parts")) - 1)).alias("k2"), F.col("chunk").alias("k3"))
+    both = left.unionByName(right)
+    both = (both.where("k2 <> k3") if every else both).select(F.col("leader").alias("k1"), "k2", "k3", "node", "side", F.col("own").alias("given"))
+    return _verified(both, sets, threshold, every)
+
+
+def _verified(members: DataFrame, sets: DataFrame, threshold: int, every: bool) -> DataFrame:
+    """(a, b, overlap) out of rows (k1, k2, k3, node, side, given): each key's sets meet in one task."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64())])
 
     def tile(table: pa.Table):
-        seen: dict[tuple, int] = {}
-        nodes, sides = table.column("node").to_pylist(), table.column("side").to_pylist()
-        for i, key in enumerate(zip(nodes, sides)):
-            seen.setdefault(key, i)  # repeated rows of one id
-        keep = list(seen.values())
-        if len(keep) < 2:
+        nodes, sides, given = (table.column(x).to_pylist() for x in ("node", "side", "given"))
+        if len(nodes) < 2:
             return
-        ids, marks = [nodes[i] for i in keep], [sides[i] == 1 for i in keep]
-        raw, given = table.column("shingles"), table.column("given").to_pylist()
-        sets = [unpacked(raw[i].as_py()) for i in keep]
-        between = any(marks)
-        for i, j, both in Tile(threshold, every).links(ids, sets, marks if between else None, None if not between or every else [given[i] for i in keep]):
-            if ids[i] != ids[j]:
-                yield min(ids[i], ids[j]), max(ids[i], ids[j]), both
+        sizes = np.array(table.column("n_shingles").to_pylist(), np.int64)
+        shared = [np.frombuffer(raw, "<u8").astype(_U) for raw in table.column("shared").to_pylist()]
+        between = any(sides)
+        for i, j, both in Tile(threshold, every).links(nodes, sizes, shared, [s == 1 for s in sides] if between else None, given if between and not every else None):
+            yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), both
 
+    rows = members.join(sets.select("node", "n_shingles", "shared"), "node")
     dealt = rows.repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3", "node")
-    return arrow_map(dealt, _tiles(tile, schema), schema)
+    return arrow_map(dealt, tiles(tile, schema), _sql(schema))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -474,27 +461,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
 
     Words are runs of characters other than blank, tab, line ends and page breaks, A-Z made lower;
     fewer than `words` of them are one shingle. Rows of equal sets are linked. A text without words,
-    or null: 0 shingles, its own component. A null id takes its class's component, null if it is
-    alone; repeated rows stay; rows of one id and other texts go with their texts. An empty table
-    gives no rows. Other columns aren't read. Sets are compared by 48 bits of each shingle's hash.
+    or null: 0 shingles, its own component. A null id takes its component's least id, null if there
+    is none; repeated rows stay; rows of one id and other texts go with their texts. An empty table
+    gives no rows. Other columns aren't read. Shingles are compared by 64-bit hashes.
     """
     rows, classes, pairs = links(docs, words, threshold, False, id_col, text_col)
     roots = components(pairs.select(F.col("b").alias("node"), F.col("a").alias("root")))
-    joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    joined = written(joined.select("d1", "d2", "n_shingles", "rep", "root", (F.col("root") != F.col("node")).alias("linked")), "joined")
-    heads = joined.groupBy("root").agg(F.min("rep").alias("component_id"), F.max("linked").alias("linked")).where("linked").drop("linked")
-    grouped = joined.join(heads, "root", "left").select("d1", "d2", F.col("n_shingles").alias("n"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.join(grouped, (rows["d1"] == grouped["d1"]) & (rows["d2"] == grouped["d2"]) & (rows["n_shingles"] == grouped["n"]), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    tied = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tied = written(tied.select("d1", "d2", "n_shingles", "rep", "copies", "root", (F.col("root") != F.col("node")).alias("linked")), "tied")
+    heads = tied.groupBy("root").agg(F.min("rep").alias("component_id"), F.max("linked").alias("linked")).where("linked").drop("linked")
+    grouped = written(tied.join(heads, "root", "left").select("d1", "d2", "n_shingles", "copies", F.coalesce("component_id", "rep").alias("component_id")), "grouped")
+    discard(classes, tied)
+    some = joined(rows.where("n_shingles > 0"), grouped, ["d1", "d2", "n_shingles"], "copies")
+    none = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    return some.select("doc_id", "n_shingles", "component_id").unionByName(none.select("doc_id", "n_shingles", "component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they were, that stay: of each component the row of the least id.
 
     Of several rows with that id one stays, the least by the text's hash. Rows without id all stay.
+    Null and empty texts stay; an empty table gives no rows. Only rows of repeated ids are ordered.
     """
-    found = near_duplicates(docs, words, threshold, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__fl_id")).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(found, F.col(id_col) == F.col("__fl_id"), "left_semi")
+    near = near_duplicates(docs, words, threshold, id_col, text_col).where("doc_id is not null")
+    found = near.groupBy(F.col("doc_id").alias("__fl_id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows")).where("stays")
+    found = written(found.drop("stays"), "kept")
+    kept = docs.join(found.where("rows = 1").select("__fl_id"), F.col(id_col) == F.col("__fl_id"), "left_semi")
+    again = docs.join(found.where("rows > 1").select("__fl_id"), F.col(id_col) == F.col("__fl_id"), "left_semi")
     order = W.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    kept = kept.withColumn("__fl_rank", F.row_number().over(order)).where("__fl_rank = 1").drop("__fl_rank")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    again = again.withColumn("__fl_rank", F.row_number().over(order)).where("__fl_rank = 1").drop("__fl_rank")
+    return kept.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))

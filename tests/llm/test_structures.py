@@ -14,7 +14,8 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import fingerprints as fp, jaccard, pivots, resharding, shingles
+from fieldloom.llm import _common, fingerprints as fp, jaccard, pivots, resharding, shingles
+from fieldloom.llm._common import written
 from fieldloom.llm.components import components
 from fieldloom.llm.oracles import COSINE, JACCARD
 
@@ -289,19 +290,65 @@ def test_near_duplicates(spark, documents, odd, empty):
 
 
 def test_large_tiles_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "TILE", 7)
-    df = spark.createDataFrame(families(2, 160), "doc_id bigint, text string")
-    check_near(df)
-    monkeypatch.setattr(jaccard, "POINTS", 5)
-    check_near(df)
-    monkeypatch.setattr(jaccard, "MAX_BROADCAST", 0)
-    check_near(df)
+    for tile in (7, 3):
+        monkeypatch.setattr(jaccard, "TILE", tile)
+        check_near(spark.createDataFrame(families(2, 160), "doc_id bigint, text string"))
+
+
+def test_heavy_keys_and_light_ones_meet_alike(spark, monkeypatch):
+    """The rows are the same whichever keys are broadcast."""
+    many = spark.createDataFrame([(i % 7 if i < 60 else 100 + i, i) for i in range(100)], "k bigint, v bigint")
+    few = written(many.groupBy("k").agg(F.count("*").alias("n")).withColumn("x", F.col("k") * 2).where("k <> 150"), "few")
+    want = {how: sorted(map(tuple, many.join(few.drop("n"), "k", how).collect())) for how in ("inner", "left")}
+    monkeypatch.setattr(_common, "HEAVY", 50)
+    monkeypatch.setattr(_common, "HEAVY_ROWS", 1)
+    for how in ("inner", "left"):
+        assert sorted(map(tuple, _common.joined(many, few, ["k"], "n", how).collect())) == want[how]
+
+
+def regrouped(rows, make, names):
+    """What a shuffle by k, a sort and a map over the tiles give, in this process."""
+    table = pa.Table.from_batches(rows).sort_by([(n, "ascending") for n in names])
+    one, out = make(), []
+    for batch in table.to_batches(max_chunksize=3):
+        out += list(one(batch))
+    return out + list(one.finish())
+
+
+@pytest.mark.parametrize("batch,often", [(40, 2), (300, 32), (1 << 21, 3)])
+def test_counting_is_brute_force(monkeypatch, batch, often):
+    """Shared shingles and prefixes through batches, buckets and back, against a plain count."""
+    monkeypatch.setattr(jaccard, "BATCH", batch)
+    monkeypatch.setattr(jaccard, "OFTEN", often)
+    texts = [t for _, t in families(4, 60)] + ["", None, "one two", "one two"]
+    dealt = []
+    for part in (0, 1):  # two tasks; each leaves out the copies of its own
+        dealer = jaccard.Dealer(5, 9, part)
+        dealt += list(dealer(pa.RecordBatch.from_arrays([pa.array(texts[part::2], pa.string())], names=["text"]))) + list(dealer.finish())
+    back = regrouped(dealt, jaccard._count(9), ["k", "batch"])
+    got = regrouped(back, jaccard._choose(80), ["k", "kind"])
+    mine = {r["node"]: r for b in got for r in b.to_pylist()}
+    held = Counter()
+    sets = {}
+    for part in (0, 1):
+        own = {jaccard.digest(s)[0]: s for s in shingles.Shingler().sets(pa.array(texts[part::2], pa.string())) if len(s)}
+        sets |= own
+        for s in own.values():
+            held.update(s.tolist())
+    level = {h: int(8 * np.log2(n)) for h, n in held.items()}
+    expected = {}
+    for node, s in sets.items():
+        shared = sorted(h for h in s.tolist() if held[h] > 1)
+        room = jaccard.prefix_length(len(s), 80) - (len(s) - len(shared))
+        if room > 0 and shared:
+            expected[node] = (len(s), sorted(shared, key=lambda h: (level[h], h))[:room], shared)
+    assert {n: (r["n_shingles"], np.frombuffer(r["prefix"], "<u8").tolist(), np.frombuffer(r["shared"], "<u8").tolist()) for n, r in mine.items()} == expected
 
 
 def test_all_links(spark, monkeypatch):
     rows = families(3, 120)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for tile in (1024, 7):
+    for tile in (1024, 7, 3):
         monkeypatch.setattr(jaccard, "TILE", tile)
         _, classes, pairs = jaccard.links(df, every=True)
         rep = {r["node"]: r["rep"] for r in classes.collect()}
@@ -320,11 +367,11 @@ def test_all_links(spark, monkeypatch):
 
 def test_bound_and_tree():
     rng = np.random.default_rng(0)
-    base = [rng.integers(0, 2**48, int(n)).astype(np.uint64) for n in rng.integers(20, 300, 8)]
+    base = [rng.integers(0, 2**63, int(n)).astype(np.uint64) * np.uint64(2) for n in rng.integers(20, 300, 8)]
     sets = []
     for _ in range(200):
         b = base[int(rng.integers(8))]
-        sets.append(np.unique(np.concatenate([b[rng.random(len(b)) < rng.choice([0.5, 0.95, 1])], rng.integers(0, 2**48, 5).astype(np.uint64)])))
+        sets.append(np.unique(np.concatenate([b[rng.random(len(b)) < rng.choice([0.5, 0.95, 1])], rng.integers(0, 2**63, 5).astype(np.uint64)])))
     points, sizes = jaccard.counts_of(sets), np.array([len(s) for s in sets])
     tree = jaccard.RTree(points, sizes)
     for i in range(200):
