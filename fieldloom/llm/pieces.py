@@ -1,8 +1,9 @@
 """SentencePiece encoding by streaming Viterbi, and decoding.
 
 Boundaries of a text form a lattice whose edges are pieces. Only the boundaries within the longest
-piece's length of the current one can still be reached from, so only they survive; whenever the paths
-from all survivors run through one boundary, the ids before it are final and leave.
+piece's length of the current one can still be reached from, so only they survive; as soon as the paths
+from all survivors run through one boundary, the ids before it are final and leave. A boundary that no
+piece reaches across is always such a one.
 
 Edge weights depend on the model. Unigram: a piece's score, the best sum wins. BPE: a piece may follow
 another only if merging would leave the two as they are; each boundary then has one path, which is
@@ -25,9 +26,12 @@ from ._common import arrow_map
 SPACE = "▁"
 #: Chunks and pairs a worker remembers before it starts afresh.
 CACHE = 600_000
-#: Chunks above this length are streamed one character at a time instead of side by side.
-SIDE_BY_SIDE = 48
+#: Fewer texts of one length than this are streamed one by one: arrays cost more than they save.
+FEW = 8
+#: Slots, as a power of two, of the table of pairs met before, and of that of pieces.
+PAIR_BITS, PIECE_BITS = 21, 20
 BASE, SPREAD, MASK = 0x100000001B3, 0x9E3779B97F4A7C15, (1 << 64) - 1
+POWERS = [np.uint64(pow(BASE, i, 1 << 64)) for i in range(1024)]
 
 
 class Model:
@@ -60,14 +64,17 @@ class Model:
         # a text may be cut before a space, and around a line break, if no piece reaches across
         self.cut_spaces = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.index)
         self.cut_lines = not any("\n" in p for p in self.index)
-        self.pairs: dict[int, bool] = {}
-        # pieces by hash, for looking up many substrings at once
+        # pairs of pieces met before, a slot each: (pair, whether the second may follow)
+        self.pair_keys = np.full(1 << PAIR_BITS, -1, np.int64)
+        self.pair_fits = np.zeros(1 << PAIR_BITS, bool)
+        # pieces by hash, for looking up many substrings at once: the slot of the top bits, a sorted list behind it
         hashes = {self._hash(p): i for p, i in self.index.items()}
         self.keys = np.array(sorted(hashes), np.uint64)
         self.ids = np.array([hashes[k] for k in sorted(hashes)], np.int64)
-        self.exact = len(hashes) == len(self.index)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        self.exact = len(hashes) == len(self.index) and self.longest < len(POWERS)
+        self.slots = np.searchsorted(self.keys, np.arange((1 << PIECE_BITS) + 1, dtype=np.uint64) << np.uint64(64 - PIECE_BITS)).astype(np.int32)
+        self.slots[-1] = len(self.keys)
+        self.depth = int(np.diff(self.slots).max()) if len(self.keys) else 0
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -79,9 +86,16 @@ class Model:
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         """Piece ids of hashed substrings, -1 where there is none."""
         out = np.full(len(hashes), -1, np.int64)
-        hit = np.flatnonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, hashes[hit]), len(self.keys) - 1)
-        out[hit] = np.where(self.keys[at] == hashes[hit], self.ids[at], -1)
+        slot = (hashes >> np.uint64(64 - PIECE_BITS)).astype(np.int64)
+        first = self.slots[slot]
+        some = np.flatnonzero(first < self.slots[slot + 1])
+        for i in range(self.depth):
+            at = np.minimum(first[some] + i, len(self.keys) - 1)
+            hit = self.keys[at] == hashes[some]
+            out[some[hit]] = self.ids[at[hit]]
+            some = some[~hit]
+            if not len(some):
+                break
         return out
 
     def merged(self, text: str) -> list[str]:
@@ -100,21 +114,29 @@ class Model:
 
     def allowed(self, a: int, b: int) -> bool:
         """Whether piece b may follow piece a (-1: the text's start, or a character without piece)."""
+        return bool(self.all_allowed(np.array([(a + 1) * (len(self.pieces) + 1) + b + 1]))[0])
+
+    def all_allowed(self, keys: np.ndarray) -> np.ndarray:
+        """allowed() of pairs (a + 1) * (pieces + 1) + b + 1; pairs met before are found in a table."""
+        slot = ((keys.astype(np.uint64) * np.uint64(SPREAD)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.pair_fits[slot]
+        new = np.flatnonzero(self.pair_keys[slot] != keys)
+        if len(new):
+            size = len(self.pieces) + 1
+            unseen, back = np.unique(keys[new], return_inverse=True)
+            fits = np.array([self._fits(k // size - 1, k % size - 1) for k in unseen.tolist()], bool)
+            out[new] = fits[back]
+            self.pair_keys[slot[new]], self.pair_fits[slot[new]] = keys[new], out[new]
+        return out
+
+    def _fits(self, a: int, b: int) -> bool:
         if b < 0:
             return True
-        key = (a + 1) * (len(self.pieces) + 1) + b + 1
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > CACHE:
-                self.pairs.clear()
-            right = self.pieces[b]
-            if a < 0:
-                known = self.merged(right) == [right]
-            else:
-                left = self.pieces[a]
-                known = left + right not in self.index and self.merged(left + right) == [left, right]
-            self.pairs[key] = known
-        return known
+        right = self.pieces[b]
+        if a < 0:
+            return self.merged(right) == [right]
+        left = self.pieces[a]
+        return left + right not in self.index and self.merged(left + right) == [left, right]
 
     def unknown(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8")] if self.bytes else [self.unk]
@@ -126,16 +148,17 @@ class Model:
 
 
 class Stream:
-    """Characters in, final ids out. Holds the survivors and what is not yet common to all of them."""
+    """Characters in, final ids out, one text. Holds the boundaries that a piece can still start from, the
+    survivors, and the steps back from them that are not yet common to all."""
 
     def __init__(self, model: Model):
         self.model = model
         self.tail = ""  # the last `longest` characters
         self.at = 0
         self.back: dict[int, tuple[int, int, str]] = {}  # boundary -> (boundary before, id or -1, its character)
+        self.hop: dict[int, int] = {0: 0}  # survivor -> the first boundary after `base` on its path
         self.best = {0: 0.0}
-        self.base = 0  # what lies before is committed
-        self.check = 4 * model.longest
+        self.base, self.before = 0, -1  # what lies before is committed; the piece that ends there
 
     def push(self, char: str) -> list[int]:
         m = self.model
@@ -150,7 +173,7 @@ class Stream:
             if j < 0 and n > 1:
                 continue
             if m.kind == "bpe":
-                if m.allowed(self.back[start][1] if start in self.back else -1, j):
+                if m.allowed(self.back[start][1] if start > self.base else self.before, j):
                     found = (0.0, start, j)
                     break
             else:
@@ -159,34 +182,47 @@ class Stream:
                     found = (value, start, j)
         if found:
             self.best[self.at], self.back[self.at] = found[0], (found[1], found[2], char)
-        self.best.pop(self.at - m.longest - 1, None)
-        if self.at - self.base >= self.check:
-            return self.commit({b for b in self.best if b > self.at - m.longest})
+            self.hop[self.at] = self.at if found[1] == self.base else self.hop[found[1]]
+        gone = self.at - m.longest
+        self.best.pop(gone, None)
+        self.hop.pop(gone, None)
+        if self.base <= gone and len(set(self.hop.values())) == 1:
+            return self.commit()
         return []
 
-    def commit(self, survivors: set[int]) -> list[int]:
-        """Ids up to the boundary that the paths from all survivors share."""
-        while len(survivors) > 1:
-            last = max(survivors)
-            survivors.discard(last)
-            survivors.add(self.back[last][0] if last > self.base else self.base)
-        common = survivors.pop()
-        ids, b = [], common
-        while b > self.base:
-            before, j, char = self.back.pop(b)
-            ids.append([j] if j >= 0 else self.model.unknown(char))
-            b = before
-        for b in [b for b in self.back if b <= common]:
-            del self.back[b]
-        if ids:
-            # the piece before a committed boundary still decides what may follow it
-            self.back[common] = (common, ids[0][0] if len(ids[0]) == 1 and ids[0][0] not in self.model.bytes.values() else -1, "")
-        self.base = common
-        self.check = max(4 * self.model.longest, 2 * (self.at - common))
-        return [i for part in reversed(ids) for i in part]
+    def commit(self) -> list[int]:
+        """Ids up to the last boundary that the paths from all survivors share."""
+        out: list[int] = []
+        while self.base not in self.hop and len(meet := set(self.hop.values())) == 1:
+            (at,) = meet
+            _, j, char = self.back[at]
+            out += [j] if j >= 0 else self.model.unknown(char)
+            self.base, self.before = at, j
+            for b in self.hop:
+                step = b
+                while step > at and self.back[step][0] != at:
+                    step = self.back[step][0]
+                self.hop[b] = step
+        # paths that no survivor is on are gone
+        alive, todo = set(), list(self.hop)
+        while todo:
+            b = todo.pop()
+            if b > self.base and b not in alive:
+                alive.add(b)
+                todo.append(self.back[b][0])
+        self.back = {b: self.back[b] for b in alive}
+        return out
 
     def finish(self) -> list[int]:
-        return self.commit({self.at}) if self.at > self.base else []
+        """The text's end is the only survivor."""
+        if self.at == self.base:
+            return []
+        at = self.at
+        hop = at
+        while self.back[hop][0] != self.base:
+            hop = self.back[hop][0]
+        self.hop, self.best = {at: hop}, {at: self.best[at]}
+        return self.commit()
 
 
 def stream(model: Model, characters: Iterable[str]) -> Iterator[int]:
@@ -197,67 +233,157 @@ def stream(model: Model, characters: Iterable[str]) -> Iterator[int]:
     yield from s.finish()
 
 
-class Encoder:
-    """Ids of texts. A text is cut where every path must cross: before spaces and around line breaks, if
-    the model's pieces allow; chunks of one length walk their lattices side by side."""
+class Lanes:
+    """Stream for many BPE texts of one length, a character of each at a time.
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.known: dict[str, bytes] = {}
-        line = r"\n|" if model.cut_lines else ""
-        other = r"[^ \n]" if model.cut_lines else "[^ ]"
-        self.chunks = re.compile(f"{line} *{other}+| +") if model.cut_spaces else None
+    Arrays have a row for each boundary that is kept: the last `longest` and what is not yet committed.
+    They are rings; a ring that is full doubles. Ids leave by `commit` alone: `left` counts them, `kept`
+    is the most boundaries that were held.
+    """
 
-    def side_by_side(self, chunks: list[str]) -> list[bytes]:
-        """Chunks of one length through a BPE model's lattice, all at once."""
-        m, n, count = self.model, len(chunks[0]), len(chunks)
-        last = np.full((n + 1, count), -2, np.int64)  # the piece that ends here: -2 none, -1 a character without one
-        came = np.zeros((n + 1, count), np.int64)
-        last[0] = -1
-        words = [c.replace(" ", SPACE) for c in chunks]
+    def __init__(self, model: Model, words: list[str]):
+        self.model, self.words, self.count = model, words, len(words)
+        self.rows = model.longest + 2
+        self.last = np.full((self.rows, self.count), -2, np.int64)  # the piece that ends here: -2 none, -1 a character without one
+        self.came = np.zeros((self.rows, self.count), np.int64)
+        self.hop = np.zeros((self.rows, self.count), np.int64)  # the first boundary after base on the path
+        self.head = np.zeros((self.rows, self.count), np.uint64)  # hash of all before
+        self.last[0] = -1
+        self.base = np.zeros(self.count, np.int64)
+        self.oldest = 0  # no lane's base is before it
+        self.out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (lanes, pieces, where they end), in order
+        self.left = self.kept = 0
+
+    def grow(self, at: int) -> None:
+        held = np.arange(self.oldest, at)
+        old, self.rows = held % self.rows, 2 * self.rows
+        for name, empty in (("last", -2), ("came", 0), ("hop", 0), ("head", 0)):
+            ring = getattr(self, name)
+            new = np.full((self.rows, self.count), empty, ring.dtype)
+            new[held % self.rows] = ring[old]
+            setattr(self, name, new)
+
+    def commit(self, lanes: np.ndarray, at: np.ndarray) -> None:
+        """The piece that ends at boundary `at` of each lane is final."""
+        self.out.append((lanes, self.last[at % self.rows, lanes], at))
+        self.base[lanes] = at
+        self.left += len(lanes)
+
+    def converge(self, end: int) -> None:
+        """Commits, in each lane, while the paths of all survivors begin with one piece."""
+        m = self.model
+        alive = np.arange(max(0, end + 1 - m.longest), end + 1)
+        lanes = np.flatnonzero(self.base < alive[0])
+        while len(lanes):
+            sub = np.ix_(alive % self.rows, lanes)
+            there = self.last[sub] > -2
+            hops = self.hop[sub]
+            at = np.where(there, hops, 0).max(0)
+            same = np.where(there, hops, 1 << 62).min(0) == at
+            lanes, at = lanes[same], at[same]
+            if not len(lanes):
+                return
+            self.commit(lanes, at)
+            # the next piece of each survivor's path
+            for b in alive:
+                step = np.full(len(lanes), b)
+                while True:
+                    far = (step > at) & (self.last[step % self.rows, lanes] > -2)
+                    before = self.came[step % self.rows, lanes]
+                    far &= before > at
+                    if not far.any():
+                        break
+                    step[far] = before[far]
+                self.hop[b % self.rows, lanes] = step
+            lanes = lanes[self.base[lanes] < alive[0]]
+
+    def run(self) -> list[bytes]:
+        m, n = self.model, len(self.words[0])
         size = len(m.pieces) + 1
-        cp = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(count, n).astype(np.uint64)
-        head = np.zeros((n + 1, count), np.uint64)
-        for i in range(n):
-            head[i + 1] = head[i] * np.uint64(BASE) + cp[:, i] + np.uint64(1)
+        cp = np.frombuffer("".join(self.words).encode("utf-32-le"), "<u4").reshape(self.count, n).astype(np.uint64)
         for end in range(1, n + 1):
-            open_ = np.ones(count, bool)
-            for start in range(max(0, end - m.longest), end):
-                idx = np.flatnonzero(open_ & (last[start] > -2))
-                piece = m.look_up((head[end, idx] - head[start, idx] * np.uint64(pow(BASE, end - start, 1 << 64))) * np.uint64(SPREAD))
+            low = max(0, end - m.longest)
+            if end - min(self.oldest, low) >= self.rows:
+                self.oldest = min(int(self.base.min()), low)
+                if end - self.oldest >= self.rows:
+                    self.grow(end)
+            self.kept = max(self.kept, end - min(self.oldest, low))
+            row = end % self.rows
+            self.head[row] = self.head[(end - 1) % self.rows] * np.uint64(BASE) + cp[:, end - 1] + np.uint64(1)
+            self.last[row] = -2
+            open_ = np.ones(self.count, bool)
+            for start in range(low, end):
+                old = start % self.rows
+                idx = np.flatnonzero(open_ & (self.last[old] > -2))
+                piece = m.look_up((self.head[row, idx] - self.head[old, idx] * POWERS[end - start]) * np.uint64(SPREAD))
                 if end - start > 1:
-                    idx, piece = idx[piece >= 0], piece[piece >= 0]
+                    hit = np.flatnonzero(piece >= 0)
+                    idx, piece = idx[hit], piece[hit]
                 if not len(idx):
                     continue
-                keys, inverse = np.unique((last[start, idx] + 1) * size + piece + 1, return_inverse=True)
-                fits = np.array([known if (known := m.pairs.get(k)) is not None else m.allowed(k // size - 1, k % size - 1) for k in keys.tolist()], bool)[inverse]
+                fits = m.all_allowed((self.last[old, idx] + 1) * size + piece + 1)
                 idx, piece = idx[fits], piece[fits]
-                last[end, idx], came[end, idx] = piece, start
+                self.last[row, idx], self.came[row, idx] = piece, start
+                self.hop[row, idx] = np.where(self.base[idx] == start, end, self.hop[old, idx])
                 open_[idx] = False
-        out = []
-        last, came = last.T.tolist(), came.T.tolist()
-        for w, ends, starts in zip(words, last, came):
-            ids, b = [], n
-            while b:
-                ids.append([ends[b]] if ends[b] >= 0 else m.unknown(w[b - 1]))
-                b = starts[b]
-            out.append(np.array([i for part in reversed(ids) for i in part], "<u4").tobytes())
+            if end > m.longest and end < n:
+                self.converge(end)
+        # the end is the only survivor: its path is final, piece by piece
+        lanes = np.arange(self.count)
+        while len(lanes):
+            self.commit(lanes, self.hop[n % self.rows, lanes])
+            lanes = lanes[self.base[lanes] < n]
+            step = np.full(len(lanes), n)
+            while True:
+                before = self.came[step % self.rows, lanes]
+                far = before > self.base[lanes]
+                if not far.any():
+                    break
+                step[far] = before[far]
+            self.hop[n % self.rows, lanes] = step
+        return self.ids()
+
+    def ids(self) -> list[bytes]:
+        lanes, pieces, at = (np.concatenate(x) for x in zip(*self.out))
+        order = np.argsort(lanes, kind="stable")
+        lanes, pieces, at = lanes[order], pieces[order], at[order]
+        ends = np.cumsum(np.bincount(lanes, minlength=self.count))
+        raw = pieces.astype("<i4").tobytes()
+        out = [raw[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        for lane in np.unique(lanes[pieces < 0]).tolist():
+            part = slice(int(ends[lane - 1]) if lane else 0, int(ends[lane]))
+            ids = [[j] if j >= 0 else self.model.unknown(self.words[lane][b - 1]) for j, b in zip(pieces[part].tolist(), at[part].tolist())]
+            out[lane] = np.array([i for one in ids for i in one], "<u4").tobytes()
         return out
 
+
+class Encoder:
+    """Ids of texts. A text is cut where every path must cross: before spaces and around line breaks, if
+    the model's pieces allow. What lies between two cuts is streamed, many of one length in Lanes, few by
+    a Stream each: both commit ids out of a window."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known: dict[str, bytes] = {}
+        line = r"\n|" if model.cut_lines else ""
+        other = r"[^ \n]" if model.cut_lines else "[^ ]"
+        self.chunks = re.compile(f"{line} *{other}+| +") if model.cut_spaces else None
+
     def learn(self, chunks: set[str]) -> None:
         if len(self.known) > CACHE:
             self.known.clear()
         groups: dict[int, list[str]] = {}
         for c in chunks:
             if c not in self.known:
-                if self.model.kind == "bpe" and self.model.exact and len(c) <= SIDE_BY_SIDE:
-                    groups.setdefault(len(c), []).append(c)
-                else:
-                    self.known[c] = np.fromiter(stream(self.model, c.replace(" ", SPACE)), "<u4").tobytes()
+                groups.setdefault(len(c), []).append(c)
         for same in groups.values():
+            if self.model.kind != "bpe" or not self.model.exact or len(same) < FEW:
+                for c in same:
+                    self.known[c] = np.fromiter(stream(self.model, c.replace(" ", SPACE)), "<u4").tobytes()
+                continue
             for a in range(0, len(same), 4096):
                 part = same[a : a + 4096]
-                self.known.update(zip(part, self.side_by_side(part)))
+                self.known.update(zip(part, Lanes(self.model, [c.replace(" ", SPACE) for c in part]).run()))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text. An empty text has none; any other gets a space before it."""
@@ -276,10 +402,10 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, model: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_ids, ids_crc32, round_trip[, ids]) of every row: one map, no shuffle; whole texts.
 
-    ids_crc32 is over little-endian unsigned 32-bit ids. round_trip: decoding the ids gives the text
-    (a text that holds the model's space sign U+2581 itself comes back with spaces). Null and empty
-    texts have no ids. Null ids and repeated rows stay; an empty table gives no rows; other columns
-    aren't read.
+    ids_crc32 is over little-endian unsigned 32-bit ids. round_trip: decoding the ids gives the text;
+    false for a text that holds the model's space sign U+2581 itself, which comes back as a space.
+    Null and empty texts have no ids and come back empty. Null ids and repeated rows stay; an empty
+    table gives no rows; other columns aren't read.
     """
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_ids bigint, ids_crc32 bigint, round_trip boolean" + ", ids array<int>" * with_ids
 
@@ -294,7 +420,7 @@ def encode(docs: DataFrame, model: str, with_ids: bool = False, id_col: str = "d
                 lists = [np.frombuffer(i, "<u4").tolist() for i in ids]
                 columns = [
                     batch.column(0).slice(at, 256), pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()), pa.array([len(i) // 4 for i in ids], pa.int64()),
-                    pa.array([crc32(i) for i in ids], pa.int64()), pa.array([decode(i) == t.replace(SPACE, " ") for i, t in zip(lists, texts)], pa.bool_()),
+                    pa.array([crc32(i) for i in ids], pa.int64()), pa.array([decode(i) == t for i, t in zip(lists, texts)], pa.bool_()),
                 ]
                 names = ["doc_id", "n_bytes", "n_ids", "ids_crc32", "round_trip"]
                 if with_ids:
@@ -308,7 +434,8 @@ def encode(docs: DataFrame, model: str, with_ids: bool = False, id_col: str = "d
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) out of (doc_id, ids); null ids give a null text."""
+    """(doc_id, text) out of (doc_id, ids). Null ids give a null text, no ids an empty one; null
+    doc_ids and repeated rows stay; an empty table gives no rows; other columns aren't read."""
 
     def make():
         m = encoder(model).model
