@@ -1,7 +1,12 @@
-"""Sum-of-squares online packing of tokenized documents into sequences of a fixed length."""
+"""Sum-of-squares online packing of tokenized documents into sequences of a fixed length.
+
+Two steps with one shuffle between: texts become ids where they lie; then packers, each for so many
+documents, take what is left of a document after its whole windows and place it by the rule.
+"""
 
 from __future__ import annotations
 
+from collections import deque
 from functools import lru_cache
 from zlib import crc32
 
@@ -13,9 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 from ._common import arrow_map
 from .tokens import vocabulary
 
-#: Open windows a task holds before it closes some by cutting.
-MAX_OPEN = 4096
-#: Sequence ids of a partition start at its number times this.
+#: Documents for one packer: the packers grow with the corpus, what each holds does not.
+PER_PACKER = 32_768
+#: Sequence ids of a packer start at its number times this; so do the numbers of a partition's rows.
 STRIDE = 1 << 36
 FIELDS = (("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()))
 
@@ -26,15 +31,13 @@ class SumOfSquares:
     An item of s ids (s < size) goes to the level h, h + s <= size, that leaves the sum of the
     squared counts least: moving a window from h to h + s changes it by 2 (N[h+s] - N[h] + 1), or by
     1 - 2 N[h] if that fills it, and a new window by 2 N[s] + 1. Ties go to the fullest window.
-    A full window closes. Beyond `max_open` windows, and at the end, open windows close by cutting:
-    their pieces are laid end to end, `size` at a time, the rest of the last at powers of two.
+    A full window closes.
     """
 
-    def __init__(self, size: int, max_open: int = MAX_OPEN):
-        self.size, self.max_open = size, max_open
+    def __init__(self, size: int):
+        self.size = size
         self.levels = np.zeros(size + 1, np.int64)
         self.windows: list[list[list]] = [[] for _ in range(size)]
-        self.open = 0
 
     def place(self, item, s: int):
         """Puts the item of s ids; the contents of the window that it fills, or None."""
@@ -49,7 +52,6 @@ class SumOfSquares:
         if h:
             window = self.windows[h].pop()
             n[h] -= 1
-            self.open -= 1
         else:
             window = []
         window.append(item)
@@ -57,58 +59,48 @@ class SumOfSquares:
             return window
         self.windows[h + s].append(window)
         n[h + s] += 1
-        self.open += 1
         return None
 
-    def crowded(self) -> list[list]:
-        """When too many are open: takes half of the windows out, from the most crowded levels."""
-        if self.open <= self.max_open:
-            return []
-        out, spare = [], self.open - self.max_open // 2
-        for h in np.argsort(-self.levels[: self.size], kind="stable"):
-            take = min(spare, len(self.windows[h]))
-            for _ in range(take):
-                out.append(self.windows[h].pop())
-            self.levels[h] -= take
-            self.open -= take
-            spare -= take
-            if not spare:
-                break
-        return out
-
     def rest(self) -> list[list]:
+        """Takes the open windows out, the fullest first."""
         out = [w for h in range(self.size - 1, 0, -1) for w in self.windows[h]]
-        self.windows, self.open = [[] for _ in range(self.size)], 0
+        self.windows = [[] for _ in range(self.size)]
         self.levels[:] = 0
         return out
 
 
-def relaid(items: list[tuple[int, int, np.ndarray]], size: int, last: bool):
-    """(doc, start, ids) pieces laid end to end and cut: lists of pieces of `size` ids each.
+def topped_up(windows: list[list], size: int) -> list[list]:
+    """The windows open at the end, the fullest first, made whole: a gap takes ids of the emptiest window
+    left, cut where the gap ends, so only the emptiest are cut. What remains at last is laid end to end
+    in falling powers of two. Items are (key, start, ids)."""
+    out, todo = [], deque(windows)
+    spare: list = []  # pieces of the window that is being cut, the next one last
 
-    last: the remainder too, as sequences of falling powers of two; else it comes back as the second
-    result, uncut pieces.
-    """
-    out, current, filled = [], [], 0
-    total = sum(len(x[2]) for x in items)
-    sizes = [size] * (total // size)
-    if last:
-        sizes += [1 << k for k in range(size.bit_length(), -1, -1) if (total % size) >> k & 1]
-    want = iter(sizes)
-    goal = next(want, None)
-    left = []
-    for doc, start, ids in items:
-        while len(ids):
-            if goal is None:
-                left.append((doc, start, ids))
-                break
+    def fill(current: list, goal: int) -> bool:
+        filled = sum(len(x[2]) for x in current)
+        while filled < goal and (spare or todo):
+            if not spare:
+                spare.extend(reversed(todo.pop()))
+            key, start, ids = spare.pop()
             take = min(goal - filled, len(ids))
-            current.append((doc, start, ids[:take]))
-            start, ids, filled = start + take, ids[take:], filled + take
-            if filled == goal:
-                out.append(current)
-                current, filled, goal = [], 0, next(want, None)
-    return out, left
+            current.append((key, start, ids[:take]))
+            filled += take
+            if take < len(ids):
+                spare.append((key, start + take, ids[take:]))
+        return filled == goal
+
+    while todo:
+        current = todo.popleft()
+        if fill(current, size):
+            out.append(current)
+        else:
+            spare = current[::-1]
+    left = sum(len(x[2]) for x in spare)
+    for k in range(size.bit_length(), -1, -1):
+        if left >> k & 1:
+            out.append(current := [])
+            fill(current, 1 << k)
+    return out
 
 
 @lru_cache(2)
@@ -124,13 +116,39 @@ def encode(path: str, texts: list[str]) -> list[list[int]]:
     return [e.encode(t, allowed_special=special) if any(s in t for s in special) else e.encode_ordinary(t) for t in texts]
 
 
+class Splitter:
+    """Texts to rows: whole windows without their ids, and the rest of a document with them."""
+
+    def __init__(self, tokenizer: str, size: int, eos: int, packers: int, partition: int, id_type: pa.DataType, whole_ids: bool):
+        self.tokenizer, self.size, self.eos, self.packers, self.id_type, self.whole_ids = tokenizer, size, eos, packers, id_type, whole_ids
+        self.item, self.partition = partition * STRIDE, partition
+
+    def __call__(self, batch: pa.RecordBatch):
+        docs, texts = batch.column(0), batch.column(1)
+        for at in range(0, batch.num_rows, 256):
+            of, rows = [], []
+            for i, ids in enumerate(encode(self.tokenizer, [t or "" for t in texts.slice(at, 256).to_pylist()])):
+                ids.append(self.eos)
+                ids = np.array(ids, "<u4")
+                packer = (self.partition + self.item % STRIDE) % self.packers
+                whole = len(ids) - len(ids) % self.size
+                for start in [*range(0, whole, self.size), *[whole] * (whole < len(ids))]:
+                    part = ids[start : start + self.size]
+                    short = part.astype("<u2") if part.max() < 65536 else part
+                    of.append(at + i)
+                    rows.append((packer, self.item, start, len(part), crc32(part.tobytes()), len(ids), short.tobytes() if self.whole_ids or len(part) < self.size else None))
+                self.item += 1
+            types = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+            yield pa.RecordBatch.from_arrays([docs.take(pa.array(of)), *cols], names=["doc_id", "packer", "item", "start", "length", "crc", "doc_tokens", "ids"])
+
+
 class Packer:
-    """One task's packing: rows of pieces out of batches of (doc id, text)."""
+    """Rows of Splitter, sorted by packer, to pieces; each packer has its own level array."""
 
-    def __init__(self, tokenizer: str, size: int, eos: int, id_type: pa.DataType, keep_ids: bool, partition: int):
-        self.tokenizer, self.size, self.eos, self.id_type, self.keep_ids = tokenizer, size, eos, id_type, keep_ids
-        self.next = partition * STRIDE
-        self.squares = SumOfSquares(size)
+    def __init__(self, size: int, id_type: pa.DataType, keep_ids: bool):
+        self.size, self.id_type, self.keep_ids = size, id_type, keep_ids
+        self.now, self.next, self.squares = None, 0, SumOfSquares(size)
 
     def emit(self, window: list, rows: list) -> None:
         offset = 0
@@ -140,7 +158,7 @@ class Packer:
         self.next += 1
 
     def batch(self, rows: list) -> pa.RecordBatch:
-        cols = list(zip(*rows)) or [[]] * (7 + self.keep_ids)
+        cols = list(zip(*rows))
         arrays = [pa.array(cols[0], self.id_type), *(pa.array(c, t) for c, (_, t) in zip(cols[1:7], FIELDS))]
         names = ["doc_id", *(n for n, _ in FIELDS)]
         if self.keep_ids:
@@ -149,35 +167,30 @@ class Packer:
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def __call__(self, batch: pa.RecordBatch):
-        rows, docs, texts = [], batch.column(0).to_pylist(), batch.column(1)
-        for at in range(0, len(docs), 256):
-            for doc, ids in zip(docs[at : at + 256], encode(self.tokenizer, [t or "" for t in texts.slice(at, 256).to_pylist()])):
-                ids.append(self.eos)
-                ids = np.array(ids, "<u4")
-                key = (doc, len(ids))
-                whole = len(ids) - len(ids) % self.size
-                for start in range(0, whole, self.size):
-                    self.emit([(key, start, ids[start : start + self.size])], rows)
-                if whole < len(ids):
-                    full = self.squares.place((key, whole, ids[whole:].copy()), len(ids) - whole)
-                    if full:
-                        self.emit(full, rows)
-                if crowd := self.squares.crowded():
-                    self.close(crowd, rows, last=False)
+        rows: list = []
+        for doc, packer, start, length, crc, total, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packer", "start", "length", "crc", "doc_tokens", "ids"))):
+            if packer != self.now:
+                self.close(rows)
+                self.now, self.next = packer, packer * STRIDE
+            if length == self.size and not self.keep_ids:
+                rows.append((doc, start, length, crc, total, self.next, 0))
+                self.next += 1
+                continue
+            ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * length else "<u4").astype("<u4")
+            if length == self.size:
+                self.emit([((doc, total), start, ids)], rows)
+            elif full := self.squares.place(((doc, total), start, ids), length):
+                self.emit(full, rows)
         if rows:
             yield self.batch(rows)
 
-    def close(self, windows: list, rows: list, last: bool) -> None:
-        done, left = relaid([x for w in windows for x in w], self.size, last)
-        for w in done:
-            self.emit(w, rows)
-        for item in left:
-            if full := self.squares.place(item, len(item[2])):
-                self.emit(full, rows)
+    def close(self, rows: list) -> None:
+        for window in topped_up(self.squares.rest(), self.size):
+            self.emit(window, rows)
 
     def finish(self):
         rows: list = []
-        self.close(self.squares.rest(), rows, last=True)
+        self.close(rows)
         if rows:
             yield self.batch(rows)
 
@@ -185,10 +198,13 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, eos: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of all rows.
 
-    A document is its ids and `eos`. Whole windows of it are sequences of their own; its rest is
-    placed online by SumOfSquares, one packer to each input partition, so nothing is shuffled and a
-    task that is run again gives the same rows. What is open at a partition's end is laid end to end
-    and cut, the very last ids at powers of two: no sequence has padding. Memory: MAX_OPEN windows.
+    A document is its ids and `eos`. Whole windows of it are sequences of their own; the ids of its
+    rest are shuffled, once, to one packer for every PER_PACKER documents and placed there online by
+    SumOfSquares. What is open when a packer has placed all its documents is topped up: the emptiest
+    windows are cut to fill the others, the last ids go to sequences of falling powers of two, so no
+    sequence has padding. Rows have numbers by partition and place, packers take them in that order:
+    a task that is run again gives the same rows. Memory: a packer's open windows, at most
+    PER_PACKER of them.
 
     Null and empty texts are one `eos`. Null ids stay null, repeated rows are packed each for
     itself. An empty table gives no rows. Other columns are not read, whatever their names.
@@ -197,18 +213,30 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, eos: int = 0, with_i
     if size & (size - 1) or size < 2:
         raise ValueError("size must be a power of two")
     field = docs.schema[id_col]
-    schema = f"doc_id {field.dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
+    packers = max(1, -(-docs.count() // PER_PACKER))
+    id_type = field.dataType.simpleString()
 
-    def make():
+    def splitter():
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_type
 
-        return Packer(tokenizer, size, eos, to_arrow_type(field.dataType), with_ids, TaskContext.get().partitionId())
+        return Splitter(tokenizer, size, eos, packers, TaskContext.get().partitionId(), to_arrow_type(field.dataType), with_ids)
+
+    def packer():
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        return Packer(size, to_arrow_type(field.dataType), with_ids)
 
-    return arrow_map(docs.select(id_col, text_col), make, schema)
+    rests = arrow_map(docs.select(id_col, text_col), splitter, f"doc_id {id_type}, packer int, item bigint, start bigint, length bigint, crc bigint, doc_tokens bigint, ids binary")
+    dealt = rests.repartition(packers, "packer").sortWithinPartitions("packer", "item", "start")
+    return arrow_map(dealt, packer, f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids)
 
 
 def materialize(pieces: DataFrame) -> DataFrame:
-    """(sequence_id, ids, doc_ids, starts): each sequence's ids in order, from pack(..., with_ids=True)."""
+    """(sequence_id, ids, doc_ids, starts): each sequence's ids in order, from pack(..., with_ids=True).
+
+    A sequence has at most its size of pieces, so no group is large. A piece of a null doc_id keeps
+    it in doc_ids; repeated rows are pieces of their own; an empty table gives no rows.
+    """
     parts = pieces.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids", "doc_id", "start"))).alias("p"))
     return parts.select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.start").alias("starts"))

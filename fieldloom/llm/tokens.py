@@ -27,10 +27,29 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Settings of a vocabulary file that this module implements, by the file's names; any other raises.
+SETTINGS = {"normalizer": (None,), "truncation": (None,), "padding": (None,)}
+MODEL = {"type": ("BPE",), "dropout": (None, 0), "unk_token": (None,), "continuing_subword_prefix": (None, ""), "end_of_word_suffix": (None, ""), "fuse_unk": (None, False), "byte_fallback": (None, False), "ignore_merges": (None, False)}
+SPLIT = {"type": ("ByteLevel",), "add_prefix_space": (False,), "use_regex": (None, True)}
+ADDED = {"single_word": (None, False), "lstrip": (None, False), "rstrip": (None, False)}
+
+
+def checked(spec: dict) -> dict:
+    """The file's contents; ValueError if a setting would give ids that this module does not give."""
+    parts = [("", spec, SETTINGS), ("model", spec["model"], MODEL), ("pre_tokenizer", spec.get("pre_tokenizer") or {}, SPLIT), *((f"added token {t['content']!r}", t, ADDED) for t in spec["added_tokens"])]
+    for where, found, known in parts:
+        for name, values in known.items():
+            if found.get(name) not in values:
+                raise ValueError(f"vocabulary file: {where} {name} = {found.get(name)!r} is not supported")
+    return spec
+
+
 class Vocabulary:
+    """A byte-level vocabulary file; settings other than those of SETTINGS, MODEL, SPLIT and ADDED raise."""
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = checked(json.load(f))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.letters = byte_letters()
         of = {b: c for c, b in self.letters.items()}
