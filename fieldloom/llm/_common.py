@@ -156,6 +156,36 @@ def fold(doc_id: str, modulus: int) -> "F.Column":
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
 
 
-def sample_ids(df: DataFrame, key: str, limit: int, salt: int = 7) -> DataFrame:
-    """At most `limit` distinct ids in the order of their hash: a bounded sample that any run repeats."""
-    return df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(F.col(key), F.lit(salt)), key).limit(limit)
+def by_characters(texts: list[str | None], most: int) -> Iterator[list[str | None]]:
+    """The texts in turn, in lists of about so many characters; a longer text is alone."""
+    part, size = [], 0
+    for t in texts:
+        n = len(t or "") + 16
+        if part and size + n > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += n
+    if part:
+        yield part
+
+
+def sample_rows(rows: DataFrame, limit: int, characters: int, salt: int = 7) -> list:
+    """The first `limit` of rows (doc_id, text, ...) in hash order of id and text, as many as have so many
+    characters together: a bounded sample of whole rows that any run repeats. Equal rows count once.
+
+    The driver first sees `limit` lengths, then the texts of those rows.
+    """
+    order = [F.xxhash64("doc_id", "text", F.lit(salt)).alias("h"), F.col("doc_id")]
+    first = rows.select(*order, F.char_length("text").alias("n")).distinct().orderBy("h", "doc_id").limit(limit).collect()
+    total, keep = 0, []
+    for r in first:
+        if total + r["n"] <= characters:
+            total += r["n"]
+            keep.append((r["h"], r["doc_id"]))
+    if not keep:
+        return []
+    spark = rows.sparkSession
+    chosen = spark.createDataFrame(keep, f"__h bigint, __id {rows.schema['doc_id'].dataType.simpleString()}")  # `limit` rows at most: may be broadcast
+    found = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("doc_id", "text", F.lit(salt)) == F.col("__h"))).drop("__h", "__id")
+    return sorted(found.dropDuplicates().limit(limit).collect(), key=lambda r: (str(r["doc_id"]), r["text"], repr(r)))

@@ -11,15 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import arrow_map, fold, sample_ids
+from ._common import arrow_map, by_characters, fold, sample_rows
 
 BITS = 18
-#: The bounded sample it is fitted on: texts, characters of a text, words of a text.
-FIT_TEXTS, FIT_CHARS, FIT_WORDS = 2000, 20_000, 120
-#: Chains longer than this are cut: a line without end stays a bounded task.
-CHAIN = 256
-#: Letters of a word that are looked at; longer words are cut in words of this length.
-LETTERS = 32
+#: The bounded sample it is fitted on: labelled rows, and characters of all of them together.
+FIT_TEXTS, FIT_TOTAL = 1000, 50_000_000
+#: Words of a chain that are walked in one go; longer chains are walked block by block, exactly.
+BLOCK = 256
+#: Letters of words, and characters of texts, that are worked on at a time; a longer one alone.
+LETTERS, CHARACTERS = 1 << 17, 1 << 20
 EPOCHS, RATE = 4, 0.3
 CACHE = 600_000
 EDGES = ".,;:!?\"'()[]{}<>«»…#$%&*|-_/\\0123456789"
@@ -58,45 +58,84 @@ def cleaned(word: str) -> str:
     return word if any(map(str.isalpha, word)) else ""
 
 
-def forward_backward(emit: np.ndarray, lengths: np.ndarray, step: np.ndarray, start: np.ndarray):
+def forward_backward(emit: np.ndarray, lengths: np.ndarray, step: np.ndarray, start: np.ndarray, block: int = BLOCK):
     """State probabilities of each word of each chain, expected transitions, log-likelihood's normalizer.
 
-    emit: [word, state] log weights, chains one after another, `lengths` words each. All chains take
-    a step together; those that have ended drop out, so they are sorted by length first.
+    emit: [word, state] log weights, chains one after another, `lengths` words each, none of them 0.
+    Chains are walked in blocks, all blocks a step together; those that have ended drop out, so they
+    are sorted by length first. A block's words as one matrix say what a state before it gives after
+    it: with these, what comes into each block from before and from behind is known beforehand, so
+    cutting changes nothing.
     """
     states = emit.shape[1]
-    order = np.argsort(-lengths, kind="stable")
-    begin = (np.cumsum(lengths) - lengths)[order]
-    size = lengths[order]
-    longest = int(size[0]) if len(size) else 0
-    alive = [int(np.searchsorted(-size, -t, side="left")) for t in range(longest)]  # chains with more than t words
     trans = np.exp(step)
     weight = np.exp(emit - emit.max(1, keepdims=True))
+    parts = -(-lengths // block)
+    size = np.full(int(parts.sum()), block, np.int64)
+    ends = np.cumsum(parts) - 1
+    size[ends] = lengths - (parts - 1) * block
+    begin = np.cumsum(size) - size
+    lead = np.empty((len(size), states))  # a block's states before its first word
+    lead[ends - parts + 1] = np.exp(start)
+    tail = np.ones((len(size), states))  # and what follows its last
+    if len(size) > len(lengths):
+        long = np.flatnonzero(np.repeat(parts > 1, parts))
+        whole = _matrices(weight, begin[long], size[long], trans)
+        at = np.cumsum(np.repeat(parts > 1, parts)) - 1
+        for e, n in zip(ends[parts > 1].tolist(), parts[parts > 1].tolist()):
+            for p in range(e - n + 1, e):
+                after = lead[p] @ whole[at[p]]
+                lead[p + 1] = (after / after.sum()) @ trans
+            for p in range(e - 1, e - n, -1):
+                tail[p] = trans @ (whole[at[p + 1]] @ tail[p + 1])
+                tail[p] /= tail[p].sum()
+    order = np.argsort(-size, kind="stable")
+    begin, size, lead, tail = begin[order], size[order], lead[order], tail[order]
+    longest = int(size[0]) if len(size) else 0
+    alive = [int(np.searchsorted(-size, -t, side="left")) for t in range(longest)]  # blocks with more than t words
     alpha, beta = np.empty_like(weight), np.empty_like(weight)
     scale = np.empty(len(weight))
     now = None
     for t in range(longest):
         at = begin[: alive[t]] + t
-        now = (np.exp(start) if t == 0 else now[: alive[t]] @ trans) * weight[at]
+        now = (lead if t == 0 else now[: alive[t]] @ trans) * weight[at]
         total = now.sum(1)
         now = now / total[:, None]
         alpha[at], scale[at] = now, total
     expected = np.zeros((states, states))
-    now = np.ones((len(size), states))
+    last = begin + size - 1
+    tail /= (alpha[last] * tail).sum(1, keepdims=True)  # forward times backward is 1 everywhere
     for t in range(longest - 1, -1, -1):
         at = begin[: alive[t]] + t
+        now = tail[: alive[t]].copy()
         if t + 1 < longest and alive[t + 1]:
             nxt = begin[: alive[t + 1]] + t + 1
             flow = weight[nxt] * beta[nxt] / scale[nxt][:, None]
-            now = np.ones((alive[t], states))
             now[: alive[t + 1]] = flow @ trans.T
             expected += alpha[at[: alive[t + 1]]].T @ flow * trans
-        else:
-            now = np.ones((alive[t], states))
         beta[at] = now
+    chain = np.cumsum(lengths) - lengths
+    nxt = np.setdiff1d(begin, chain)  # first words of blocks that go on a chain
+    if len(nxt):
+        expected += alpha[nxt - 1].T @ (weight[nxt] * beta[nxt] / scale[nxt][:, None]) * trans
     return alpha * beta, expected, float(np.log(scale).sum() + emit.max(1).sum())
 
 
+def _matrices(weight: np.ndarray, begin: np.ndarray, size: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """[block, state before, state at its last word], up to a factor a block."""
+    order = np.argsort(-size, kind="stable")
+    out = np.empty((len(size), *trans.shape))
+    now = np.eye(len(trans))[None] * weight[begin[order]][:, None, :]
+    for t in range(1, int(size.max()) + 1):
+        alive = int(np.searchsorted(-size[order], -t, side="left"))
+        out[order[alive : len(now)]] = now[alive:]
+        if not alive:
+            break
+        now = (now[:alive] @ trans) * weight[begin[order[:alive]] + t][:, None, :]
+        now /= now.max((1, 2), keepdims=True)
+    return out
+
+
 class Field:
     def __init__(self, states: list[str]):
         self.states = states
@@ -113,14 +152,16 @@ class Field:
 
 
 def by_length(words: list[str]):
+    """Indices and features of words of one length, whole words, about LETTERS letters at a time."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         if w:
-            groups.setdefault(min(len(w), LETTERS), []).append(i)
+            groups.setdefault(len(w), []).append(i)
     for n, idx in groups.items():
-        for a in range(0, len(idx), 4096):
-            part = idx[a : a + 4096]
-            yield part, features([words[i][:n] if len(words[i]) <= LETTERS else words[i][: LETTERS // 2] + words[i][-LETTERS // 2 :] for i in part])
+        take = max(1, LETTERS // n)
+        for a in range(0, len(idx), take):
+            part = idx[a : a + take]
+            yield part, features([words[i] for i in part])
 
 
 def fit(rows: list[tuple[str, str]]) -> Field:
@@ -137,9 +178,6 @@ def fit(rows: list[tuple[str, str]]) -> Field:
     for text, lang in rows:
         counts[states.index(lang)] += 1
         words = [w for w in map(cleaned, text.split()) if w]
-        if len(words) > FIT_WORDS:
-            at = int(rng.integers(len(words) - FIT_WORDS))
-            words = words[at : at + FIT_WORDS]
         pieces += [(words[a : a + 12], states.index(lang)) for a in range(0, len(words), 12)]
     if not pieces or len(states) < 2:
         return field
@@ -199,11 +237,12 @@ def fit(rows: list[tuple[str, str]]) -> Field:
 
 
 def train(docs: DataFrame, modulus: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field:
-    """Fits on FIT_TEXTS texts at most, in hash order of their ids, of known language, outside the held-out fold."""
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & (fold("doc_id", modulus) != held_out) & (F.char_length("text") <= FIT_CHARS))
-    ids = sample_ids(known, "doc_id", FIT_TEXTS)  # FIT_TEXTS rows at most: may be broadcast
-    rows = known.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "lang", "text").limit(FIT_TEXTS).collect()
-    return fit([(r["text"], r["lang"]) for r in rows])
+    """Fits on a sample of the rows of known language outside the held-out fold: the first FIT_TEXTS in
+    hash order of id and text, as many of them as have FIT_TOTAL characters together, whole texts.
+    Without such rows every text is `und`."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", modulus) != held_out))
+    return fit([(r["text"], r["lang"]) for r in sample_rows(known, FIT_TEXTS, FIT_TOTAL)])
 
 
 class Tagger:
@@ -250,11 +289,9 @@ class Tagger:
         flat, lengths, owner = [], [], []
         for d, doc in enumerate(lines):
             for line in doc:
-                ids = [i for i in map(get, line) if i]
-                for a in range(0, len(ids), CHAIN):
-                    part = ids[a : a + CHAIN]
-                    flat += part
-                    lengths.append(len(part))
+                if ids := [i for i in map(get, line) if i]:
+                    flat += ids
+                    lengths.append(len(ids))
                     owner.append(d)
         return np.array(flat, np.int64), np.array(lengths, np.int64), np.array(owner, np.int64)
 
@@ -290,8 +327,8 @@ def identify(docs: DataFrame, field: Field, modulus: int = 5, held_out: int = 0,
 
         def one(batch: pa.RecordBatch):
             lang, score = [], []
-            for at in range(0, batch.num_rows, 400):
-                a, b = tag(batch.column(2).slice(at, 400).to_pylist())
+            for texts in by_characters(batch.column(2).to_pylist(), CHARACTERS):
+                a, b = tag(texts)
                 lang += a
                 score += b
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])

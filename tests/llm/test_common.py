@@ -34,6 +34,25 @@ def test_fold(spark):
 
 
 def test_sample_is_bounded_and_repeats(spark):
-    df = spark.range(1000).withColumn("x", F.lit(1)).repartition(7)
-    a, b = (sorted(r["id"] for r in _common.sample_ids(d, "id", 20).collect()) for d in (df, df.repartition(3)))
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    a, b = (_common.sample_rows(d, 20, 10_000) for d in (df, df.unionAll(df).repartition(3)))
     assert a == b and len(a) == 20
+    few = _common.sample_rows(df, 20, 30)
+    assert 0 < len(few) < 20 and sum(len(r["text"]) for r in few) <= 30
+    assert _common.sample_rows(df.limit(0), 20, 30) == []
+
+
+def test_texts_in_parts():
+    texts = ["a" * 100, None, "", "b" * 5, "c" * 200]
+    parts = list(_common.by_characters(texts, 150))
+    assert [t for p in parts for t in p] == texts and len(parts) > 1 and list(_common.by_characters([], 5)) == []
+
+
+def test_discarded_tables_are_gone(spark):
+    import os
+
+    df = _common.written(spark.range(5), "x")
+    path = df._fieldloom_path
+    assert os.path.exists(path)
+    _common.discard(df, spark.range(1))
+    assert not os.path.exists(path)

@@ -158,6 +158,34 @@ def test_forward_backward_is_brute_force():
     assert expected == pytest.approx(pairs) and norm == pytest.approx(log_z)
 
 
+@pytest.mark.parametrize("block", [1, 2, 5, 64])
+def test_blocks_change_nothing(block):
+    rng = np.random.default_rng(1)
+    lengths = np.array([1, 13, 2, 5, 10, 64, 7])
+    emit, step, start = rng.normal(size=(lengths.sum(), 4)) * 6, rng.normal(size=(4, 4)) * 2, rng.normal(size=4)
+    whole, cut = (language.forward_backward(emit, lengths, step, start, block=b) for b in (1000, block))
+    assert cut[0] == pytest.approx(whole[0], abs=1e-12) and cut[1] == pytest.approx(whole[1]) and cut[2] == pytest.approx(whole[2])
+    assert whole[0].sum(1) == pytest.approx(np.ones(len(emit)))
+
+
+def test_long_lines_and_long_words_are_read_whole(documents):
+    field = language.train(documents)
+    tag = language.Tagger(field)
+    by = {r["lang"]: r["text"].split() for r in documents.where("lang in ('en', 'es') and n_chars > 1500").limit(60).collect()}
+    line = " ".join((by["en"] * 4)[:900] + (by["es"] * 4)[:700])
+    ids, lengths, _ = tag.words([line])
+    assert len(lengths) == 1 and lengths[0] > 1200
+    emit = tag.table[ids].astype(float)
+    cut, whole = (language.forward_backward(emit, lengths, field.step, field.start, block=b)[0] for b in (language.BLOCK, 10**6))
+    assert cut == pytest.approx(whole, abs=1e-12)
+    # one word of a thousand letters: its middle counts
+    a, b = "".join(by["en"])[:400], "".join(by["es"])[:600]
+    words = [a[:200] + x + a[200:] for x in (a * 2, b)]
+    assert not np.allclose(*(field.emissions([language.cleaned(w)])[0] for w in words))
+    rows = np.unique(next(language.by_length([words[1]]))[1])
+    assert field.emissions([words[1]])[0] == pytest.approx(field.weights[next(language.by_length([words[1]]))[1][0]].sum(0), abs=1e-3) and len(rows) > 1000
+
+
 def test_language_held_out(documents):
     rows = language.identify(documents, language.train(documents)).collect()
     lang = {r["doc_id"]: r["lang"] for r in documents.collect()}
