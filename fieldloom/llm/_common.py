@@ -170,14 +170,16 @@ def by_characters(texts: list[str | None], most: int) -> Iterator[list[str | Non
         yield part
 
 
-def sample_rows(rows: DataFrame, limit: int, characters: int, salt: int = 7) -> list:
+def sample_rows(rows: DataFrame, limit: int, characters: int, salt: int = 7, among: DataFrame | None = None) -> list:
     """The first `limit` of rows (doc_id, text, ...) in hash order of id and text, as many as have so many
     characters together: a bounded sample of whole rows that any run repeats. Equal rows count once.
 
-    The driver first sees `limit` lengths, then the texts of those rows.
+    among: only rows whose doc_id it has. The driver first sees `limit` lengths, then the texts of those rows.
     """
-    order = [F.xxhash64("doc_id", "text", F.lit(salt)).alias("h"), F.col("doc_id")]
-    first = rows.select(*order, F.char_length("text").alias("n")).distinct().orderBy("h", "doc_id").limit(limit).collect()
+    narrow = rows.select(F.xxhash64("doc_id", "text", F.lit(salt)).alias("h"), "doc_id", F.char_length("text").alias("n"))
+    if among is not None:
+        narrow = narrow.join(among.select("doc_id"), "doc_id", "left_semi").select("h", "doc_id", "n")
+    first = narrow.distinct().orderBy("h", "doc_id").limit(limit).collect()
     total, keep = 0, []
     for r in first:
         if total + r["n"] <= characters:

@@ -16,22 +16,22 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import arrow_map, fold, written
+from ._common import arrow_map, by_characters, fold, sample_rows, written
 from .shingles import Shingler, mix
 
 DECAY = 0.6
 #: Symbols: 26 letters, 10 classes of other characters, digits, signs, start, end.
 SYMBOLS, OTHER, DIGIT, SIGN, START, END = 40, 26, 36, 37, 38, 39
-#: Units longer than WINDOW symbols are scored as half-overlapping windows.
+#: A unit longer than WINDOW symbols is as bad as the worst of its half-overlapping windows, in fitting and scoring.
 WINDOW = 24
-#: The bounded sample a machine is fitted on: rows of either label, characters of a row.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1500, 2500, 20_000
+#: The bounded sample a machine is fitted on: rows of either label, and characters of each label's rows together.
+FIT_TOXIC, FIT_CLEAN, FIT_TOTAL = 1500, 2500, 20_000_000
 #: Landmarks of either side, rounds of fitting, the G statistic from which a letter run names units.
 LANDMARKS, ROUNDS, WITNESS = 96, 5, 15.0
 #: The score at which a text is as likely toxic as not.
 EVEN = 0.7
-#: Units a worker remembers before it starts afresh.
-CACHE = 400_000
+#: Units a worker remembers before it starts afresh; characters of texts scored at a time, a longer text alone.
+CACHE, CHARACTERS = 400_000, 1 << 21
 SPACED = regex.compile(r"(?<!\S)\w(?:[ \t]\w){3,}(?!\S)")
 EDGES = ".,;:!?\"'()[]{}<>«»…"
 
@@ -211,8 +211,7 @@ def fit(toxic: list[Counter], clean: list[Counter]) -> Machine:
     """
     if not toxic or not clean:
         return Machine(np.zeros(SYMBOLS**3), -1.0)
-    strip = lambda u: windows(u.strip(EDGES) or " ")[0]
-    bags = [[sorted({v for u in d if len(v := strip(u)) >= 3}) for d in docs] for docs in (clean, toxic)]
+    bags = [[sorted({v for u in d for v in windows(u.strip(EDGES)) if len(v) >= 3}) for d in docs] for docs in (clean, toxic)]
     sizes = [len(clean), len(toxic)]
     grams = lambda u: {f"^{u}$"[i : i + k] for k in (4, 5) for i in range(len(u) + 3 - k)}
     own, runs = [[Counter(u for d in side for u in d) for side in bags], [Counter(), Counter()]]
@@ -288,16 +287,19 @@ def first_of_kin(texts: list[str]) -> list[bool]:
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """Fits on a bounded sample of labelled rows outside the held-out fold: FIT_TOXIC and FIT_CLEAN
-    ids in hash order, of at most FIT_CHARS characters each."""
+    """Fits on a sample of labelled rows outside the held-out fold: the first FIT_TOXIC and FIT_CLEAN rows
+    in hash order of id and text, as many of them as have FIT_TOTAL characters together, whole texts.
+
+    Several labels of an id: their mean, 0.5 is toxic. Null ids and null texts are not fitted on; repeated
+    rows count once, families of copies nearly so. Without rows of both labels nothing is toxic. The
+    driver holds the sample: 2 x FIT_TOTAL characters at most.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).alias("toxic")).where(fold("doc_id", modulus) != held_out)
-    order = [F.xxhash64(F.col("doc_id"), F.lit(3)), F.col("doc_id")]
-    ids = known.where("toxic").orderBy(*order).limit(FIT_TOXIC).unionAll(known.where("not toxic").orderBy(*order).limit(FIT_CLEAN))
-    ids = written(ids, "toxic-ids")  # FIT_TOXIC + FIT_CLEAN rows at most: may be broadcast
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.char_length("text") <= FIT_CHARS)
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(FIT_TOXIC + FIT_CLEAN).collect()
-    rows = [r for r, first in zip(rows, first_of_kin([r["text"] for r in rows])) if first]
-    return fit([units_of(r["text"]) for r in rows if r["toxic"]], [units_of(r["text"]) for r in rows if not r["toxic"]])
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    known = written(known, "labels")
+    rows = [(r["text"], toxic) for toxic, limit in ((True, FIT_TOXIC), (False, FIT_CLEAN)) for r in sample_rows(texts, limit, FIT_TOTAL, 3, known.where(F.col("toxic") == toxic))]
+    rows = [r for r, first in zip(rows, first_of_kin([t for t, _ in rows])) if first]
+    return fit([units_of(t) for t, toxic in rows if toxic], [units_of(t) for t, toxic in rows if not toxic])
 
 
 class scorer:
@@ -322,6 +324,7 @@ class scorer:
 def toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.7, modulus: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row: one map, no shuffle; whole texts.
 
+    A text is scored by its units' margins, a unit of over WINDOW symbols by the worst of its windows.
     Null and empty texts score as a text without a toxic unit. A null id is in no fold (held_out
     false); repeated rows are scored each; an empty table gives no rows; other columns aren't read.
     The score depends on the text alone.
@@ -334,8 +337,8 @@ def toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.7, modulus:
 
         def one(batch: pa.RecordBatch):
             out = []
-            for at in range(0, batch.num_rows, 512):
-                out += score(batch.column(2).slice(at, 512).to_pylist())
+            for texts in by_characters(batch.column(2).to_pylist(), CHARACTERS):
+                out += score(texts)
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array([int(s >= threshold) for s in out], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
         return one
@@ -345,7 +348,11 @@ def toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.7, modulus:
 
 
 def keep_clean(docs: DataFrame, machine: Machine, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they were, whose text scores below the threshold."""
+    """The rows of docs, all columns as they were, whose text scores below the threshold: one map.
+
+    Null and empty texts score as a text without a toxic unit. Null ids stay like others, repeated rows
+    stay or go together; an empty table gives no rows.
+    """
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -353,9 +360,8 @@ def keep_clean(docs: DataFrame, machine: Machine, threshold: float = 0.7, text_c
         score = scorer(shared.value)
 
         def one(batch: pa.RecordBatch):
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                yield part.filter(pa.array([s < threshold for s in score(part.column(at).to_pylist())], pa.bool_()))
+            keep = [s < threshold for texts in by_characters(batch.column(at).to_pylist(), CHARACTERS) for s in score(texts)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
         return one
 

@@ -104,6 +104,77 @@ def test_gaps_and_insertions():
     assert toxicity.units_of("you g r o b n a k !")["grobnak"] == 1
 
 
+def test_scores_are_brute_force(spark, monkeypatch):
+    """The whole score of a small table by plain sums: kernel with each landmark, worst units, logistic layer."""
+    seen = {}
+    nystrom, svm = toxicity.nystrom, toxicity.svm
+
+    def caught_nystrom(units, landmarks):
+        out = nystrom(units, landmarks)
+        seen["landmarks"], seen["root"] = landmarks, out[1]
+        return out
+
+    def caught_svm(*a, **k):
+        seen["w"] = svm(*a, **k)
+        return seen["w"]
+
+    monkeypatch.setattr(toxicity, "nystrom", caught_nystrom)
+    monkeypatch.setattr(toxicity, "svm", caught_svm)
+    rng = np.random.default_rng(1)
+    plain = ["".join(rng.choice(list("aeiorntslmd"), 5)) for _ in range(25)]
+    docs = [(i, " ".join(rng.choice(plain, 6)) + (" grobnak" if i % 2 else "")) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id bigint, toxic int")
+    more = [(100, "you gro-bnak!"), (101, "a g r o b n a k b"), (102, "x" * 60 + "grobnak"), (103, None), (104, "Grobnak, grobnak")]
+    df = spark.createDataFrame(docs + more, "doc_id bigint, text string")
+    machine = toxicity.train(df, labels)
+    coefficients = seen["root"] @ seen["w"][:-1]
+    kernel = {}
+
+    def k(a, b):
+        if (a, b) not in kernel:
+            kernel[a, b] = brute_kernel(toxicity.symbols([a])[0].tolist(), toxicity.symbols([b])[0].tolist())
+        return kernel[a, b]
+
+    def margin(unit):
+        unit = unit.strip(toxicity.EDGES)
+        if unit in machine.known:
+            unit = ""
+        parts = [unit] if len(unit) <= 24 else [unit[a : a + 24] for a in range(0, len(unit) - 12, 12)]
+        return max(-1.0 if len(p) < 3 else sum(c * k(p, m) / math.sqrt(k(p, p) * k(m, m)) for c, m in zip(coefficients, seen["landmarks"])) + seen["w"][-1] for p in parts)
+
+    def score(text):
+        words = (text or "").lower().split()
+        units = Counter(words)
+        run = []
+        for w in [*words, ""]:
+            if len(w) == 1 and w.isalpha():
+                run.append(w)
+                continue
+            if len(run) >= 4:
+                units["".join(run)] += 1
+            run = []
+        m = {u: margin(u) for u in units}
+        top = (sorted(m.values(), reverse=True) + [-1.0] * 4)[:4]
+        hits = sum(n for u, n in units.items() if m[u] > 0)
+        x = [*(min(max(v, -1), 2) for v in top), math.log(1 + hits), math.sqrt(hits / max(sum(units.values()), 1)), 1]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, machine.layer))))
+
+    rows = {r["doc_id"]: r["score"] for r in toxicity.toxicity(df, machine).collect()}
+    texts = dict(docs[:12] + more[:2] + more[3:])  # the long unit's plain sums take too long; its rule is tested below
+    assert {i: rows[i] for i in texts} == pytest.approx({i: score(t) for i, t in texts.items()}, abs=2e-3)
+    assert rows[1] > 0.7 > rows[0]
+
+
+def test_toxicity_held_out_at_scale(spark):
+    """A tenth of what the larger scale misses has no insult left that the machine could know."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.toxicity(docs, toxicity.train(docs, labels)).where("held_out").join(labels, "doc_id").select("toxic", "predicted", "score").collect()
+    caught = np.mean([r["predicted"] for r in scored if r["toxic"] == 1])
+    flagged = np.mean([r["predicted"] for r in scored if r["toxic"] == 0])
+    print("held out at sf0.1: caught", caught, "flagged", flagged)
+    assert caught > 0.85 and flagged < 0.03
+
+
 def test_toxicity_held_out(documents, labels, spark):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -112,7 +183,7 @@ def test_toxicity_held_out(documents, labels, spark):
     assert all(r["held_out"] == held(r["doc_id"], 3, 1) and r["predicted"] == (r["score"] >= 0.7) for r, _ in scored)
     pos, neg = ([r["score"] for r, t in scored if t == k and r["held_out"]] for k in (1, 0))
     auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
-    assert auc > 0.8 and np.mean(np.array(neg) >= 0.7) < 0.05
+    assert auc > 0.8 and np.mean(np.array(neg) >= 0.7) < 0.05 and np.mean(np.array(pos) >= 0.7) > 0.7
 
 
 def test_toxicity_odd_rows(odd, odd_labels, empty, no_labels):
