@@ -1,6 +1,7 @@
 """Fingerprints, resharding, vectors, near-duplicates and the pipeline against brute force."""
 
 import hashlib
+import math
 import os
 import re
 import zlib
@@ -170,9 +171,12 @@ def test_pivots_against_brute_force(spark):
                 rows.append((n, [float(np.float32(v)) for v in base + rng.normal(size=16) * rng.choice([0, 0.1, 0.25])], label))
                 n += 1
     rows += [(n, None, 0), (n + 1, [0.0] * 16, 0), (n + 2, [float("nan")] * 16, 0), (n + 3, [None] * 16, 0), (n + 4, [], 0), (n + 5, [1.0] * 3, 0), (None, rows[0][1], 0), (n + 6, rows[0][1], 0), (n + 6, rows[0][1], 0)]
+    # dimensions of few vectors link too; the largest and least numbers are vectors like others
+    rows += [(n + 10 + i, [float(np.float32(v)) for v in rng.normal(size=3)], 0) for i in range(30)] + [(n + 50, [2.0], 0), (n + 51, [5.0], 0), (n + 52, [-1.0], 0), (n + 53, [3e38] * 16, 1), (n + 54, [1e-38] * 16, 1)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").selectExpr("*", "'x' as root", "1 as pivot", "2 as copies")
     got = sorted((tuple(r) for r in pivots.near_vectors(df).collect()), key=repr)
-    good = [(i, np.array(v, float), la) for i, v, la in rows if i is not None and la is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
+    good = [(i, np.array(v, float), la) for i, v, la in rows if i is not None and la is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    good = [(i, x / np.abs(x).max(), la) for i, x, la in good]
     links, parent = Counter(), {i: i for i, _, _ in rows}
 
     def find(i):
@@ -183,7 +187,7 @@ def test_pivots_against_brute_force(spark):
     for a in range(len(good)):
         for b in range(a + 1, len(good)):
             (i, x, p), (j, y, q) = good[a], good[b]
-            if p == q and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93:
+            if p == q and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93:
                 links[i] += 1 if i != j else 2
                 links[j] += 1 if i != j else 0
                 parent[max(find(i), find(j))] = min(find(i), find(j))
@@ -207,6 +211,48 @@ def test_lists_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, pivots.near_vectors(df).collect())) == [(i, 49, i % 3, i < 3) for i in range(150)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 19), st.integers(0, 19)), max_size=30))
+def test_unite(pairs):
+    parent = np.arange(20)
+    for a in range(0, len(pairs), 7):
+        u, v = (np.array(x, np.int64) for x in zip(*pairs[a : a + 7]))
+        pivots.unite(parent, u, v)
+    want = list(range(20))
+    for u, v in pairs:
+        low, high = sorted((want[u], want[v]))
+        want = [low if w == high else w for w in want]
+    assert parent.tolist() == want
+
+
+def test_lists_that_are_split_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(25, 12))
+    rows = [(i, [float(v) for v in base[i % 25] + rng.normal(size=12) * 0.15], i % 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    want = sorted(map(tuple, pivots.near_vectors(df).collect()))
+    assert sum(r[1] for r in want) > 500
+    for split in (40, 4):
+        monkeypatch.setattr(pivots, "SPLIT", split)
+        assert sorted(map(tuple, pivots.near_vectors(df).collect())) == want
+
+
+def test_recall_with_many_pivots():
+    """Pairs at a cosine of exactly 0.93 among 1024 pivots meet in a list and share enough pivots."""
+    rng = np.random.default_rng(0)
+    x, o = pivots.unit(rng.normal(size=(3000, 64))), rng.normal(size=(3000, 64))
+    o = pivots.unit(o - (o * x).sum(1, keepdims=True) * x)
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * o
+    table = pivots.choose(pivots.unit(rng.normal(size=(8192, 64))), 1024)
+    assert len(table) == 1024
+    a, b = (pivots.permutations(v, table, pivots.PREFIX) for v in (x, y))
+    meet = (a[:, : pivots.ROUTE, None] == b[:, None, : pivots.ROUTE]).any((1, 2))
+    both = (a[:, :, None] == b[:, None, :]).sum((1, 2))
+    recall = (meet & (both >= pivots.SHARED)).mean()
+    print("recall", recall)
+    assert recall >= 0.95
+
+
 def test_cosine_sql(spark):
     data = "/root/testdata/sf0.01"
     con = duckdb.connect()
