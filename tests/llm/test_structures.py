@@ -149,6 +149,52 @@ def test_a_hot_row_and_small_rows(spark):
     assert max(load.values()) < 1.05 * min(load.values())
 
 
+def test_equal_texts_stay_together(spark, documents):
+    """All but those that a shard has no room for."""
+    texts = [f"text {i} " * (i % 9 + 1) for i in range(900)]
+    rows = [(i, texts[i % 900] if i < 2400 else "hot one") for i in range(4000)]
+    for df in (spark.createDataFrame(rows, "doc_id bigint, text string"), documents):
+        found = resharding.reshard(df, resharding.hashed_layout(16), 16, 24).join(df.select("doc_id", "text"), "doc_id").collect()
+        total = sum(r["size"] for r in found)
+        shards, size = defaultdict(set), Counter()
+        for r in found:
+            shards[r["text"] or ""].add(r["shard"])
+            size[r["text"] or ""] += r["size"]
+        assert all((len(s) == 1) == (size[t] <= total // (24 * resharding.WHOLE) or len(s) == 1) for t, s in shards.items())
+        assert sum(len(s) > 1 for s in shards.values()) <= 24 * resharding.WHOLE
+    load = Counter()
+    for r in found:
+        load[r["shard"]] += r["size"]
+    assert len(load) == 24
+
+
+def test_rewrite_odd_tables(spark, odd, empty, tmp_path):
+    frame = odd.withColumn("slot", F.lit(-1)).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int"))
+    frame.write.partitionBy("shard").parquet(str(tmp_path / "old"))
+    resharding.rewrite(spark, str(tmp_path / "old"), str(tmp_path / "new"), 3, 4)
+    names = [c for c in frame.columns if c not in ("shard", "slot")]
+    got = spark.read.parquet(str(tmp_path / "new"))
+    assert sorted(map(repr, got.select(*names).collect())) == sorted(map(repr, frame.select(*names).collect()))
+    slots = defaultdict(list)
+    for r in got.select("shard", "slot").collect():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    empty.withColumn("shard", F.lit(0)).write.parquet(str(tmp_path / "none"))
+    assert resharding.rewrite(spark, str(tmp_path / "none"), str(tmp_path / "out"), 1, 2) == []
+
+
+def test_rewrite_in_many_tasks(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(resharding, "FILE", 30_000)
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    documents.withColumn("shard", resharding.hashed_layout(2)).write.partitionBy("shard").parquet(old)
+    resharding.rewrite(spark, old, new, 2, 3)
+    for shard in range(3):
+        files = [f for f in os.listdir(f"{new}/shard={shard}") if f.endswith(".parquet")]
+        assert len(files) > 2
+        ranges = sorted((min(s), max(s)) for f in files if (s := [r["slot"] for r in spark.read.parquet(f"{new}/shard={shard}/{f}").select("slot").collect()]))
+        assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
 def test_rewrite_touches_what_moves(spark, documents, tmp_path):
     old, new = str(tmp_path / "old"), str(tmp_path / "new")
     documents.withColumn("shard", resharding.hashed_layout(3)).write.partitionBy("shard").parquet(old)
