@@ -1,9 +1,19 @@
 """Compiles fields with `data-val-*` attributes to rules, and rules to Spark columns.
 
-A rule becomes one boolean expression; Catalyst does the rest. Rules whose meaning the specification
-leaves open (`email`, `date`, `number`, ...) compile, but need a builder of the user's before they
-can be evaluated. The readings of `required`, `minlength`, `maxlength`, `rangelength`, `min`, `max`,
-`range` and `equalTo` below are this library's own choice.
+A rule becomes one boolean expression; Catalyst does the rest. Only `regex`, `nonalphamin` and the rule
+that always holds have a settled meaning. What the other builders below take their rules to mean is
+this library's own choice, since no specification says it; pass `builders` to choose otherwise.
+
+- `required`: neither NULL nor empty. `minlength`, `maxlength`, `rangelength`: characters.
+- `min`, `max`, `range`: the value as a double. `equalTo`: the other column's value; NULL there is empty.
+- `digits`: ASCII digits alone. `number`: a decimal numeral, with a sign or an exponent if it likes.
+- `date`: a day of the calendar written yyyy-mm-dd. `email`: one `@`, a dot in what follows it, no blanks.
+- `url`: http or https, `//`, a host, no blanks. `creditcard`: 12 to 19 digits, blanks and hyphens aside,
+  whose Luhn sum is right.
+- `extension`: a file name that ends in one of a list, whatever the case. `accept`: a media type out of a
+  list, in which `image/*` names all of a kind.
+
+All but `required` and `nonalphamin` hold for an empty value.
 """
 
 from __future__ import annotations
@@ -28,13 +38,51 @@ def _length(value: Column) -> Column:
     return F.char_length(value)
 
 
+def _like(pattern: str) -> Builder:
+    return lambda v, a, o: _if_filled(v, v.rlike(rf"\A(?:{pattern})\z"))
+
+
+def _listed(argument: object) -> list[str]:
+    """The items of an attribute's list, which commas or bars part."""
+    return [x for item in str(argument or "").replace("|", ",").split(",") if (x := item.strip().lower().lstrip("."))]
+
+
+def _pattern(value: Column, argument: object, optional: bool) -> Column:
+    if not argument:
+        raise ValueError("a regex rule needs a pattern")
+    return whole_match(value, str(argument), optional)
+
+
+def _card(value: Column, argument: object, optional: bool) -> Column:
+    digits = F.translate(value, " -", "")
+    return _if_filled(value, digits.rlike(r"\A[0-9]{12,19}\z") & F.call_function("luhn_check", digits))
+
+
+def _date(value: Column, argument: object, optional: bool) -> Column:
+    return _if_filled(value, value.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & value.try_cast("date").isNotNull())
+
+
+def _extension(value: Column, argument: object, optional: bool) -> Column:
+    return _if_filled(value, F.lower(F.regexp_extract(value, r"\.([^./\\]+)\z", 1)).isin(_listed(argument) or [""]) & value.contains("."))
+
+
+def _media(value: Column, argument: object, optional: bool) -> Column:
+    kinds = _listed(argument)
+    own = F.lower(F.btrim(value))
+    ok = own.isin([k for k in kinds if not k.endswith("/*")] or [""])
+    for k in kinds:
+        if k.endswith("/*"):
+            ok = ok | own.startswith(k[:-1])
+    return _if_filled(value, ok)
+
+
 def _if_filled(value: Column, test: Column) -> Column:
     return ~filled(value) | F.coalesce(test, F.lit(False))
 
 
 BUILDERS: dict[str, Builder] = {
     "__dummy__": lambda v, a, o: F.lit(True),
-    "regex": lambda v, a, o: whole_match(v, str(a), o),
+    "regex": _pattern,
     "nonalphamin": lambda v, a, o: at_least_nonword(v, a),
     "required": lambda v, a, o: filled(v),
     "minlength": lambda v, a, o: _if_filled(v, _length(v) >= int(a)),
@@ -43,6 +91,14 @@ BUILDERS: dict[str, Builder] = {
     "min": lambda v, a, o: _if_filled(v, _number(v) >= float(a)),
     "max": lambda v, a, o: _if_filled(v, _number(v) <= float(a)),
     "range": lambda v, a, o: _if_filled(v, _number(v).between(float(a[0]), float(a[1]))),
+    "digits": _like("[0-9]+"),
+    "number": _like(r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"),
+    "date": _date,
+    "email": _like(r"[^\s@]+@[^\s@.]+(?:\.[^\s@.]+)+"),
+    "url": _like(r"(?i:https?)://[^\s/?#]+(?:[/?#]\S*)?"),
+    "creditcard": _card,
+    "extension": _extension,
+    "accept": _media,
     "equalTo": lambda v, a, o: _if_filled(v, v == F.coalesce(F.col(f"`{a}`").cast("string"), F.lit(""))),
 }
 
@@ -81,8 +137,8 @@ def compile_form(fields: Sequence[Mapping[str, str]], registry: Registry | None
 
 
 def column_of(name: str, rule: str, argument: object, optional: bool, builders: Mapping[str, Builder] | None = None) -> Column:
-    """The rule's boolean column over the field's column, never NULL for the built-in rules."""
+    """The rule's boolean column over the field's column, never NULL: where a builder gives NULL, the rule holds."""
     builder = {**BUILDERS, **(builders or {})}.get(rule)
     if builder is None:
         raise KeyError(f"field {name}: rule {rule} has no builder; pass one in `builders`")
-    return builder(F.col(f"`{name}`").cast("string"), argument, optional)
+    return F.coalesce(builder(F.col(f"`{name}`").cast("string"), argument, optional), F.lit(True))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import at_least_nonword, default_verb, escape_selector, filled, first_filled, first_known, model_prefix, split_items, whole_match, with_model_prefix
-from .operators import rule_report, with_violations
-from .plans import compile_form
+from .operators import invalid_rows, rule_report, valid_rows, with_violations
+from .plans import column_of, compile_form
 from .sources import read_table
 
 EVEN_NAME = "Customer#[0-9]*[02468]"
@@ -86,9 +86,72 @@ def form_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_report(df, compile_form(CUSTOMER_FORM))
 
 
+def form_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
+    return valid_rows(df, compile_form(CUSTOMER_FORM)).select("c_custkey")
+
+
+def form_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
+    return invalid_rows(df, compile_form(CUSTOMER_FORM)).select("c_custkey")
+
+
+#: A form over `part` and values made of it: bounds of lengths, and a field that must equal another.
+PART_FORM = [
+    {"name": "p_name", "data-val": "true", "data-val-minlength": "short", "data-val-minlength-min": "10", "data-val-maxlength": "long", "data-val-maxlength-max": "16"},
+    {"name": "p.again", "data-val": "true", "data-val-equalto": "differs", "data-val-equalto-other": "*.type"},
+    {"name": "outside", "form": "", "data-val": "true", "data-val-required": "in no form"},
+]
+
+
+def part_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand"])
+    kind = F.col("p_partkey") % 4
+    again = F.when(kind == 0, F.lit(None).cast("string")).when(kind == 1, F.lit("")).when(kind == 2, F.lower("p_brand")).otherwise(F.col("p_brand"))
+    df = df.select("p_partkey", "p_name", F.col("p_brand").alias("p.type"), again.alias("p.again"))
+    return with_violations(df, compile_form(PART_FORM)).select("p_partkey", F.explode("violations").alias("v")).select("p_partkey", "v.field", "v.rule", "v.message")
+
+
+#: Rules without argument, over values of several tables as texts.
+FLAGS = {"digits": "digits", "number": "number", "date": "date", "email": "email", "url": "url", "creditcard": "creditcard"}
+
+
+def _flag_values(df: DataFrame) -> DataFrame:
+    key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 5
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    card = F.concat(F.lit("4"), F.lpad(F.col("o_custkey").cast("string"), 14, "0"), (key % 10).cast("string"))
+    return df.select(
+        "o_orderkey",
+        F.when(kind == 0, F.lit("")).when(kind == 1, F.concat(key.cast("string"), F.lit(" "))).otherwise(key.cast("string")).alias("digits"),
+        F.when(kind == 0, F.lit("-1.5e3")).when(kind == 1, F.lit("1,000")).when(kind == 2, F.lit(".5")).when(kind == 3, F.lit(".")).otherwise(key.cast("string")).alias("number"),
+        F.when(kind == 0, F.concat(F.substring(day, 1, 8), F.lit("31"))).when(kind == 1, F.translate(day, "-", "/")).otherwise(day).alias("date"),
+        F.when(kind == 0, F.concat(F.lit("c"), key.cast("string"), F.lit("@ex.org"))).when(kind == 1, F.lit("a@b@c.org")).when(kind == 2, F.lit("a b@c.org")).when(kind == 3, F.lit("a@localhost")).otherwise(F.lit("a.b@c.d.org")).alias("email"),
+        F.when(kind == 0, F.concat(F.lit("HTTPS://ex.org/"), key.cast("string"))).when(kind == 1, F.lit("ftp://ex.org")).when(kind == 2, F.lit("http:///x")).when(kind == 3, F.lit("http://ex.org?q=1")).otherwise(F.lit("http://ex.org/a b")).alias("url"),
+        F.when(kind == 0, F.concat(F.substring(card, 1, 4), F.lit("-"), F.substring(card, 5, 30))).when(kind == 1, F.substring(card, 1, 11)).otherwise(card).alias("creditcard"),
+    )
+
+
+def flag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _flag_values(read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"]))
+    form = compile_form([{"name": name, "data-val": "true", f"data-val-{rule}": ""} for name, rule in FLAGS.items()])
+    return df.select("o_orderkey", *(column_of(name, rule, argument, True).alias(f"{name}_ok") for name, rules in form.rules.items() for rule, argument in rules.items() if rule != "__dummy__"))
+
+
+def file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
+    kind = F.col("p_partkey") % 5
+    name = F.concat("p_name", F.when(kind == 0, F.lit(".PNG")).when(kind == 1, F.lit(".tar.gz")).when(kind == 2, F.lit("")).when(kind == 3, F.lit(".jpg/x")).otherwise(F.lit(".pngx")))
+    media = F.when(kind == 0, F.lit("Image/png")).when(kind == 1, F.lit("text/plain")).when(kind == 2, F.lit("text/html")).when(kind == 3, F.lit("")).otherwise(F.lit("imagery/png"))
+    form = compile_form([
+        {"name": "file", "data-val": "true", "data-val-fileextensions": "", "data-val-fileextensions-extensions": "png, .gz|jpg"},
+        {"name": "media", "data-val": "true", "data-val-accept": "", "data-val-accept-mimtype": "image/*, text/plain"},
+    ])
+    return valid_rows(df.select("p_partkey", name.alias("file"), media.alias("media")), form).select("p_partkey")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (regex_fullmatch, nonalpha_min, nonalpha_min_by_row, split_trim, selector_escape, name_prefix, append_prefix, value_fallback, request_id, password_rule, form_violations, form_report)
+    for f in (regex_fullmatch, nonalpha_min, nonalpha_min_by_row, split_trim, selector_escape, name_prefix, append_prefix, value_fallback, request_id, password_rule, form_violations, form_report, form_valid, form_invalid, part_violations, flag_rules, file_rules)
 }
 
 _WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -119,4 +182,17 @@ ORACLE_SQL = {
     "form_violations": _BROKEN,
     "form_report": f"""WITH b AS ({_BROKEN}), r(field, rule) AS (VALUES ('c_name', 'nonalphamin'), ('c_name', 'regex'), ('c_name', 'required'), ('c_mktsegment', 'regex'), ('c_mktsegment', 'rangelength'), ('c_acctbal', 'range'))
         SELECT field, rule, (SELECT count(*) FROM customer) AS checked, (SELECT count(*) FROM b WHERE b.field = r.field AND b.rule = r.rule) AS broken FROM r""",
+    "form_valid": f"SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM ({_BROKEN}))",
+    "form_invalid": f"SELECT DISTINCT c_custkey FROM ({_BROKEN})",
+    "part_violations": """WITH v AS (SELECT p_partkey, p_name, p_brand, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN lower(p_brand) ELSE p_brand END AS again FROM part)
+        SELECT p_partkey, 'p_name' AS field, 'minlength' AS rule, 'short' AS message FROM v WHERE length(p_name) BETWEEN 1 AND 9
+        UNION ALL SELECT p_partkey, 'p_name', 'maxlength', 'long' FROM v WHERE length(p_name) > 16
+        UNION ALL SELECT p_partkey, 'p.again', 'equalTo', 'differs' FROM v WHERE again <> '' AND again <> p_brand""",
+    "flag_rules": r"""WITH k AS (SELECT o_orderkey, o_orderkey % 5 AS k, strftime(o_orderdate, '%Y-%m-%d') AS day, '4' || lpad(cast(o_custkey AS VARCHAR), 14, '0') || cast(o_orderkey % 10 AS VARCHAR) AS card FROM orders),
+        v AS (SELECT o_orderkey, k, CASE k WHEN 0 THEN '' WHEN 1 THEN o_orderkey || ' ' ELSE cast(o_orderkey AS VARCHAR) END AS digits,
+            CASE k WHEN 0 THEN day[1:8] || '31' WHEN 1 THEN translate(day, '-', '/') ELSE day END AS date, CASE k WHEN 1 THEN card[1:11] ELSE card END AS card FROM k)
+        SELECT o_orderkey, digits = '' OR regexp_full_match(digits, '[0-9]+') AS digits_ok, k IN (0, 2, 4) AS number_ok, try_strptime(date, '%Y-%m-%d') IS NOT NULL AS date_ok, k IN (0, 4) AS email_ok, k IN (0, 3) AS url_ok,
+            length(card) >= 12 AND list_sum(list_transform(range(1, length(card) + 1), lambda i: CASE WHEN i % 2 = 1 THEN cast(reverse(card)[i] AS INTEGER)
+              ELSE (2 * cast(reverse(card)[i] AS INTEGER)) // 10 + (2 * cast(reverse(card)[i] AS INTEGER)) % 10 END)) % 10 = 0 AS creditcard_ok FROM v""",
+    "file_rules": "SELECT p_partkey FROM part WHERE p_partkey % 5 IN (0, 1)",
 }

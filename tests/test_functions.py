@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.functions import at_least_nonword, default_verb, escape_selector, filled, first_filled, first_known, model_prefix, split_items, whole_match, with_model_prefix
+from fieldloom.functions import at_least_nonword, default_verb, escape_selector, filled, first_filled, first_known, model_prefix, number_of, split_items, whole_match, with_model_prefix
 
 
 def one(spark, expr, **values):
@@ -26,13 +26,22 @@ def test_whole_match_of_a_needed_field(spark):
 
 @pytest.mark.parametrize(
     "value,least,expected",
-    [("a!b?", "2", True), ("a!b?", "3", False), ("abc", "1", False), ("a_b", "1", False), ("é", "1", True), ("!", "", False), ("!", None, False), ("abc", "0", False), ("a!", "0", True), ("a!", "x", False), (None, "1", False), ("\U0001f600", "2", False), ("!!", 2, True)],
+    [("a!b?", "2", True), ("a!b?", "3", False), ("abc", "1", False), ("a_b", "1", False), ("é", "1", True), ("!", "", False), ("!", None, False), ("abc", "0", False), ("a!", "0", True), ("a!", "x", False), (None, "1", False), ("\U0001f600", "2", False), ("!!", 2, True), ("!", " ", True), ("a", " ", False), ("!" * 16, "0x10", True), ("!" * 15, "0x10", False), ("!!", "1_0", False), ("!" * 20, "inf", False), ("!!", "1e0", True), ("!", "Infinity", False)],
 )
 def test_at_least_nonword(spark, value, least, expected):
     assert one(spark, at_least_nonword(F.col("v"), least), v=value) is expected
 
 
-@pytest.mark.parametrize("value,expected", [("  a , b,c  ", ["a", "b", "c"]), ("a,", ["a", ""]), ("", [""]), (" a　,﻿b\n", ["a", "b"]), (None, None), (" , ", ["", ""])])
+@pytest.mark.parametrize(
+    "text,expected",
+    [("", 0), (" \n", 0), ("0x10", 16), ("0B11", 3), ("0o7", 7), ("+5", 5), (" .5 ", 0.5), ("5.", 5), ("1e2", 100), ("-Infinity", float("-inf")), ("1_0", None), ("inf", None), ("nan", None), ("0x", None), ("0x1_0", None), ("-0x1", None), ("1 2", None), ("١", None)],
+)
+def test_numbers_as_scripts_read_them(text, expected):
+    got = number_of(text)
+    assert got != got if expected is None else got == expected
+
+
+@pytest.mark.parametrize("value,expected", [("  a , b,c  ", ["a", "b", "c"]), ("a,", ["a", ""]), ("", [""]), (" a　,﻿b\n", ["a", "b"]), (None, None), (" , ", ["", ""]), ("a b , , \x85c", ["a b", "", "\x85c"]), ("x" + " " * 200_000 + "y", ["x" + " " * 200_000 + "y"])])
 def test_split_items(spark, value, expected):
     assert one(spark, split_items(F.col("v")), v=value) == expected
 

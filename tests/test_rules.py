@@ -69,12 +69,50 @@ def test_form_over_rows(spark):
     assert with_violations(df, Form()).where(F.size("violations") > 0).count() == 0
 
 
-def test_rules_without_meaning_need_a_builder(spark):
-    form = compile_form([{"name": "code", "data-val": "true", "data-val-email": ""}])
+def test_unknown_rules_need_a_builder(spark):
+    form = compile_form([{"name": "code", "data-val": "true", "data-val-even": ""}], Registry().add_flag("even"))
     df = spark.createDataFrame([("a@b",), ("a",)], "code string")
     with pytest.raises(KeyError):
         valid_rows(df, form)
-    assert valid_rows(df, form, {"email": lambda v, a, o: F.coalesce(v.contains("@"), F.lit(False))}).count() == 1
+    assert valid_rows(df, form, {"even": lambda v, a, o: F.coalesce(v.contains("@"), F.lit(False))}).count() == 1
+
+
+def test_a_builder_that_gives_null_breaks_nothing(spark):
+    """Each row is valid or invalid, and it has violations in just the second case."""
+    form = compile_form([{"name": "code", "data-val": "true", "data-val-even": "odd"}], Registry().add_flag("even"))
+    df = spark.createDataFrame([("ab",), ("a",), (None,)], "code string")
+    own = {"even": lambda v, a, o: F.when(v == "ab", True).when(v == "a", False)}
+    assert [r["code"] for r in invalid_rows(df, form, own).collect()] == ["a"]
+    assert {r["code"] for r in valid_rows(df, form, own).collect()} == {"ab", None}
+    assert with_violations(df, form, own).where(F.size("violations") > 0).count() == 1
+    assert rule_report(df, form, own).first()["broken"] == 1
+
+
+def test_a_regex_needs_a_pattern(spark):
+    for attributes in ({}, {"data-val-regex-pattern": ""}):
+        form = compile_form([{"name": "code", "data-val": "true", "data-val-regex": "", **attributes}])
+        with pytest.raises(ValueError):
+            valid_rows(spark.createDataFrame([("None",)], "code string"), form)
+
+
+BUILT = [
+    ("digits", {}, ["0123", "", None], ["1.2", "-1", "１", "1\n"]),
+    ("number", {}, ["1", "-1.5", "+.5e3", "2.", "", None], [".", "1,000", "e5", "NaN", "1 "]),
+    ("date", {}, ["2024-02-29", "", None], ["2023-02-29", "2024-2-9", "2024-01-01T00:00:00", "x"]),
+    ("email", {}, ["a@b.c", "a.b+c@x-y.example.org", "", None], ["a@b", "a b@c.d", "a@@b.c", "a@.c", "@b.c", "a@b.c\n"]),
+    ("url", {}, ["http://ex.org", "HTTPS://ex.org:8/a?b#c", "", None], ["ftp://ex.org", "http:///a", "http://ex.org/a b", "//ex.org"]),
+    ("creditcard", {}, ["4111 1111-1111 1111", "", None], ["4111111111111112", "41111111", "4111x11111111111", "٤١١١١١١١١١١١١١١١"]),
+    ("fileextensions", {"extensions": "png, .jpg|tar"}, ["a.PNG", "a.b.jpg", "x.tar", "", None], ["png", "a.pngx", "a.png/b", "a."]),
+    ("accept", {"mimtype": "image/*,text/plain"}, ["image/png", "Text/Plain", "", None], ["text/html", "imagery/png", "x"]),
+]
+
+
+@pytest.mark.parametrize("rule,params,good,bad", BUILT, ids=[b[0] for b in BUILT])
+def test_built_in_readings(spark, rule, params, good, bad):
+    form = compile_form([{"name": "v", "data-val": "true", f"data-val-{rule}": "", **{f"data-val-{rule}-{k}": v for k, v in params.items()}}])
+    df = spark.createDataFrame([(v,) for v in good + bad], "v string")
+    assert sorted(map(repr, (r["v"] for r in valid_rows(df, form).collect()))) == sorted(map(repr, good))
+    assert sorted(r["v"] for r in invalid_rows(df, form).collect()) == sorted(bad)
 
 
 def test_plan_is_a_projection(spark, data):
