@@ -28,3 +28,13 @@ def test_against_sql(spark, data, name):
     rows = sorted((tuple(r[n] for n in sorted(names)) for r in mine.collect()), key=repr)
     other = sorted((tuple(r[names.index(n)] for n in sorted(names)) for r in theirs.fetchall()), key=repr)
     assert rows == other
+
+
+def test_without_what_the_training_part_needs(monkeypatch):
+    """A module of its that cannot be imported leaves the other queries as they are."""
+    import sys
+
+    for name in [m for m in sys.modules if m.startswith("fieldloom.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    assert set(entry_module.queries()) == set(QUERIES) and set(entry_module.oracle_sql()) == set(ORACLE_SQL)
