@@ -26,7 +26,11 @@ DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bi
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and keep Arrow batches small."""
+    """Let Python workers import this package and keep Arrow batches small.
+
+    It changes the session it is given: spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch
+    take this module's values and keep them, since results are read lazily.
+    """
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
     if _ROOT not in path.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, path) if x)
@@ -40,7 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where that is unset, one of our own (single machine)."""
+    """The shared folder of spark.checkpoint.dir. Only where that is unset, on a single machine, a temporary
+    folder, which the setting then names for the rest of the session and which goes at the process's end."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):

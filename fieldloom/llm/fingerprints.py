@@ -22,6 +22,8 @@ LEVELS, FIRST = 4, 2
 KEEP = 64
 #: Bytes parsed at a time; a text is never cut, so one above this is parsed alone.
 CHUNK = 1 << 20
+#: An id of so few rows is never cut; ranges that an id may be cut into.
+HOT, PARTS = 10_000, 1 << 16
 _U = np.uint64
 _POWER = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], _U)
 
@@ -202,9 +204,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text's last floor(n_chars / 2) code points are replaced by the next document's first,
     by descending id, the first after the last. Rows are dealt once, into ranges of ids cut at the
-    ids' quantiles; the head of each range also goes to the range before it, so every row meets its
-    successor without a global sort in one task. The driver holds the quantiles and heads: two
-    numbers for each shuffle partition.
+    ids' quantiles; an id, or null, that holds more rows than a range should is cut by its texts' hash.
+    The head of each range also goes to the range before it, so every row meets its successor without
+    a global sort in one task. The driver holds the quantiles and heads: a few numbers for each
+    shuffle partition.
 
     Null text: empty; its fingerprint is the empty string. Null ids come last; rows of equal ids
     follow each other by their text's hash, equal rows in any order. One row is its own next. An
@@ -215,18 +218,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     field = docs.schema[id_col]
     lowest = -(1 << 63)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", key)
+    # rows go by descending key, then ascending hash: descending (key, nh)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", key).withColumn("nh", F.bitwise_not(F.xxhash64("text")))
     n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = rows.select("key").where(F.col("key") != lowest).approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n)
-    bounds = sorted({int(b) for b in bounds})
-    rows = rows.withColumn("bucket", F.lit(len(bounds)) - _between(bounds, F.col("key")))
-    heads = sorted((r["bucket"], r["key"]) for r in rows.groupBy("bucket").agg(F.max("key").alias("key")).collect())
-    ghosts = [(k, heads[i - 1][0]) for i, (_, k) in enumerate(heads)]  # the first range's head follows the last range
-    ghosts = spark.createDataFrame(ghosts, "key bigint, ghost int")
+    counts = rows.groupBy("key").agg(F.count("*").alias("rows"))
+    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    share = max(1, total // n)
+    hot = {r["key"]: -(-r["rows"] // share) for r in counts.where(F.col("rows") > max(HOT, 2 * share)).collect()}  # fewer than n of them
+    top = (1 << 63) - 1  # quantiles are rounded
+    bounds = sorted({min(int(b), top) for b in bounds} | set(hot) | {k + 1 for k in hot if k < top})
+    base = (F.lit(len(bounds)) - _between(bounds, F.col("key"))).cast("long") * PARTS
+    if hot:
+        parts = F.broadcast(spark.createDataFrame(sorted(hot.items()), "key bigint, parts bigint"))
+        rows = rows.join(parts, "key", "left")
+        place = F.floor((F.bitwise_not("nh") / F.lit(2.0**64) + 0.5) * F.least("parts", F.lit(PARTS - 1)))
+        base = base + F.when(F.col("parts").isNull(), 0).otherwise(F.least(place, F.col("parts") - 1, F.lit(PARTS - 1)))
+    rows = rows.withColumn("bucket", base.cast("long"))
+    heads = sorted((r["bucket"], r["h"]["key"], r["h"]["nh"]) for r in rows.groupBy("bucket").agg(F.max(F.struct("key", "nh")).alias("h")).collect())
+    ghosts = [(k, h, heads[i - 1][0]) for i, (_, k, h) in enumerate(heads)]  # the first range's head follows the last range
+    ghosts = spark.createDataFrame(ghosts, "key bigint, nh bigint, ghost bigint")
     both = F.filter(F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("ghost")), F.struct(F.col("ghost").alias("to"), F.lit(True).alias("ghost"))), lambda x: x["to"].isNotNull())
-    dealt = rows.join(F.broadcast(ghosts), "key", "left").select("doc_id", "text", "key", F.explode(both).alias("b"))  # a row for each range
-    dealt = dealt.select("doc_id", "text", "key", F.col("b.to").alias("bucket"), F.col("b.ghost").alias("ghost"))
-    ordered = dealt.repartitionByRange("bucket").sortWithinPartitions("bucket", "ghost", F.desc("key"), F.xxhash64("text")).select("doc_id", "text", "bucket", "ghost")
+    dealt = rows.join(F.broadcast(ghosts), ["key", "nh"], "left").select("doc_id", "text", "key", "nh", F.explode(both).alias("b"))  # a row for each range
+    dealt = dealt.select("doc_id", "text", "key", "nh", F.col("b.to").alias("bucket"), F.col("b.ghost").alias("ghost"))
+    ordered = dealt.repartitionByRange("bucket").sortWithinPartitions("bucket", "ghost", F.desc("key"), F.desc("nh")).select("doc_id", "text", "bucket", "ghost")
 
     def make():
         from pyspark.sql.pandas.types import to_arrow_type

@@ -107,12 +107,13 @@ def _joined(df: DataFrame, site_table: DataFrame) -> DataFrame:
     if named.count() <= MAX_BROADCAST_SITES:
         return df.join(F.broadcast(named), ["__fl_host", "__fl_path"])
     salted = named.withColumn("__fl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.withColumn("__fl_salt", (F.rand(5) * SALTS).cast("int")).join(salted, ["__fl_host", "__fl_path", "__fl_salt"])
+    own = F.pmod(F.xxhash64("__fl_id"), F.lit(SALTS)).cast("int")  # of the row itself: a task that runs again deals alike
+    return df.withColumn("__fl_salt", own).join(salted, ["__fl_host", "__fl_path", "__fl_salt"])
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, site_col: str, path_col: str, id_col: str, text_col: str):
     host, path = site_columns(docs, site_col, path_col)
-    bins = written(with_features(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), host.alias("__fl_host"), path.alias("__fl_path"))).drop("text"), "bins")
+    bins = written(with_features(docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).alias("__fl_id"), F.col(text_col).alias("text"), host.alias("__fl_host"), path.alias("__fl_path"))).drop("text"), "bins")
     evidence = Evidence.fit(bins, labels)
     found = sites(bins.select(F.col("__fl_host").alias("host"), F.col("__fl_path").alias("path"), evidence.posterior(evidence.ratio()).alias("p")))
     return bins, evidence, written(found, "sites")
@@ -143,10 +144,13 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.2, site_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.2, site_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they were, that quality() keeps; texts are read again, not shuffled, while the sites fit a broadcast."""
+    """The rows of docs, all columns as they were, that quality() keeps; texts are read again, not shuffled, while the sites fit a broadcast.
+
+    Nulls, repeated rows, missing labels and empty tables: as quality() has them; null ids stay if they score.
+    """
     _, evidence, site_table = _fitted(docs, labels, site_col, path_col, id_col, text_col)
     host, path = site_columns(docs, site_col, path_col)
-    made = with_features(docs.withColumn("__fl_host", host).withColumn("__fl_path", path), text_col)
+    made = with_features(docs.withColumn("__fl_host", host).withColumn("__fl_path", path).withColumn("__fl_id", F.struct(F.col(id_col), F.col(text_col))), text_col)
     return _scored(made, evidence, site_table).where(F.col("__fl_score") >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

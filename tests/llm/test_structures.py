@@ -1,6 +1,7 @@
 """Fingerprints, resharding, vectors, near-duplicates and the pipeline against brute force."""
 
 import hashlib
+import itertools
 import math
 import os
 import re
@@ -46,6 +47,84 @@ def test_fingerprints_follow_the_chain(documents, odd, empty):
     assert fp.fingerprints(empty).count() == 0
 
 
+def plain_signatures(text):
+    """The definition, symbol by symbol: runs, coin tossing, phrases, names, level by level."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 31
+        x = x * 0x7FB5D329728EA185 & mask
+        x ^= x >> 27
+        x = x * 0x81DADEF4BC2DD44D & mask
+        return x ^ x >> 33
+
+    def toss(x, before):
+        k = ((x ^ before) & -(x ^ before)).bit_length() - 1
+        return 2 * k + (x >> k & 1)
+
+    power = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)]
+    symbols = [mix((b + 1) * 0xD1B54A32D192ED03 & mask) for b in text]
+    found = set()
+    for depth in range(1, 5):
+        collapsed = []
+        for x, run in ((x, len(list(g))) for x, g in itertools.groupby(symbols)):
+            if run > 1 and depth > 1:
+                found.add(mix(x + 100 + depth & mask) >> 32)
+            collapsed.append(x if run == 1 else mix(x + run * 0xA24BAED4963EE407 & mask))
+        symbols = collapsed
+        label = [toss(x, p) for x, p in zip(symbols, [symbols[0] ^ 1, *symbols])]
+        for _ in range(3):
+            label = [toss(x, p) for x, p in zip(label, [label[0] ^ 1, *label])]
+        n = len(symbols)
+        starts = [i for i in range(n) if i == 0 or (label[i] > label[i - 1] and (i == n - 1 or label[i] > label[i + 1]))]
+        symbols = [mix(sum(x * power[j & 63] for j, x in enumerate(symbols[a:b])) & mask) for a, b in zip(starts, [*starts[1:], n])]
+        if depth >= 2:
+            found |= {mix(x + depth & mask) >> 32 for x in symbols}
+    return sorted(found)[:64]
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    top = sorted({*a, *b})[:64]
+    return sum(x in set(a) and x in set(b) for x in top) / len(top)
+
+
+def test_fingerprints_are_brute_force(documents, odd):
+    for df in (documents, odd.where("doc_id is null or doc_id <> 43")):
+        rows = df.select("doc_id", "text").collect()
+        ids = Counter(r["doc_id"] for r in rows)
+        order = sorted(((r["doc_id"], r["text"] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
+        sign = lambda t: plain_signatures(t.encode()) if t else []
+        shown = lambda s: "".join(f"{x:08x}" for x in s)
+        got = {r["doc_id"]: r for r in fp.fingerprints(df).collect()}
+        tried = 0
+        for at, (doc, text) in enumerate(order):
+            following = order[(at + 1) % len(order)]
+            if ids[doc] == ids[following[0]] == 1 and len(text) < 6000 and len(following[1]) < 6000:
+                tried += 1
+                half = len(text) // 2
+                own, edited, near = sign(text), sign(text[: len(text) - half] + following[1][:half]), sign(following[1])
+                r = got[doc]
+                assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(own), shown(edited))
+                assert (r["near_edited"], r["near_next"]) == (plain_likeness(own, edited), plain_likeness(own, near))
+        assert tried > 20
+
+
+def test_hot_ids_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(fp, "HOT", 5)
+    rows = [(i, f"text {i}") for i in range(40)] + [(None, f"none {i} " * 3) for i in range(60)] + [(7, f"seven {i}") for i in range(50)] + [((1 << 63) - 1, f"top {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = fp.fingerprints(df).collect()
+    hashed = {(r["doc_id"], r["text"]): r["h"] for r in df.select("*", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), hashed[r]))
+    want = Counter()
+    for (i, t), (_, u) in zip(order, [*order[1:], order[0]]):
+        half = len(t) // 2
+        want[i, len(t), hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+
+
 def test_one_row_is_its_own_next(documents):
     row = fp.fingerprints(documents.limit(1)).collect()
     assert len(row) == 1 and row[0]["near_next"] == 1

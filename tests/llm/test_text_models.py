@@ -36,6 +36,17 @@ def test_quality_finds_junk(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.5
 
 
+def test_quality_held_out(spark):
+    """Labels of one fold kept from the fit: how it does on them."""
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = labels.collect()
+    fitted = spark.createDataFrame([r for r in rows if not held(r["doc_id"], 3, 1)], labels.schema)
+    keep = {r["doc_id"]: r["keep"] for r in quality.quality(documents, fitted).collect()}
+    good, bad = ([keep[r["doc_id"]] for r in rows if r["quality"] == k and held(r["doc_id"], 3, 1)] for k in (1, 0))
+    print("held out at sf0.1: clean kept", np.mean(good), len(good), "others rejected", 1 - np.mean(bad), len(bad))
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
+
+
 def test_sparse_sites_shrink(spark):
     scored = spark.createDataFrame([("big", "a", 0.9)] * 400 + [("big", "b", 0.8)] * 200 + [("low", "a", 0.1)] * 300 + [("tiny", "a", 0.1)], "host string, path string, p double")
     rates = {(r["host"], r["path"]): (r["host_rate"], r["path_rate"]) for r in quality.sites(scored).collect()}
