@@ -27,11 +27,11 @@ from .shingles import Shingler, mix
 
 _U = np.uint64
 #: Shingles a batch of texts holds, and those a bucket is meant to hold: buckets grow with the corpus.
-BATCH, BUCKET = 1 << 21, 1 << 21
+BATCH, BUCKET = 1 << 19, 1 << 20
 #: A shingle that so many sets of a batch hold is sent once, with its count.
 OFTEN = 32
 #: Digests a task remembers before it starts afresh.
-SEEN = 1 << 18
+SEEN = 1 << 16
 #: Sets one task joins: larger tiles are cut in chunks of about so many.
 TILE = 128
 LEAF, FANOUT = 16, 8
@@ -112,7 +112,7 @@ class Dealer:
     """One task's sets as rows for the buckets.
 
     A row for each batch and bucket: a: shingles, by the set they are of; b: how many of each of the
-    batch's `docs` sets; c: shingles that OFTEN or more of them hold; d: how many do. A header for
+    batch's `docs` sets, or, where `docs` is 0 and they are few, the set of each; c: shingles that OFTEN or more of them hold; d: how many do. A header for
     each batch, under a number below 0: a: digests; b: sizes; c, d: (shingle, set) of those of c.
     A set met in the task before is left out.
     """
@@ -138,7 +138,8 @@ class Dealer:
     def flush(self) -> pa.RecordBatch:
         n = len(self.sets)
         sizes = np.array([len(s) for s in self.sets], np.int64)
-        h, owner = np.concatenate(self.sets), np.repeat(np.arange(n), sizes)
+        h, owner = np.concatenate(self.sets), np.repeat(np.arange(n, dtype=np.uint32), sizes)
+        self.sets = []
         order = np.sort(h)
         first = np.flatnonzero(np.r_[True, order[1:] != order[:-1]])
         count = np.diff(first, append=len(order))
@@ -158,11 +159,13 @@ class Dealer:
         ends, ends_c = np.searchsorted(bucket, all_, side="right"), np.searchsorted(of, all_, side="right")
         begin, begin_c = np.searchsorted(bucket, all_), np.searchsorted(of, all_)
         for k, x, y, u, v in zip(all_.tolist(), begin.tolist(), ends.tolist(), begin_c.tolist(), ends_c.tolist()):
-            rows.append((k, self.batch, n, _seven(h[x:y]), _small(np.bincount(owner[x:y], minlength=n)), _seven(common[u:v]), often[u:v].astype("<u4").tobytes()))
+            own = owner[x:y]
+            few = 2 * len(own) < n
+            rows.append((k, self.batch, 0 if few else n, _seven(h[x:y]), _small(own if few else np.bincount(own, minlength=n)), _seven(common[u:v]), often[u:v].astype("<u4").tobytes()))
         head = -1 - (self.batch * 0x9E3779B1 >> 8) % (1 << self.bits)
         rows.append((head, self.batch, n, np.array(self.nodes, "<i8").tobytes(), sizes.astype("<i8").tobytes(), c.astype("<u8").tobytes(), d.astype("<u4").tobytes()))
         self.batch += 1
-        self.nodes, self.sets, self.held = [], [], 0
+        self.nodes, self.held = [], 0
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _DEALT.types)], schema=_DEALT)
 
     def finish(self):
@@ -195,7 +198,8 @@ def _count(bits: int):
             part = slice(at, at + len(s))
             keep = held[part] > 1
             if keep.any():
-                yield batch, 1, s[keep].astype("<u8").tobytes(), np.repeat(np.arange(n, dtype="<u4"), _large(counts, n))[keep].tobytes(), level[part][keep].tobytes(), None
+                owner = np.repeat(np.arange(n), _large(counts, n)) if n else _large(counts, len(s))
+                yield batch, 1, s[keep].astype("<u8").tobytes(), owner[keep].astype("<u4").tobytes(), level[part][keep].tobytes(), None
             at += len(s)
         for batch, c in zip(rows[1], common):
             if len(c):

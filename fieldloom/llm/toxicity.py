@@ -31,7 +31,7 @@ LANDMARKS, ROUNDS, WITNESS = 96, 5, 15.0
 #: The score at which a text is as likely toxic as not.
 EVEN = 0.7
 #: Units a worker remembers before it starts afresh; characters of texts scored at a time, a longer text alone.
-CACHE, CHARACTERS = 400_000, 1 << 21
+CACHE, CHARACTERS = 400_000, 1 << 20
 SPACED = regex.compile(r"(?<!\S)\w(?:[ \t]\w){3,}(?!\S)")
 EDGES = ".,;:!?\"'()[]{}<>«»…"
 
