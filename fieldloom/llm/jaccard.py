@@ -473,9 +473,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     roots = components(pairs.select(F.col("b").alias("node"), F.col("a").alias("root")))
     tied = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tied = written(tied.select("d1", "d2", "n_shingles", "rep", "copies", "root", (F.col("root") != F.col("node")).alias("linked")), "tied")
-    heads = tied.groupBy("root").agg(F.min("rep").alias("component_id"), F.max("linked").alias("linked")).where("linked").drop("linked")
-    grouped = written(tied.join(heads, "root", "left").select("d1", "d2", "n_shingles", "copies", F.coalesce("component_id", "rep").alias("component_id")), "grouped")
-    discard(classes, tied)
+    heads = tied.groupBy("root").agg(F.min("rep").alias("component_id"), F.max("linked").alias("linked"), F.count("*").alias("n")).where("linked").drop("linked")
+    heads = written(heads, "heads")
+    grouped = written(joined(tied, heads, ["root"], "n", "left").select("d1", "d2", "n_shingles", "copies", F.coalesce("component_id", "rep").alias("component_id")), "grouped")
+    discard(classes, tied, heads)
     some = joined(rows.where("n_shingles > 0"), grouped, ["d1", "d2", "n_shingles"], "copies")
     none = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     return some.select("doc_id", "n_shingles", "component_id").unionByName(none.select("doc_id", "n_shingles", "component_id"))
@@ -485,12 +486,14 @@ def keep_one(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str =
     """The rows of docs, all columns as they were, that stay: of each component the row of the least id.
 
     Of several rows with that id one stays, the least by the text's hash. Rows without id all stay.
-    Null and empty texts stay; an empty table gives no rows. Only rows of repeated ids are ordered.
+    Null and empty texts stay; an empty table gives no rows. Texts are shuffled once, to meet the ids that
+    stay; only rows of repeated ids are ordered.
     """
     near = near_duplicates(docs, words, threshold, id_col, text_col).where("doc_id is not null")
     found = near.groupBy(F.col("doc_id").alias("__fl_id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows")).where("stays")
     found = written(found.drop("stays"), "kept")
-    kept = docs.join(found.where("rows = 1").select("__fl_id"), F.col(id_col) == F.col("__fl_id"), "left_semi")
+    # the ids grow with the documents: never broadcast, whatever the size
+    kept = docs.join(found.where("rows = 1").select("__fl_id").hint("shuffle_hash"), F.col(id_col) == F.col("__fl_id"), "left_semi")
     again = docs.join(found.where("rows > 1").select("__fl_id"), F.col(id_col) == F.col("__fl_id"), "left_semi")
     order = W.partitionBy(id_col).orderBy(F.xxhash64(text_col))
     again = again.withColumn("__fl_rank", F.row_number().over(order)).where("__fl_rank = 1").drop("__fl_rank")
