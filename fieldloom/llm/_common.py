@@ -66,6 +66,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df, for maps that number its rows by partition and place: a table of it, if it comes out of a shuffle.
+
+    What a shuffle hands on comes in another order when a lost task is run again, and rows numbered anew
+    would not fit those that other tasks have read before. What is scanned comes in one order always.
+    """
+    shuffled = re.search(r"\bExchange\b", df._jdf.queryExecution().executedPlan().toString())
+    return written(df, name) if shuffled else df
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more; other DataFrames are left alone."""
     for t in tables:

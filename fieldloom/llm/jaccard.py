@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ._common import arrow_map, discard, joined, tiles, written
+from ._common import arrow_map, discard, joined, settled, tiles, written
 from .components import components
 from .shingles import Shingler, mix
 
@@ -395,11 +395,13 @@ def tile_members(sets: DataFrame) -> DataFrame:
 def links(docs: DataFrame, words: int = 5, threshold: int = 80, every: bool = False, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, pairs). rows: (doc_id, n_shingles, d1, d2); classes: (node, rep, d1, d2, n_shingles, copies), one
     for each distinct set; pairs: (a, b, overlap), linked nodes a < b — all with `every`, else enough to connect them."""
+    docs = settled(docs.select(id_col, text_col), "texts")
     rows = written(described(docs, id_col, text_col, words), "rows")
     # equal sets collapse before anything is compared: a group of copies is one node
     classes = rows.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("node", F.col("d1")), "classes")
     sets = plays(docs, text_col, words, threshold, rows.agg(F.sum("n_shingles")).first()[0] or 0)
+    discard(docs)
     pairs = tile_members(sets)
     sizes = written(pairs.groupBy("leader").agg(F.count("*").alias("n")), "tiles")
     large = sizes.where(F.col("n") >= TILE).withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
@@ -467,7 +469,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     fewer than `words` of them are one shingle. Rows of equal sets are linked. A text without words,
     or null: 0 shingles, its own component. A null id takes its component's least id, null if there
     is none; repeated rows stay; rows of one id and other texts go with their texts. An empty table
-    gives no rows. Other columns aren't read. Shingles are compared by 64-bit hashes.
+    gives no rows. Other columns aren't read. Shingles are compared by 64-bit hashes. Texts that come
+    out of a shuffle are written first: batches are numbered by partition and place.
     """
     rows, classes, pairs = links(docs, words, threshold, False, id_col, text_col)
     roots = components(pairs.select(F.col("b").alias("node"), F.col("a").alias("root")))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import arrow_map
+from ._common import arrow_map, settled
 from .tokens import vocabulary
 
 #: Documents for one packer: the packers grow with the corpus, what each holds does not.
@@ -203,8 +203,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, eos: int = 0, with_i
     SumOfSquares. What is open when a packer has placed all its documents is topped up: the emptiest
     windows are cut to fill the others, the last ids go to sequences of falling powers of two, so no
     sequence has padding. Rows have numbers by partition and place, packers take them in that order:
-    a task that is run again gives the same rows. Memory: a packer's open windows, at most
-    PER_PACKER of them.
+    a task that is run again gives the same rows; docs that come out of a shuffle are written first.
+    Memory: a packer's open windows, at most PER_PACKER of them.
 
     Null and empty texts are one `eos`. Null ids stay null, repeated rows are packed each for
     itself. An empty table gives no rows. Other columns are not read, whatever their names.
@@ -212,6 +212,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, eos: int = 0, with_i
     """
     if size & (size - 1) or size < 2:
         raise ValueError("size must be a power of two")
+    docs = settled(docs.select(id_col, text_col), "pack")
     field = docs.schema[id_col]
     packers = max(1, -(-docs.count() // PER_PACKER))
     id_type = field.dataType.simpleString()
@@ -227,7 +228,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, eos: int = 0, with_i
 
         return Packer(size, to_arrow_type(field.dataType), with_ids)
 
-    rests = arrow_map(docs.select(id_col, text_col), splitter, f"doc_id {id_type}, packer int, item bigint, start bigint, length bigint, crc bigint, doc_tokens bigint, ids binary")
+    rests = arrow_map(docs, splitter, f"doc_id {id_type}, packer int, item bigint, start bigint, length bigint, crc bigint, doc_tokens bigint, ids binary")
     dealt = rests.repartition(packers, "packer").sortWithinPartitions("packer", "item", "start")
     return arrow_map(dealt, packer, f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids)
 

@@ -56,3 +56,20 @@ def test_discarded_tables_are_gone(spark):
     assert os.path.exists(path)
     _common.discard(df, spark.range(1))
     assert not os.path.exists(path)
+
+
+def test_shuffled_rows_are_settled(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert _common.settled(df, "x") is df and not hasattr(_common.settled(df.where("doc_id > 3"), "x"), "_fieldloom_path")
+    for shuffled in (df.repartition(3), df.distinct(), df.repartition(3).where("doc_id > 3"), df.join(df.select("doc_id").hint("merge"), "doc_id")):
+        out = _common.settled(shuffled, "x")
+        assert out._fieldloom_path and sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, shuffled.collect()), key=repr)
+        _common.discard(out)
+
+
+def test_shuffled_documents_link_alike(spark):
+    from fieldloom.llm.jaccard import near_duplicates
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want, got = (sorted(map(tuple, near_duplicates(d).collect())) for d in (df, df.repartition(5)))
+    assert got == want
