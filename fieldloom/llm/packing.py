@@ -199,8 +199,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, eos: int = 0, with_i
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of all rows.
 
     A document is its ids and `eos`. Whole windows of it are sequences of their own; the ids of its
-    rest are shuffled, once, to one packer for every PER_PACKER documents and placed there online by
-    SumOfSquares. What is open when a packer has placed all its documents is topped up: the emptiest
+    rest are shuffled, once, to one packer for every PER_PACKER documents, each a task of its own, and
+    placed there online by SumOfSquares. What is open when a packer has placed all its documents is topped up: the emptiest
     windows are cut to fill the others, the last ids go to sequences of falling powers of two, so no
     sequence has padding. Rows have numbers by partition and place, packers take them in that order:
     a task that is run again gives the same rows; docs that come out of a shuffle are written first.
@@ -229,7 +229,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, eos: int = 0, with_i
         return Packer(size, to_arrow_type(field.dataType), with_ids)
 
     rests = arrow_map(docs, splitter, f"doc_id {id_type}, packer int, item bigint, start bigint, length bigint, crc bigint, doc_tokens bigint, ids binary")
-    dealt = rests.repartition(packers, "packer").sortWithinPartitions("packer", "item", "start")
+    dealt = rests.repartitionById(packers, "packer").sortWithinPartitions("packer", "item", "start")
     return arrow_map(dealt, packer, f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids)
 
 
