@@ -1,0 +1,91 @@
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from fieldloom.llm import ranked
+from fieldloom.llm.ranked import Searcher, Shard, ranked_search
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute(docs, items, k):
+    """Every document scored for every item."""
+    bags = [(i, Counter(TERM.findall((t or "").translate(LOWER)))) for i, t in docs]
+    n_docs, n_terms = sum(1 for _, b in bags if b), sum(sum(b.values()) for _, b in bags)
+    df = Counter(t for _, b in bags for t in b)
+    asked = {}
+    for item, text in items:
+        asked.setdefault(item, set()).update(TERM.findall((text or "").translate(LOWER)))
+    rows = []
+    for item, terms in asked.items():
+        scored = []
+        for i, bag in bags:
+            n = sum(bag.values())
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * bag[t] // (1000 * bag[t] + 20 * (50 + 50 * n * n_docs // n_terms))) for t in terms if bag[t])
+            if s > 0:
+                scored.append((s, i))
+        scored.sort(key=lambda x: (-x[0], x[1] is not None, x[1] or 0))
+        rows += [(item, r + 1, i, s) for r, (s, i) in enumerate(scored[:k])]
+    return sorted(rows, key=repr)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.select("item_id", "rank", "doc_id", "score").collect()), key=repr)
+
+
+def test_equals_brute_force_on_the_tables(spark, data, documents):
+    items = spark.read.parquet(f"{data}/benchmark.parquet")
+    want = brute([tuple(r) for r in documents.select("doc_id", "text").collect()], [tuple(r) for r in items.select("item_id", "text").collect()], 50)
+    assert rows_of(ranked_search(documents, items)) == want
+
+
+def test_odd_rows_ties_shards_and_blocks(spark, odd, monkeypatch):
+    ties = spark.createDataFrame([(100 + i, "tie tie Word" if i % 2 else "TIE, tie; word") for i in range(40)], "doc_id bigint, text string")
+    docs = odd.select("doc_id", "text").unionByName(ties).repartition(3)
+    for name in ("n", "terms", "tfs", "item", "score", "rank", "item_id"):
+        docs = docs.selectExpr("*", f"'clash' as {name}")
+    items = [(1, "tie word"), (2, None), (3, ""), (None, "bon the x"), (4, "été \U0001f600 Émile é"), (5, "tie"), (5, "w0x0 w1x1"), (5, "w0x0 w1x1"), (6, "nothing_of_this qqqq"), (-1, " ".join(f"w{i}x{i % 13}" for i in range(300)))]
+    frame = spark.createDataFrame([(i, t, "c", 1) for i, t in items], "item_id bigint, text string, doc_id string, n int")
+    want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()], items, 7)
+    assert rows_of(ranked_search(docs, frame, k=7)) == want
+    monkeypatch.setattr(ranked, "SHARD_DOCS", 5)
+    monkeypatch.setattr(ranked, "ITEM_CHARACTERS", 100)  # several blocks
+    monkeypatch.setattr(ranked, "PARTS", 2)
+    assert rows_of(ranked_search(docs, frame, k=7)) == want
+
+
+def test_empty_tables(spark, empty):
+    items = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
+    assert ranked_search(empty, items).count() == 0
+    assert ranked_search(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), items.where("false")).count() == 0
+    with pytest.raises(TypeError):
+        ranked_search(empty.selectExpr("cast(doc_id as string) as doc_id", "text"), items)
+
+
+def shard_of(rows, n_terms):
+    term = np.array([t for r in rows for t, _ in r], np.int32)
+    impact = np.array([x for r in rows for _, x in r], np.int64)
+    return Shard(term, impact, np.concatenate([[0], np.cumsum([len(r) for r in rows])]), n_terms)
+
+
+def test_stops_before_the_ends_of_the_lists_and_only_strictly_below():
+    rng = random.Random(5)
+    rows = [sorted((t, rng.randint(1, 1000) ** 3) for t in rng.sample(range(6), rng.randint(1, 6))) for _ in range(20_000)]
+    search = Searcher([np.array([0, 2, 5])], 6, 10)
+    search.add(shard_of(rows, 6), np.arange(20_000))
+    want = sorted(((sum(x for t, x in r if t in (0, 2, 5)), -i) for i, r in enumerate(rows)), reverse=True)[:10]
+    assert list(zip(search.best[0][0].tolist(), (-search.best[0][1]).tolist())) == want
+    assert search.read < search.held / 2
+    # all impacts equal: the threshold never falls strictly below, so the least ids are found
+    search = Searcher([np.array([0])], 1, 3)
+    search.add(shard_of([[(0, 7)]] * 5000, 1), np.arange(5000)[::-1].copy())
+    assert search.best[0][1].tolist() == [0, 1, 2] and search.read == 5000
+
+
+def test_long_documents_beyond_64_bits():
+    n = np.array([10**9, 5], np.int64)
+    assert ranked.lengths_m(n, 10**11, 10**13).tolist() == [50 + 50 * 10**9 * 10**11 // 10**13, 50 + 50 * 5 * 10**11 // 10**13]
