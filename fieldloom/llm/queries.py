@@ -59,6 +59,12 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turns import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op3_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 16 shards by hash of the id to 24 of equal bytes."""
     from .resharding import hashed_layout, reshard
@@ -79,10 +85,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_min_cost_flow, op4_toxicity, op5_quality, op6_pivot_index, op7_sentencepiece, op8_jaccard_join, op9_language, op10_token_counts, op11_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_min_cost_flow, op4_toxicity, op5_quality, op6_pivot_index, op7_sentencepiece, op8_jaccard_join, op9_language, op10_token_counts, op11_ranked_search, op12_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import oracles, quality, ranked
+    from . import oracles, quality, ranked, turns
 
-    return {"op5_quality": quality.oracle(), "op6_pivot_index": oracles.COSINE, "op8_jaccard_join": oracles.JACCARD, "op11_ranked_search": ranked.ORACLE}
+    return {"op5_quality": quality.oracle(), "op6_pivot_index": oracles.COSINE, "op8_jaccard_join": oracles.JACCARD, "op11_ranked_search": ranked.ORACLE, "op12_prefix_trie": turns.ORACLE}
