@@ -65,6 +65,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sanitise import digests, sanitise
+
+    return digests(sanitise(table(spark, sf_dir, "documents")))
+
+
 def op3_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 16 shards by hash of the id to 24 of equal bytes."""
     from .resharding import hashed_layout, reshard
@@ -85,7 +91,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_min_cost_flow, op4_toxicity, op5_quality, op6_pivot_index, op7_sentencepiece, op8_jaccard_join, op9_language, op10_token_counts, op11_ranked_search, op12_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_min_cost_flow, op4_toxicity, op5_quality, op6_pivot_index, op7_sentencepiece, op8_jaccard_join, op9_language, op10_token_counts, op11_ranked_search, op12_prefix_trie, op13_disclosure)}
 
 
 def oracle_sql() -> dict[str, str]:
