@@ -3,7 +3,9 @@
 A term t discloses an entity e by PMI(e; t) / IC(e): the share of what it takes to name e (its information
 content, -log p(e)) that a reader of t already has. It is 1 where t never occurs but in company of e. The
 probabilities are counts over all documents; company is a window of terms around an occurrence of e. Copies
-of one passage are one piece of evidence: `support` different windows must hold the two.
+of one passage are one piece of evidence: `support` different windows must hold the two, and e's windows must
+differ: of the terms of one of them at most a share of ALIKE, on average, may be found in another one. Where
+more recur, the company tells of a passage that is copied with small changes, not of the entity.
 
 1. One map over whole texts finds the entities and writes counts: documents of each term and of each
    entity, and the windows of each pair. Grouping and joins give each term's largest disclosure.
@@ -32,6 +34,8 @@ KINDS = (*BASE, "generalised", "removed")
 WINDOW = 10
 #: Different windows in which a term and an entity must be met.
 SUPPORT = 3
+#: Share of a window's terms that an entity's other windows may have too, on average.
+ALIKE = 0.5
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
 #: Terms of which a task holds counts before it hands them on.
@@ -172,7 +176,7 @@ def _counts(docs: DataFrame, window: int, text_col: str) -> DataFrame:
     return arrow_map(docs.select(text_col), make, "entity binary, term string, place bigint, n bigint")
 
 
-def disclosing_terms(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, threshold: float = GENERALISE, text_col: str = "text") -> DataFrame:
+def disclosing_terms(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, alike: float = ALIKE, threshold: float = GENERALISE, text_col: str = "text") -> DataFrame:
     """(term, disclosure): terms whose PMI with some entity is at least `threshold` of that entity's information content.
 
     Counted over the whole texts of all documents; the rows' ids don't matter. Repeated rows and copies count
@@ -184,7 +188,12 @@ def disclosing_terms(docs: DataFrame, window: int = WINDOW, support: int = SUPPO
     terms = counts.where("entity is null").groupBy("term").agg(F.sum("n").alias("n_term"))
     alone = counts.where("term is null").groupBy("entity").agg(F.sum("n").alias("n_entity"))
     met = counts.where("entity is not null and term is not null").groupBy("entity", "term", "place").agg(F.sum("n").alias("n"))
-    pairs = met.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("windows")).where(F.col("windows") >= support)
+    pairs = met.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("windows"))
+    # a term drawn from one window is in windows / all of the entity's windows
+    every = met.groupBy("entity", "place").agg(F.count("*").alias("size")).groupBy("entity").agg(F.count("*").alias("places"), F.sum("size").alias("size"))
+    recurring = pairs.groupBy("entity").agg(F.sum(F.col("windows").cast("double") * F.col("windows")).alias("square")).join(every, "entity")
+    varied = recurring.where(F.col("square") <= F.lit(alike) * F.col("places") * F.col("size")).select("entity")
+    pairs = pairs.where(F.col("windows") >= support).join(varied, "entity")
     content = F.log(total / F.col("n_entity"))
     # PMI(e; t) = log(N n_both / (n_entity n_term)) = IC(e) + log(n_both / n_term)
     disclosure = 1 + F.log(F.col("n_both") / F.col("n_term")) / content

@@ -71,8 +71,15 @@ def expected(docs, window=S.WINDOW, support=S.SUPPORT):
         n_entity.update(seen)
         both.update(met)
     out = {}
+    places = {}
+    for (e, _), near in windows.items():
+        places.setdefault(e, set()).update(near)
+    square = Counter()
+    for (e, _), near in windows.items():
+        square[e] += len(near) ** 2
+    varied = {e for e, p in places.items() if square[e] <= S.ALIKE * len(p) * sum(len(set(w)) for w in p)}
     for (e, t), n in both.items():
-        if len(windows[e, t]) >= support and n_entity[e] < len(docs):
+        if e in varied and len(windows[e, t]) >= support and n_entity[e] < len(docs):
             d = math.log(len(docs) * n / (n_entity[e] * n_term[t])) / math.log(len(docs) / n_entity[e])
             if d >= S.GENERALISE - 1e-12:
                 out[t] = max(out.get(t, 0), d)
@@ -83,12 +90,17 @@ def expected(docs, window=S.WINDOW, support=S.SUPPORT):
 def letters(spark):
     """Zoltan goes with one address only, Ute mostly with one phone, other words with all."""
     rng = random.Random(2)
-    words = [a + b for a in ("ka", "lo", "mi", "nu") for b in ("r", "st", "ven", "dol", "pra")]
+    words = [a + b for a in ("ka", "lo", "mi", "nu", "se", "ti") for b in ("r", "st", "ven", "dol", "pra")]
+    words += [a + b for a in words for b in words[::3]]
     prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
     texts = [prose(rng.randint(3, 60)) for _ in range(150)]
     texts += [f"{prose(12)} Zoltan: z.k@mail.test {prose(12)}" for _ in range(6)]
     texts += [f"{prose(9)} +1 (555) 010-{'0000'} ute {prose(12)}" for _ in range(9)] + [f"{prose(5)} Ute {prose(5)}" for _ in range(2)]
     texts += [f"{prose(10)} Zoltan {prose(4)} K7 ZOLTAN."] + ["copied around xeno@y.test passage of rareword"] * 12
+    for i in range(20):  # near copies: one word each is another
+        near = "one passage that many pages carry about tork@y.test with hardly any change between the copies".split()
+        near[i % 8] = f"edit{i}"
+        texts.append(" ".join(near))
     texts += [None, "", "ip 10.0.0.1 and 999.1.1.1 card 4111 1111 1111 1111"]
     rows = [(i, t, "clash", 1) for i, t in enumerate(texts)] + [(None, texts[151], "clash", 1), (3, texts[3], "clash", 1)]
     return spark.createDataFrame(rows, "doc_id bigint, text string, spans string, kind int").repartition(3)
