@@ -82,6 +82,8 @@ def _equal(o: Options) -> None:
     other = o.params.get("other") or ""
     if other.startswith("*."):
         other = o.name[: o.name.rfind(".") + 1] + other[2:]
+    if not other:
+        raise ValueError(f"field {o.name}: equalto names no other field")
     o.put("equalTo", other)
 
 

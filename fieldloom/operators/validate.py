@@ -20,8 +20,19 @@ def _checks(form, builders) -> list[tuple[str, str, Column]]:
     ]
 
 
+def free(df: DataFrame, *names: str) -> None:
+    """Raises where df has a column of one of these names, in whatever case: it would be replaced."""
+    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"column {', '.join(sorted(taken))} is there already; name another")
+
+
 def with_violations(df: DataFrame, form, builders: Mapping | None = None, column: str = VIOLATIONS) -> DataFrame:
-    """df with an array of (field, rule, message) of the rules a row breaks; empty if it breaks none."""
+    """df with an array of (field, rule, message) of the rules a row breaks; empty if it breaks none.
+
+    A column of that name in df raises.
+    """
+    free(df, column)
     broken = [
         F.when(~ok, F.struct(F.lit(name).alias("field"), F.lit(rule).alias("rule"), F.lit(form.messages.get(name, {}).get(rule, "")).alias("message")))
         for name, rule, ok in _checks(form, builders)
@@ -39,10 +50,12 @@ def _all_hold(form, builders) -> Column:
 
 
 def valid_rows(df: DataFrame, form, builders: Mapping | None = None) -> DataFrame:
+    """The rows that break no rule, as they are: nulls as the rules say, repeated rows stay, no column is added."""
     return df.where(_all_hold(form, builders))
 
 
 def invalid_rows(df: DataFrame, form, builders: Mapping | None = None) -> DataFrame:
+    """The rows that break some rule: just those that valid_rows leaves out, since no rule is NULL."""
     return df.where(~_all_hold(form, builders))
 
 

@@ -5,7 +5,9 @@ that always holds have a settled meaning. What the other builders below take the
 this library's own choice, since no specification says it; pass `builders` to choose otherwise.
 
 - `required`: neither NULL nor empty. `minlength`, `maxlength`, `rangelength`: characters.
-- `min`, `max`, `range`: the value as a double. `equalTo`: the other column's value; NULL there is empty.
+- `min`, `max`, `range`: the value as a double, if it is a `number`; no other value is within bounds. Bounds are
+  read as number_of() does; a bound that is no number raises, as does a length that is not whole.
+  `equalTo`: the other column's value; NULL there is empty.
 - `digits`: ASCII digits alone. `number`: a decimal numeral, with a sign or an exponent if it likes.
 - `date`: a day of the calendar written yyyy-mm-dd. `email`: one `@`, a dot in what follows it, no blanks.
 - `url`: http or https, `//`, a host, no blanks. `creditcard`: 12 to 19 digits, blanks and hyphens aside,
@@ -23,15 +25,37 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
-from ..functions import at_least_nonword, filled, whole_match
+from ..functions import at_least_nonword, filled, number_of, whole_match
 from ..operators.adapters import Options, Registry, default_registry
 
 #: (value, argument, whether the field may be empty) -> boolean column
 Builder = Callable[[Column, object, bool], Column]
 
 
+_NUMERAL = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+
+
 def _number(value: Column) -> Column:
-    return value.try_cast("double")
+    """The value of a decimal numeral; NULL for all else that a cast would take, such as `5d` or `NaN`."""
+    return F.when(value.rlike(rf"\A{_NUMERAL}\z"), value.try_cast("double"))
+
+
+def _bound(argument: object) -> float:
+    bound = number_of(str(argument))
+    if bound != bound:
+        raise ValueError(f"{argument!r} is no bound: not a number")
+    return bound
+
+
+def _size(argument: object) -> int:
+    size = _bound(argument)
+    if not size.is_integer():
+        raise ValueError(f"{argument!r} is no bound of a length: not whole")
+    return int(size)
+
+
+def _named(column: object) -> Column:
+    return F.col("`{}`".format(str(column).replace("`", "``")))
 
 
 def _length(value: Column) -> Column:
@@ -85,21 +109,21 @@ BUILDERS: dict[str, Builder] = {
     "regex": _pattern,
     "nonalphamin": lambda v, a, o: at_least_nonword(v, a),
     "required": lambda v, a, o: filled(v),
-    "minlength": lambda v, a, o: _if_filled(v, _length(v) >= int(a)),
-    "maxlength": lambda v, a, o: _if_filled(v, _length(v) <= int(a)),
-    "rangelength": lambda v, a, o: _if_filled(v, _length(v).between(int(a[0]), int(a[1]))),
-    "min": lambda v, a, o: _if_filled(v, _number(v) >= float(a)),
-    "max": lambda v, a, o: _if_filled(v, _number(v) <= float(a)),
-    "range": lambda v, a, o: _if_filled(v, _number(v).between(float(a[0]), float(a[1]))),
+    "minlength": lambda v, a, o: _if_filled(v, _length(v) >= _size(a)),
+    "maxlength": lambda v, a, o: _if_filled(v, _length(v) <= _size(a)),
+    "rangelength": lambda v, a, o: _if_filled(v, _length(v).between(_size(a[0]), _size(a[1]))),
+    "min": lambda v, a, o: _if_filled(v, _number(v) >= _bound(a)),
+    "max": lambda v, a, o: _if_filled(v, _number(v) <= _bound(a)),
+    "range": lambda v, a, o: _if_filled(v, _number(v).between(_bound(a[0]), _bound(a[1]))),
     "digits": _like("[0-9]+"),
-    "number": _like(r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"),
+    "number": _like(_NUMERAL),
     "date": _date,
     "email": _like(r"[^\s@]+@[^\s@.]+(?:\.[^\s@.]+)+"),
     "url": _like(r"(?i:https?)://[^\s/?#]+(?:[/?#]\S*)?"),
     "creditcard": _card,
     "extension": _extension,
     "accept": _media,
-    "equalTo": lambda v, a, o: _if_filled(v, v == F.coalesce(F.col(f"`{a}`").cast("string"), F.lit(""))),
+    "equalTo": lambda v, a, o: _if_filled(v, v == F.coalesce(_named(a).cast("string"), F.lit(""))),
 }
 
 
@@ -126,14 +150,25 @@ def compile_field(name: str, attributes: Mapping[str, str], registry: Registry |
 def compile_form(fields: Sequence[Mapping[str, str]], registry: Registry | None = None) -> Form:
     """A form out of field attributes, each with `name` and perhaps `type`.
 
-    Fields without `data-val` = "true", or with `form` = "" (in no form), are left out.
+    Fields without `data-val` = "true", or with `form` = "" (in no form), are left out. All others make one
+    form here, whatever form they name; compile_forms keeps forms apart.
+    """
+    found = compile_forms(fields, registry).values()
+    return Form({n: r for f in found for n, r in f.rules.items()}, {n: m for f in found for n, m in f.messages.items()})
+
+
+def compile_forms(fields: Sequence[Mapping[str, str]], registry: Registry | None = None) -> dict[str, Form]:
+    """The forms of a page by name, in the order of their first fields, each compiled once.
+
+    A field's form is its `form` attribute, "form" where it has none; "" is no form.
     """
     registry = registry or default_registry()
-    rules, messages = {}, {}
+    forms: dict[str, Form] = {}
     for f in fields:
-        if f.get("data-val") == "true" and f.get("form", "form"):
-            rules[f["name"]], messages[f["name"]] = compile_field(f["name"], f, registry, f.get("type", "text").lower())
-    return Form(rules, messages)
+        if f.get("data-val") == "true" and (name := f.get("form", "form")):
+            form = forms.setdefault(name, Form({}, {}))
+            form.rules[f["name"]], form.messages[f["name"]] = compile_field(f["name"], f, registry, f.get("type", "text").lower())
+    return forms
 
 
 def column_of(name: str, rule: str, argument: object, optional: bool, builders: Mapping[str, Builder] | None = None) -> Column:
@@ -141,4 +176,4 @@ def column_of(name: str, rule: str, argument: object, optional: bool, builders:
     builder = {**BUILDERS, **(builders or {})}.get(rule)
     if builder is None:
         raise KeyError(f"field {name}: rule {rule} has no builder; pass one in `builders`")
-    return F.coalesce(builder(F.col(f"`{name}`").cast("string"), argument, optional), F.lit(True))
+    return F.coalesce(builder(_named(name).cast("string"), argument, optional), F.lit(True))

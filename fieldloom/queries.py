@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import at_least_nonword, default_verb, escape_selector, filled, first_filled, first_known, model_prefix, split_items, whole_match, with_model_prefix
 from .operators import invalid_rows, rule_report, valid_rows, with_violations
-from .plans import column_of, compile_form
+from .plans import column_of, compile_form, compile_forms
 from .sources import read_table
 
 EVEN_NAME = "Customer#[0-9]*[02468]"
@@ -149,9 +151,50 @@ def file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid_rows(df.select("p_partkey", name.alias("file"), media.alias("media")), form).select("p_partkey")
 
 
+def page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of pages by `url`, `extension` and `fileextensions`; the last rule always holds."""
+    df = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    path = F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    df = df.select("page_id", "url", path.alias("path"), F.replace("url", F.lit("://"), F.lit(":/")).alias("cut"))
+    form = compile_form([
+        {"name": "url", "data-val": "true", "data-val-url": ""},
+        {"name": "path", "data-val": "true", "data-val-extension": "", "data-val-extension-extension": "html|pdf,.TXT"},
+        {"name": "cut", "data-val": "true", "data-val-url": "", "data-val-fileextensions": "", "data-val-fileextensions-extensions": "org"},
+    ])
+    rules = [(name, rule, argument) for name, found in form.rules.items() for rule, argument in found.items() if rule != "__dummy__" or name == "url"]
+    return df.select("page_id", *(column_of(name, rule, argument, True).alias(f"{name}_{rule.strip('_')}") for name, rule, argument in rules))
+
+
+#: Rules that texts' words are held to.
+WORD_RULES = ("email", "number", "digits", "url", "date", "creditcard")
+
+
+def word_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blank-separated words of each whole text keep each rule."""
+    words = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", F.explode(F.split("text", r"[ \n]+")).alias("word"))
+    form = compile_form([{"name": "word", "data-val": "true", **{f"data-val-{rule}": "" for rule in WORD_RULES}}])
+    kept = [F.count_if((F.col("word") != "") & column_of("word", rule, form.rules["word"][rule], False)).alias(rule) for rule in WORD_RULES]
+    return words.groupBy("doc_id").agg(F.count_if(F.col("word") != "").alias("words"), *kept)
+
+
+#: Two forms of one page: a field belongs to the one it names.
+ORDER_FORMS = [
+    {"name": "o_totalprice", "form": "price", "data-val": "true", "data-val-range": "price", "data-val-range-min": "0x3E8", "data-val-range-max": "2.5e5"},
+    {"name": "o_orderpriority", "form": "service", "data-val": "true", "data-val-regex": "urgency", "data-val-regex-pattern": "[1-3]-[A-Z ]+"},
+    {"name": "o_orderstatus", "form": "service", "data-val": "true", "data-val-equalto": "odd", "data-val-equalto-other": "o_orderstatus", "data-val-maxlength": "", "data-val-maxlength-max": "1"},
+    {"name": "o_custkey", "form": "", "data-val": "true", "data-val-digits": "in no form"},
+]
+
+
+def forms_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read_table(spark, sf_dir, "orders", ["o_totalprice", "o_orderpriority", "o_orderstatus"])
+    reports = [rule_report(df, form).withColumn("form", F.lit(name)) for name, form in compile_forms(ORDER_FORMS).items()]
+    return reduce(DataFrame.unionByName, reports)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (regex_fullmatch, nonalpha_min, nonalpha_min_by_row, split_trim, selector_escape, name_prefix, append_prefix, value_fallback, request_id, password_rule, form_violations, form_report, form_valid, form_invalid, part_violations, flag_rules, file_rules)
+    for f in (regex_fullmatch, nonalpha_min, nonalpha_min_by_row, split_trim, selector_escape, name_prefix, append_prefix, value_fallback, request_id, password_rule, form_violations, form_report, form_valid, form_invalid, part_violations, flag_rules, file_rules, page_rules, word_rules, forms_report)
 }
 
 _WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -164,6 +207,17 @@ _BROKEN = f"""
   UNION ALL SELECT c_custkey, 'c_mktsegment', 'rangelength', 'length' FROM customer WHERE length(c_mktsegment) NOT BETWEEN 0 AND 9
   UNION ALL SELECT c_custkey, 'c_acctbal', 'range', 'range' FROM customer WHERE c_acctbal NOT BETWEEN 0 AND 5000"""
 
+#: The rules without argument in DuckDB SQL, evaluated on a value.
+_RULES = {
+    "digits": "({0} = '' OR regexp_full_match({0}, '[0-9]+'))",
+    "number": r"({0} = '' OR regexp_full_match({0}, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?'))",
+    "date": "({0} = '' OR (regexp_full_match({0}, '[0-9]+-[0-9]+-[0-9]+') AND length({0}) = 10 AND try_strptime({0}, '%Y-%m-%d') IS NOT NULL))",
+    "email": r"({0} = '' OR regexp_full_match({0}, '[^\s@]+@[^\s@.]+(\.[^\s@.]+)+'))",
+    "url": r"({0} = '' OR regexp_full_match({0}, '(?i:https?)://[^\s/?#]+([/?#]\S*)?'))",
+    "creditcard": """({0} = '' OR (regexp_full_match(translate({0}, ' -', ''), '[0-9]+') AND length(translate({0}, ' -', '')) BETWEEN 12 AND 19 AND list_sum(list_transform(string_split(reverse(translate({0}, ' -', '')), ''),
+            lambda d, i: CASE WHEN i % 2 = 1 THEN try_cast(d AS INTEGER) ELSE (2 * try_cast(d AS INTEGER)) // 10 + (2 * try_cast(d AS INTEGER)) % 10 END)) % 10 = 0))""",
+}
+
 ORACLE_SQL = {
     "regex_fullmatch": f"SELECT c_custkey, c_name, regexp_extract(c_name, '{EVEN_NAME}') = c_name AS matches, regexp_extract(c_name, 'Customer|Customer#[0-9]+') = c_name AS leftmost FROM customer",
     "nonalpha_min": "SELECT doc_id, cast(len(regexp_extract_all(text, '[^A-Za-z0-9_]')) AS INTEGER) AS nonword, len(regexp_extract_all(text, '[^A-Za-z0-9_]')) >= 300 AS enough FROM documents",
@@ -188,11 +242,25 @@ ORACLE_SQL = {
         SELECT p_partkey, 'p_name' AS field, 'minlength' AS rule, 'short' AS message FROM v WHERE length(p_name) BETWEEN 1 AND 9
         UNION ALL SELECT p_partkey, 'p_name', 'maxlength', 'long' FROM v WHERE length(p_name) > 16
         UNION ALL SELECT p_partkey, 'p.again', 'equalTo', 'differs' FROM v WHERE again <> '' AND again <> p_brand""",
-    "flag_rules": r"""WITH k AS (SELECT o_orderkey, o_orderkey % 5 AS k, strftime(o_orderdate, '%Y-%m-%d') AS day, '4' || lpad(cast(o_custkey AS VARCHAR), 14, '0') || cast(o_orderkey % 10 AS VARCHAR) AS card FROM orders),
-        v AS (SELECT o_orderkey, k, CASE k WHEN 0 THEN '' WHEN 1 THEN o_orderkey || ' ' ELSE cast(o_orderkey AS VARCHAR) END AS digits,
-            CASE k WHEN 0 THEN day[1:8] || '31' WHEN 1 THEN translate(day, '-', '/') ELSE day END AS date, CASE k WHEN 1 THEN card[1:11] ELSE card END AS card FROM k)
-        SELECT o_orderkey, digits = '' OR regexp_full_match(digits, '[0-9]+') AS digits_ok, k IN (0, 2, 4) AS number_ok, try_strptime(date, '%Y-%m-%d') IS NOT NULL AS date_ok, k IN (0, 4) AS email_ok, k IN (0, 3) AS url_ok,
-            length(card) >= 12 AND list_sum(list_transform(range(1, length(card) + 1), lambda i: CASE WHEN i % 2 = 1 THEN cast(reverse(card)[i] AS INTEGER)
-              ELSE (2 * cast(reverse(card)[i] AS INTEGER)) // 10 + (2 * cast(reverse(card)[i] AS INTEGER)) % 10 END)) % 10 = 0 AS creditcard_ok FROM v""",
-    "file_rules": "SELECT p_partkey FROM part WHERE p_partkey % 5 IN (0, 1)",
+    "flag_rules": rf"""WITH k AS (SELECT o_orderkey, o_orderkey % 5 AS k, strftime(o_orderdate, '%Y-%m-%d') AS day, '4' || lpad(cast(o_custkey AS VARCHAR), 14, '0') || cast(o_orderkey % 10 AS VARCHAR) AS card FROM orders),
+        v AS (SELECT o_orderkey, CASE k WHEN 0 THEN '' WHEN 1 THEN o_orderkey || ' ' ELSE cast(o_orderkey AS VARCHAR) END AS digits,
+            CASE k WHEN 0 THEN '-1.5e3' WHEN 1 THEN '1,000' WHEN 2 THEN '.5' WHEN 3 THEN '.' ELSE cast(o_orderkey AS VARCHAR) END AS number,
+            CASE k WHEN 0 THEN 'c' || o_orderkey || '@ex.org' WHEN 1 THEN 'a@b@c.org' WHEN 2 THEN 'a b@c.org' WHEN 3 THEN 'a@localhost' ELSE 'a.b@c.d.org' END AS email,
+            CASE k WHEN 0 THEN 'HTTPS://ex.org/' || o_orderkey WHEN 1 THEN 'ftp://ex.org' WHEN 2 THEN 'http:///x' WHEN 3 THEN 'http://ex.org?q=1' ELSE 'http://ex.org/a b' END AS url,
+            CASE k WHEN 0 THEN day[1:8] || '31' WHEN 1 THEN translate(day, '-', '/') ELSE day END AS date, CASE k WHEN 0 THEN card[1:4] || '-' || card[5:] WHEN 1 THEN card[1:11] ELSE card END AS card FROM k)
+        SELECT o_orderkey, {_RULES["digits"].format("digits")} AS digits_ok, {_RULES["number"].format("number")} AS number_ok, {_RULES["date"].format("date")} AS date_ok, {_RULES["email"].format("email")} AS email_ok,
+            {_RULES["url"].format("url")} AS url_ok, {_RULES["creditcard"].format("card")} AS creditcard_ok FROM v""",
+    "file_rules": r"""WITH v AS (SELECT p_partkey, p_name || CASE p_partkey % 5 WHEN 0 THEN '.PNG' WHEN 1 THEN '.tar.gz' WHEN 2 THEN '' WHEN 3 THEN '.jpg/x' ELSE '.pngx' END AS file,
+            CASE p_partkey % 5 WHEN 0 THEN 'Image/png' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'text/html' WHEN 3 THEN '' ELSE 'imagery/png' END AS media FROM part)
+        SELECT p_partkey FROM v WHERE (file = '' OR regexp_matches(file, '(?i)\.(png|gz|jpg)$')) AND (media = '' OR regexp_full_match(media, '(?i)image/.*|text/plain'))""",
+    "page_rules": rf"""WITH v AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, replace(url, '://', ':/') AS cut FROM pages)
+        SELECT page_id, {_RULES["url"].format("url")} AS url_url, true AS url_dummy, path = '' OR regexp_matches(path, '(?i)\.(html|pdf|txt)$') AS path_extension, {_RULES["url"].format("cut")} AS cut_url,
+            cut = '' OR regexp_matches(cut, '(?i)\.org$') AS cut_extension FROM v""",
+    "word_rules": "WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS word FROM documents) SELECT doc_id, count(*) FILTER (word <> '') AS words, "
+    + ", ".join(f"count(*) FILTER (word <> '' AND {_RULES[r].format('word')}) AS {r}" for r in ("email", "number", "digits", "url", "date", "creditcard"))
+    + " FROM w GROUP BY doc_id",
+    "forms_report": r"""SELECT 'price' AS form, 'o_totalprice' AS field, 'range' AS rule, count(*) AS checked, count(*) FILTER (NOT o_totalprice BETWEEN 1000 AND 250000) AS broken FROM orders
+        UNION ALL SELECT 'service', 'o_orderpriority', 'regex', count(*), count(*) FILTER (NOT regexp_full_match(o_orderpriority, '[1-3]-[A-Z ]+')) FROM orders
+        UNION ALL SELECT 'service', 'o_orderstatus', 'maxlength', count(*), count(*) FILTER (length(o_orderstatus) > 1) FROM orders
+        UNION ALL SELECT 'service', 'o_orderstatus', 'equalTo', count(*), count(*) FILTER (o_orderstatus <> o_orderstatus) FROM orders""",
 }

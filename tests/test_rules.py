@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.operators import Registry, default_registry, invalid_rows, rule_report, valid_rows, with_violations
-from fieldloom.plans import Form, compile_field, compile_form
+from fieldloom.plans import Form, column_of, compile_field, compile_form, compile_forms
 from fieldloom.sources import read_table, write_split
 from fieldloom.streaming import start_split
 
@@ -115,6 +115,66 @@ def test_built_in_readings(spark, rule, params, good, bad):
     assert sorted(r["v"] for r in invalid_rows(df, form).collect()) == sorted(bad)
 
 
+NUMBERS = [
+    ("min", "5", ["5", "7.5", "+6", "1e3", "", None], ["4", "5d", "5f", "NaN", "Infinity", "inf", " 6", "0x10", "x"]),
+    ("max", "5", ["5", "-7.5", "", None], ["6", "1d", "NaN", "-Infinity", "1_0"]),
+    ("range", ("5", "10"), ["5", "10.0", "", None], ["5d", "11", "NaN", "4.999"]),
+    ("range", ("0x5", " 10 "), ["5", "10", None], ["4", "11"]),
+    ("rangelength", ("0x1", "2e0"), ["a", "ab", "", None], ["abc"]),
+]
+
+
+@pytest.mark.parametrize("rule,bounds,good,bad", NUMBERS)
+def test_bounds_take_numbers_alone(spark, rule, bounds, good, bad):
+    df = spark.createDataFrame([(v,) for v in good + bad], "v string")
+    kept = df.where(column_of("v", rule, bounds, True)).collect()
+    assert sorted(map(repr, (r["v"] for r in kept))) == sorted(map(repr, good))
+
+
+@pytest.mark.parametrize("rule,bounds", [("min", "1_0"), ("max", "nan"), ("range", ("1", "five")), ("minlength", "1_0"), ("maxlength", "1.5"), ("rangelength", ("1", "Infinity"))])
+def test_bounds_that_are_none_raise(spark, rule, bounds):
+    with pytest.raises(ValueError):
+        column_of("v", rule, bounds, True)
+
+
+def test_equalto_needs_another_field(spark):
+    for attributes in ({}, {"equalto_other": ""}, {"equalto_other": "*."}):
+        with pytest.raises(ValueError):
+            rules(equalto="", **attributes)
+    df = spark.createDataFrame([("a", "a"), ("a", "b")], ["odd`name", "x.y"])
+    form = compile_form([{"name": "odd`name", "data-val": "true", "data-val-equalto": "", "data-val-equalto-other": "x.y"}])
+    assert valid_rows(df, form).count() == 1
+    form = compile_form([{"name": "x.y", "data-val": "true", "data-val-equalto": "", "data-val-equalto-other": "odd`name"}])
+    assert valid_rows(df, form).count() == 1
+
+
+def test_forms_are_kept_apart(spark):
+    forms = compile_forms([
+        {"name": "a", "form": "one", "data-val": "true", "data-val-digits": ""}, {"name": "b", "form": "two", "data-val": "true", "data-val-required": "need"},
+        {"name": "c", "form": "", "data-val": "true", "data-val-required": ""}, {"name": "a", "form": "two", "data-val": "true", "data-val-email": ""}, {"name": "d", "form": "three"},
+    ])
+    assert {n: {c: list(r) for c, r in f.rules.items()} for n, f in forms.items()} == {"one": {"a": ["digits", "__dummy__"]}, "two": {"b": ["required", "__dummy__"], "a": ["email", "__dummy__"]}}
+    assert forms["two"].messages == {"b": {"required": "need"}, "a": {}}
+    df = spark.createDataFrame([("1", None), ("a@b.c", "x"), (None, "")], "a string, b string")
+    assert [valid_rows(df, forms[n]).count() for n in ("one", "two")] == [2, 1]
+    assert df.where(column_of("a", "__dummy__", True, True)).count() == 3
+
+
+def test_columns_of_the_user_are_not_replaced(spark, tmp_path):
+    form = compile_form(FIELDS[:1])
+    df = spark.createDataFrame([("a-1", "mine", "his")], "code string, Violations string, valid string")
+    with pytest.raises(ValueError):
+        with_violations(df, form)
+    for names in ({}, {"violations": "v"}, {"valid": "w"}):
+        with pytest.raises(ValueError):
+            write_split(df, form, str(tmp_path / "no"), **names)
+    write_split(df, form, str(tmp_path / "yes"), violations="v", valid="w")
+    assert spark.read.parquet(str(tmp_path / "yes" / "w=true")).select("Violations", "valid").first() == ("mine", "his")
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "yes" / "w=true"))
+    with pytest.raises(ValueError):
+        start_split(stream, form, str(tmp_path / "s"), str(tmp_path / "c"))
+
+
 def test_plan_is_a_projection(spark, data):
     form = compile_form([{"name": "c_name", "data-val": "true", "data-val-regex": "", "data-val-regex-pattern": "C.*"}])
     plan = valid_rows(read_table(spark, data, "customer", ["c_custkey", "c_name"]), form)._jdf.queryExecution().executedPlan().toString()
