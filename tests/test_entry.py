@@ -7,7 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from fieldloom.queries import ORACLE_SQL, QUERIES
+from fieldloom import ext_queries, queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | ext_queries.QUERIES, queries.ORACLE_SQL | ext_queries.ORACLE_SQL
 
 
 def test_entry(spark):
