@@ -35,6 +35,8 @@ SEEN = 1 << 16
 #: Sets one task joins: larger tiles are cut in chunks of about so many.
 TILE = 128
 LEAF, FANOUT = 16, 8
+#: A prefix is kept longer by so many shingles: sets that link share so many more of the longer ones.
+EXTRA = 3
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -101,7 +103,7 @@ def _large(raw: bytes, n: int) -> np.ndarray:
 
 _DEALT = pa.schema([("k", pa.int32()), ("batch", pa.int64()), ("docs", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 _BACK = pa.schema([("k", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-_PLAYS = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("prefix", pa.binary()), ("shared", pa.binary())])
+_PLAYS = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("room", pa.int64()), ("prefix", pa.binary()), ("shared", pa.binary())])
 
 
 def _sql(schema: pa.Schema) -> str:
@@ -210,7 +212,8 @@ def _count(bits: int):
 
 
 def _choose(threshold: int):
-    """A batch's rows -> (node, n_shingles, prefix, shared) of the sets whose rarest shingles are not all their own."""
+    """A batch's rows -> (node, n_shingles, room, prefix, shared) of the sets whose rarest shingles are not all
+    their own. room: how many of the prefix make the shortest; EXTRA more follow."""
 
     def tile(table: pa.Table):
         kind, a, b, c, d = (table.column(x).to_pylist() for x in ("kind", "a", "b", "c", "d"))
@@ -240,14 +243,15 @@ def _choose(threshold: int):
         who, first = np.unique(owner[order], return_index=True)
         for o, f in zip(who.tolist(), first.tolist()):
             n = int(count[o])
-            yield int(nodes[o]), int(sizes[o]), h[order[f : f + min(n, int(room[o]))]].tobytes(), h[by_owner[f : f + n]].tobytes()
+            yield int(nodes[o]), int(sizes[o]), int(room[o]), h[order[f : f + min(n, int(room[o]) + EXTRA)]].tobytes(), h[by_owner[f : f + n]].tobytes()
 
     return tiles(tile, _PLAYS)
 
 
 def plays(docs: DataFrame, text_col: str, words: int, threshold: int, total: int) -> DataFrame:
-    """(node, n_shingles, prefix, shared) of distinct sets that may link: node is the digest's first
-    half, shared the sorted shingles that other sets hold too, prefix the rarest of them. total: shingles of all texts."""
+    """(node, n_shingles, room, prefix, shared) of distinct sets that may link: node is the digest's first
+    half, shared the sorted shingles that other sets hold too, prefix the rarest of them, of which the
+    first `room` are the shortest prefix. total: shingles of all texts."""
     bits = max(8, int(np.ceil(np.log2(max(total, 1) / BUCKET))))
 
     def dealer():
@@ -259,7 +263,7 @@ def plays(docs: DataFrame, text_col: str, words: int, threshold: int, total: int
     back = arrow_map(dealt.repartition("k").sortWithinPartitions("k", "batch"), _count(bits), _sql(_BACK))
     found = arrow_map(back.repartition("k").sortWithinPartitions("k", "kind"), _choose(threshold), _sql(_PLAYS))
     # equal sets of several tasks
-    return written(found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n_shingles", "prefix", "shared"))), "plays")
+    return written(found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n_shingles", "room", "prefix", "shared"))), "plays")
 
 
 # --- tiles
@@ -371,19 +375,25 @@ class Tile:
                         parent[max(a, b)] = min(a, b)
 
 
-def tile_members(sets: DataFrame) -> DataFrame:
-    """(leader, node): sets, each in the tile of the least node it shares a rare shingle with, leaders
-    among them. sets: plays()."""
+def prefix_entries(sets: DataFrame, extra: int = 0) -> DataFrame:
+    """(h, node) for each shingle of each set's prefix, which is `extra` longer than the shortest. sets: plays()."""
 
     def make():
         def one(batch: pa.RecordBatch):
-            raw = batch.column(1).to_pylist()
+            room, raw = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            raw = [r[: 8 * (n + extra)] for n, r in zip(room, raw)]
             spread = np.repeat(np.arange(len(raw)), [len(r) // 8 for r in raw])
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), "<i8")), batch.column(0).take(pa.array(spread))], names=["h", "node"])
 
         return one
 
-    entries = arrow_map(sets.select("node", "prefix"), make, "h bigint, node bigint")
+    return arrow_map(sets.select("node", "room", "prefix"), make, "h bigint, node bigint")
+
+
+def tile_members(sets: DataFrame) -> DataFrame:
+    """(leader, node): sets, each in the tile of the least node it shares a rare shingle with, leaders
+    among them. sets: plays()."""
+    entries = prefix_entries(sets)
     first = entries.groupBy("h").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("n")).where("leader < last").drop("last")
     first = written(first, "leaders")
     led = joined(entries, first, ["h"], "n").where("node <> leader")
@@ -424,23 +434,64 @@ def links(docs: DataFrame, words: int = 5, threshold: int = 80, every: bool = Fa
 
 
 def _across(members, large, sets, found, threshold, every) -> DataFrame:
-    """Links between chunks of large tiles: members their chunk did not connect to the leader, against all
-    others, TILE and TILE at a time. With `every`, all members against all other chunks."""
+    """Links between chunks of large tiles: members their chunk did not connect to the leader, the loose
+    ones, against all others. With `every`, all members against all other chunks.
+
+    Sets that link share EXTRA + 1 shingles of their prefixes of that much more. So a loose member is
+    compared with those alone that share one of its prefix shingles other than the EXTRA which most of the
+    tile's members have: it is found in one of the rest. Where that takes more rows than to compare the
+    loose ones with all, as among near copies of one text, TILE and TILE at a time, the latter is done.
+    Either finds all links.
+    """
     roots = components(found.select(F.col("b").alias("node"), F.col("a").alias("root"))).withColumnRenamed("root", "own")
     top = large.join(roots, F.col("leader") == F.col("node"), "left").select("leader", F.coalesce("own", "leader").alias("top"), "chunks", "n")
     rest = joined(members.where("node <> leader"), written(top, "tops"), ["leader"], "n").join(roots, "node", "left").withColumn("own", F.coalesce("own", "node"))
     rest = written(rest, "large")
     loose = rest if every else rest.where("own <> top")
-    some = loose.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    some = loose.groupBy("leader").agg(F.count("*").alias("loose"), F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
     some = written(some.join(large.select("leader", "n"), "leader"), "loose")
+    if every:
+        return _verified(_blocks(loose, rest, some, True), sets, threshold, True)
+    lists, kept, entries = _lists(rest, some, sets)
+    costs = lists.groupBy("leader").agg(F.sum(F.col("loose") * F.col("chunks") + F.col("n") * F.col("parts")).alias("cost"))
+    costs = some.join(costs, "leader", "left").withColumn("split", F.coalesce("cost", F.lit(0)) < F.col("loose") * F.ceil(F.col("n") / TILE) + F.col("n") * F.col("parts"))
+    costs = written(costs, "costs")
+    whole = costs.where("not split").select("leader", "n", "parts")
+    lists = written(lists.join(costs.where("split").select("leader"), "leader"), "split")
+    ways = [F.xxhash64("leader", "h").alias("k1"), "k2", "k3", "node", "side", F.col("own").alias("given")]
+    left = joined(kept, lists, ["leader", "h"], "loose").withColumn("k2", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+    left = left.withColumns({"k3": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "side": F.lit(1).cast("long")}).select(*ways)
+    right = joined(entries.drop("loose"), lists.drop("loose"), ["leader", "h"], "n").withColumn("k3", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    right = right.withColumns({"k2": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "side": F.lit(0).cast("long")}).select(*ways)
+    return _verified(left.unionByName(right).unionByName(_blocks(loose, rest, whole, False)), sets, threshold, False)
+
+
+def _lists(rest: DataFrame, some: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lists, kept, entries) of tiles with loose members. entries: (leader, h, node, own, loose), members by
+    their longer prefixes' shingles; kept: those of loose members but for the EXTRA most frequent of each;
+    lists: (leader, h, loose, n, parts, chunks), how many of either a shingle has, and the blocks they make."""
+    marked = joined(rest, some.select("leader", "n"), ["leader"], "n").select("leader", "node", "own", (F.col("own") != F.col("top")).alias("loose"))
+    entries = written(marked.join(prefix_entries(sets, EXTRA), "node").select("leader", "h", "node", "own", "loose"), "entries")
+    sizes = entries.groupBy("leader", "h").agg(F.count("*").alias("n"), F.count_if("loose").alias("loose")).where("n > 1 and loose > 0")
+    sizes = written(sizes, "sizes")
+    # the rows of `entries` that are loose have these weights
+    of_loose = joined(entries.where("loose").drop("loose"), sizes, ["leader", "h"], "loose")
+    rank = F.row_number().over(W.partitionBy("leader", "node").orderBy(F.desc("n"), "h"))
+    kept = written(of_loose.withColumn("rank", rank).where(F.col("rank") > EXTRA).select("leader", "h", "node", "own"), "kept-entries")
+    lists = kept.groupBy("leader", "h").agg(F.count("*").alias("loose")).join(sizes.select("leader", "h", "n"), ["leader", "h"])
+    lists = written(lists.withColumns({"parts": F.ceil(F.col("loose") / TILE).cast("int"), "chunks": F.ceil(F.col("n") / TILE).cast("int")}), "lists")
+    return lists, kept, entries
+
+
+def _blocks(loose: DataFrame, rest: DataFrame, some: DataFrame, every: bool) -> DataFrame:
+    """_verified's rows of the tiles in `some` (leader, n, parts): loose members against all, TILE and TILE at a time."""
     left = joined(loose, some, ["leader"], "n")
     left = left.withColumn("k2", F.col("chunk") if every else F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
     left = left.select("leader", "node", "own", F.lit(1).cast("long").alias("side"), "k2", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k3"))
     right = joined(rest, some, ["leader"], "n")
     right = right.select("leader", "node", "own", F.lit(0).cast("long").alias("side"), F.explode(F.sequence(F.lit(0), (F.col("chunks") if every else F.col("parts")) - 1)).alias("k2"), F.col("chunk").alias("k3"))
     both = left.unionByName(right)
-    both = (both.where("k2 <> k3") if every else both).select(F.col("leader").alias("k1"), "k2", "k3", "node", "side", F.col("own").alias("given"))
-    return _verified(both, sets, threshold, every)
+    return (both.where("k2 <> k3") if every else both).select(F.col("leader").alias("k1"), "k2", "k3", "node", "side", F.col("own").alias("given"))
 
 
 def _verified(members: DataFrame, sets: DataFrame, threshold: int, every: bool) -> DataFrame:

@@ -466,6 +466,31 @@ def test_large_tiles_in_chunks(spark, monkeypatch):
         check_near(spark.createDataFrame(families(2, 160), "doc_id bigint, text string"))
 
 
+def templates(count, seed=11):
+    """Pages of one shop: 60 words that all have, 35 out of a pool."""
+    rng = np.random.default_rng(seed)
+    fixed, pool = [f"f{i}" for i in range(60)], [f"p{i}" for i in range(9)]
+    return [(i, " ".join(fixed[:30] + list(rng.choice(pool, 35)) + fixed[30:])) for i in range(count)]
+
+
+def test_large_tiles_of_unlike_texts_grow_with_the_rows(spark, monkeypatch):
+    """Across chunks of pages of one template no more sets are sent than there are pages; links are whole."""
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    compared, plain = [], jaccard._verified
+
+    def counted(members, *rest):
+        compared.append(members.count())
+        return plain(members, *rest)
+
+    check_near(spark.createDataFrame(templates(120) + [(500 + i, t.replace("p3", "q", 1)) for i, t in templates(40)], "doc_id bigint, text string"))
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    for n in (600, 1200):
+        rows = [(2 * i + j, t if j else t.replace("p3", "q", 2)) for i, t in templates(n) for j in (0, 1)]
+        jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).count()
+    assert len(compared) == 4  # tiles, then what lies across their chunks
+    assert compared[1] <= 1200 and compared[3] <= 2400, compared
+
+
 def test_heavy_keys_and_light_ones_meet_alike(spark, monkeypatch):
     """The rows are the same whichever keys are broadcast."""
     many = spark.createDataFrame([(i % 7 if i < 60 else 100 + i, i) for i in range(100)], "k bigint, v bigint")
@@ -512,8 +537,8 @@ def test_counting_is_brute_force(monkeypatch, batch, often):
         shared = sorted(h for h in s.tolist() if held[h] > 1)
         room = jaccard.prefix_length(len(s), 80) - (len(s) - len(shared))
         if room > 0 and shared:
-            expected[node] = (len(s), sorted(shared, key=lambda h: (level[h], h))[:room], shared)
-    assert {n: (r["n_shingles"], np.frombuffer(r["prefix"], "<u8").tolist(), np.frombuffer(r["shared"], "<u8").tolist()) for n, r in mine.items()} == expected
+            expected[node] = (len(s), room, sorted(shared, key=lambda h: (level[h], h))[: room + jaccard.EXTRA], shared)
+    assert {n: (r["n_shingles"], r["room"], np.frombuffer(r["prefix"], "<u8").tolist(), np.frombuffer(r["shared"], "<u8").tolist()) for n, r in mine.items()} == expected
 
 
 def test_all_links(spark, monkeypatch):
