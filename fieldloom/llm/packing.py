@@ -20,6 +20,10 @@ from .tokens import vocabulary
 
 #: Documents for one packer: the packers grow with the corpus, what each holds does not.
 PER_PACKER = 32_768
+#: Documents a packer has at least, where there are more cores than packers of PER_PACKER.
+LEAST = 1024
+#: Tasks that packers are dealt to, at most: a shuffle has no more partitions, however many documents there are.
+TASKS = 16_384
 #: Sequence ids of a packer start at its number times this; so do the numbers of a partition's rows.
 STRIDE = 1 << 36
 FIELDS = (("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()))
@@ -199,8 +203,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, eos: int = 0, with_i
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of all rows.
 
     A document is its ids and `eos`. Whole windows of it are sequences of their own; the ids of its
-    rest are shuffled, once, to one packer for every PER_PACKER documents, each a task of its own, and
-    placed there online by SumOfSquares. What is open when a packer has placed all its documents is topped up: the emptiest
+    rest are shuffled, once, to one packer for every PER_PACKER documents (fewer documents, but LEAST, where
+    that leaves cores idle), and placed there online by SumOfSquares. Up to TASKS packers have a task each;
+    more follow each other in a task. What is open when a packer has placed all its documents is topped up: the emptiest
     windows are cut to fill the others, the last ids go to sequences of falling powers of two, so no
     sequence has padding. Rows have numbers by partition and place, packers take them in that order:
     a task that is run again gives the same rows; docs that come out of a shuffle are written first.
@@ -214,7 +219,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, eos: int = 0, with_i
         raise ValueError("size must be a power of two")
     docs = settled(docs.select(id_col, text_col), "pack")
     field = docs.schema[id_col]
-    packers = max(1, -(-docs.count() // PER_PACKER))
+    count = docs.count()
+    packers = max(1, -(-count // PER_PACKER), min(docs.sparkSession.sparkContext.defaultParallelism, count // LEAST))
+    tasks = min(packers, TASKS)
     id_type = field.dataType.simpleString()
 
     def splitter():
@@ -229,7 +236,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, eos: int = 0, with_i
         return Packer(size, to_arrow_type(field.dataType), with_ids)
 
     rests = arrow_map(docs, splitter, f"doc_id {id_type}, packer int, item bigint, start bigint, length bigint, crc bigint, doc_tokens bigint, ids binary")
-    dealt = rests.repartitionById(packers, "packer").sortWithinPartitions("packer", "item", "start")
+    dealt = rests.repartitionById(tasks, (F.col("packer") * F.lit(tasks).cast("bigint") / packers).cast("int")).sortWithinPartitions("packer", "item", "start")
     return arrow_map(dealt, packer, f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids)
 
 
