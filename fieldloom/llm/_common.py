@@ -23,6 +23,8 @@ BATCH_ROWS, BATCH_BYTES = 5000, "16m"
 HEAVY = 1024
 #: A key of so few rows is no burden to any task.
 HEAVY_ROWS = 1000
+#: Tasks a core that write a narrow table.
+GATHERED = 4
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -57,8 +59,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, gather: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    gather: the last stage's partitions are read by GATHERED tasks a core, if there are more of them: for
+    narrow tables, whose files would be many and small. Not for maps that number rows by task.
+    """
+    if gather:
+        df = df.coalesce(GATHERED * df.sparkSession.sparkContext.defaultParallelism)
     path = f"{scratch_root(df.sparkSession)}/fieldloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

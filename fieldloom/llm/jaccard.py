@@ -395,9 +395,9 @@ def tile_members(sets: DataFrame) -> DataFrame:
     among them. sets: plays()."""
     entries = prefix_entries(sets)
     first = entries.groupBy("h").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("n")).where("leader < last").drop("last")
-    first = written(first, "leaders")
+    first = written(first, "leaders", gather=True)
     led = joined(entries, first, ["h"], "n").where("node <> leader")
-    pairs = written(led.groupBy("leader", "node").agg(F.lit(1).alias("one")).drop("one"), "pairs")
+    pairs = written(led.groupBy("leader", "node").agg(F.lit(1).alias("one")).drop("one"), "pairs", gather=True)
     discard(first)
     return pairs
 
@@ -409,13 +409,13 @@ def links(docs: DataFrame, words: int = 5, threshold: int = 80, every: bool = Fa
     rows = written(described(docs, id_col, text_col, words), "rows")
     # equal sets collapse before anything is compared: a group of copies is one node
     classes = rows.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = written(classes.withColumn("node", F.col("d1")), "classes")
+    classes = written(classes.withColumn("node", F.col("d1")), "classes", gather=True)
     sets = plays(docs, text_col, words, threshold, rows.agg(F.sum("n_shingles")).first()[0] or 0)
     discard(docs)
     pairs = tile_members(sets)
-    sizes = written(pairs.groupBy("leader").agg(F.count("*").alias("n")), "tiles")
+    sizes = written(pairs.groupBy("leader").agg(F.count("*").alias("n")), "tiles", gather=True)
     large = sizes.where(F.col("n") >= TILE).withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
-    large = written(large, "large-tiles")
+    large = written(large, "large-tiles", gather=True)
     if large.isEmpty():
         members = pairs.withColumn("chunk", F.lit(0)).unionByName(sizes.select("leader", F.col("leader").alias("node"), F.lit(0).alias("chunk")))
     else:
@@ -423,11 +423,11 @@ def links(docs: DataFrame, words: int = 5, threshold: int = 80, every: bool = Fa
         spread = joined(pairs, large, ["leader"], "n", "left").select("leader", "node", F.coalesce(F.pmod(F.xxhash64("node"), F.col("chunks")), F.lit(0)).cast("int").alias("chunk"))
         heads = sizes.join(large.drop("n"), "leader", "left").select("leader", F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"))
         members = spread.unionByName(heads)
-    members = written(members, "members")
+    members = written(members, "members", gather=True)
     dealt = members.select(F.col("leader").alias("k1"), F.col("chunk").alias("k2"), F.lit(0).alias("k3"), "node", F.lit(0).cast("long").alias("side"), F.lit(0).cast("long").alias("given"))
-    found = written(_verified(dealt, sets, threshold, every), "links")
+    found = written(_verified(dealt, sets, threshold, every), "links", gather=True)
     if not large.isEmpty():
-        more = written(_across(members, large, sets, found, threshold, every), "links")
+        more = written(_across(members, large, sets, found, threshold, every), "links", gather=True)
         found = found.unionByName(more)
     discard(pairs, sizes, large, members, sets)
     return rows, classes, found.distinct()
@@ -445,19 +445,19 @@ def _across(members, large, sets, found, threshold, every) -> DataFrame:
     """
     roots = components(found.select(F.col("b").alias("node"), F.col("a").alias("root"))).withColumnRenamed("root", "own")
     top = large.join(roots, F.col("leader") == F.col("node"), "left").select("leader", F.coalesce("own", "leader").alias("top"), "chunks", "n")
-    rest = joined(members.where("node <> leader"), written(top, "tops"), ["leader"], "n").join(roots, "node", "left").withColumn("own", F.coalesce("own", "node"))
-    rest = written(rest, "large")
+    rest = joined(members.where("node <> leader"), written(top, "tops", gather=True), ["leader"], "n").join(roots, "node", "left").withColumn("own", F.coalesce("own", "node"))
+    rest = written(rest, "large", gather=True)
     loose = rest if every else rest.where("own <> top")
     some = loose.groupBy("leader").agg(F.count("*").alias("loose"), F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    some = written(some.join(large.select("leader", "n"), "leader"), "loose")
+    some = written(some.join(large.select("leader", "n"), "leader"), "loose", gather=True)
     if every:
         return _verified(_blocks(loose, rest, some, True), sets, threshold, True)
     lists, kept, entries = _lists(rest, some, sets)
     costs = lists.groupBy("leader").agg(F.sum(F.col("loose") * F.col("chunks") + F.col("n") * F.col("parts")).alias("cost"))
     costs = some.join(costs, "leader", "left").withColumn("split", F.coalesce("cost", F.lit(0)) < F.col("loose") * F.ceil(F.col("n") / TILE) + F.col("n") * F.col("parts"))
-    costs = written(costs, "costs")
+    costs = written(costs, "costs", gather=True)
     whole = costs.where("not split").select("leader", "n", "parts")
-    lists = written(lists.join(costs.where("split").select("leader"), "leader"), "split")
+    lists = written(lists.join(costs.where("split").select("leader"), "leader"), "split", gather=True)
     ways = [F.xxhash64("leader", "h").alias("k1"), "k2", "k3", "node", "side", F.col("own").alias("given")]
     left = joined(kept, lists, ["leader", "h"], "loose").withColumn("k2", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
     left = left.withColumns({"k3": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "side": F.lit(1).cast("long")}).select(*ways)
@@ -473,13 +473,13 @@ def _lists(rest: DataFrame, some: DataFrame, sets: DataFrame) -> tuple[DataFrame
     marked = joined(rest, some.select("leader", "n"), ["leader"], "n").select("leader", "node", "own", (F.col("own") != F.col("top")).alias("loose"))
     entries = written(marked.join(prefix_entries(sets, EXTRA), "node").select("leader", "h", "node", "own", "loose"), "entries")
     sizes = entries.groupBy("leader", "h").agg(F.count("*").alias("n"), F.count_if("loose").alias("loose")).where("n > 1 and loose > 0")
-    sizes = written(sizes, "sizes")
+    sizes = written(sizes, "sizes", gather=True)
     # the rows of `entries` that are loose have these weights
     of_loose = joined(entries.where("loose").drop("loose"), sizes, ["leader", "h"], "loose")
     rank = F.row_number().over(W.partitionBy("leader", "node").orderBy(F.desc("n"), "h"))
-    kept = written(of_loose.withColumn("rank", rank).where(F.col("rank") > EXTRA).select("leader", "h", "node", "own"), "kept-entries")
+    kept = written(of_loose.withColumn("rank", rank).where(F.col("rank") > EXTRA).select("leader", "h", "node", "own"), "kept-entries", gather=True)
     lists = kept.groupBy("leader", "h").agg(F.count("*").alias("loose")).join(sizes.select("leader", "h", "n"), ["leader", "h"])
-    lists = written(lists.withColumns({"parts": F.ceil(F.col("loose") / TILE).cast("int"), "chunks": F.ceil(F.col("n") / TILE).cast("int")}), "lists")
+    lists = written(lists.withColumns({"parts": F.ceil(F.col("loose") / TILE).cast("int"), "chunks": F.ceil(F.col("n") / TILE).cast("int")}), "lists", gather=True)
     return lists, kept, entries
 
 
@@ -526,10 +526,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     rows, classes, pairs = links(docs, words, threshold, False, id_col, text_col)
     roots = components(pairs.select(F.col("b").alias("node"), F.col("a").alias("root")))
     tied = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tied = written(tied.select("d1", "d2", "n_shingles", "rep", "copies", "root", (F.col("root") != F.col("node")).alias("linked")), "tied")
+    tied = written(tied.select("d1", "d2", "n_shingles", "rep", "copies", "root", (F.col("root") != F.col("node")).alias("linked")), "tied", gather=True)
     heads = tied.groupBy("root").agg(F.min("rep").alias("component_id"), F.max("linked").alias("linked"), F.count("*").alias("n")).where("linked").drop("linked")
-    heads = written(heads, "heads")
-    grouped = written(joined(tied, heads, ["root"], "n", "left").select("d1", "d2", "n_shingles", "copies", F.coalesce("component_id", "rep").alias("component_id")), "grouped")
+    heads = written(heads, "heads", gather=True)
+    grouped = written(joined(tied, heads, ["root"], "n", "left").select("d1", "d2", "n_shingles", "copies", F.coalesce("component_id", "rep").alias("component_id")), "grouped", gather=True)
     discard(classes, tied, heads)
     some = joined(rows.where("n_shingles > 0"), grouped, ["d1", "d2", "n_shingles"], "copies")
     none = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
@@ -545,7 +545,7 @@ def keep_one(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str =
     """
     near = near_duplicates(docs, words, threshold, id_col, text_col).where("doc_id is not null")
     found = near.groupBy(F.col("doc_id").alias("__fl_id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows")).where("stays")
-    found = written(found.drop("stays"), "kept")
+    found = written(found.drop("stays"), "kept", gather=True)
     # the ids grow with the documents: never broadcast, whatever the size
     kept = docs.join(found.where("rows = 1").select("__fl_id").hint("shuffle_hash"), F.col(id_col) == F.col("__fl_id"), "left_semi")
     again = docs.join(found.where("rows > 1").select("__fl_id"), F.col(id_col) == F.col("__fl_id"), "left_semi")
