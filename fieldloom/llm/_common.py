@@ -78,7 +78,8 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """df, for maps that number its rows by partition and place: a table of it, if it comes out of a shuffle.
 
     What a shuffle hands on comes in another order when a lost task is run again, and rows numbered anew
-    would not fit those that other tasks have read before. What is scanned comes in one order always.
+    would not fit those that other tasks have read before. What is scanned comes in one order always; a
+    source that does not repeat its rows without a shuffle (JDBC, rand()) must be written by the caller.
     """
     shuffled = re.search(r"\bExchange\b", df._jdf.queryExecution().executedPlan().toString())
     return written(df, name) if shuffled else df
@@ -205,8 +206,9 @@ def by_characters(texts: list[str | None], most: int) -> Iterator[list[str | Non
 
 
 def sample_rows(rows: DataFrame, limit: int, characters: int, salt: int = 7, among: DataFrame | None = None) -> list:
-    """The first `limit` of rows (doc_id, text, ...) in hash order of id and text, as many as have so many
-    characters together: a bounded sample of whole rows that any run repeats. Equal rows count once.
+    """The first `limit` of rows (doc_id, text, ...) in hash order of id and text, but for those that would
+    exceed so many characters together, so that long texts are rarer in it: a bounded sample of whole rows
+    that any run repeats. Equal rows count once.
 
     among: only rows whose doc_id it has. The driver first sees `limit` lengths, then the texts of those rows.
     """

@@ -64,6 +64,10 @@ class Vocabulary:
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
     def ranks(self) -> dict[bytes, int]:
+        """Ids by bytes, for merging by least id: ValueError where that isn't the order of the merges."""
+        made = [self.vocab[a + b] for a, b in self.merges]
+        if any(x >= y for x, y in zip(made, made[1:])):
+            raise ValueError("vocabulary file: ids do not rise with the merges")
         return {bytes(map(self.letters.__getitem__, t)): i for t, i in self.vocab.items() if t not in self.special}
 
     def spans(self, text: str) -> tuple[list[str], list[str]]:

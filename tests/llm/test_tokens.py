@@ -1,5 +1,6 @@
 """Token counts, packing and pieces against their own libraries."""
 
+import json
 from collections import defaultdict
 from zlib import crc32
 
@@ -10,8 +11,9 @@ import sentencepiece
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from fieldloom.llm.packing import SumOfSquares, materialize, pack, topped_up
+from fieldloom.llm.packing import STRIDE, SumOfSquares, materialize, pack, topped_up
 from fieldloom.llm.pieces import SPACE, Encoder, Lanes, Model, Stream, decode, encode, encoder, stream
+from fieldloom.llm import packing, tokens
 from fieldloom.llm.tokens import checked, counter_of, merged_length, token_counts
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -132,7 +134,20 @@ def test_most_ids_stay_where_the_rule_put_them(spark, monkeypatch):
     whole = sum(r["length"] for r in rows if r["start"] % 1024 == 0 and r["start"] + r["length"] == r["doc_tokens"])
     print("share of rests' ids placed whole:", whole / rests, "sequences", len(fill), "below 1024:", sum(n < 1024 for n in fill.values()))
     assert whole >= 0.9 * rests
-    assert all(n == 1024 or n & (n - 1) == 0 for n in fill.values()) and sum(n < 1024 for n in fill.values()) <= 10
+    packers = {s // STRIDE for s in fill}
+    assert len(packers) == spark.sparkContext.defaultParallelism  # fewer documents than PER_PACKER: a packer a core
+    assert all(n == 1024 or n & (n - 1) == 0 for n in fill.values()) and sum(n < 1024 for n in fill.values()) <= 10 * len(packers)
+
+
+def test_packers_follow_each_other_in_few_tasks(spark, documents, monkeypatch):
+    """Many packers, two tasks: the rows are those of a task for each."""
+    monkeypatch.setattr(packing, "PER_PACKER", 16)
+    docs = documents.select("doc_id", "text").coalesce(1)
+    want = sorted(map(tuple, pack(docs, BYTES).collect()))
+    monkeypatch.setattr(packing, "TASKS", 2)
+    few = pack(docs, BYTES)
+    assert few.rdd.getNumPartitions() == 2 and sorted(map(tuple, few.collect())) == want
+    assert len({r[5] // STRIDE for r in want}) > 10
 
 
 def test_unknown_settings_raise(tmp_path):
@@ -262,3 +277,15 @@ def test_chunks_of_one_text_without_cuts():
     e = Encoder(Model(PIECES))
     text = "internationalization" * 12
     assert np.frombuffer(e([text])[0], "<u4").tolist() == SP.encode(text)
+
+
+def test_ids_must_rise_with_merges(tmp_path):
+    """Merging by least id is not merging by rank in such a file."""
+    letters = list(tokens.byte_letters())
+    vocab = {c: i for i, c in enumerate(letters)} | {"ab": 257, "bc": 256}
+    spec = {"normalizer": None, "truncation": None, "padding": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "model": {"type": "BPE", "vocab": vocab, "merges": ["a b", "b c"]}}
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps(spec))
+    assert tokens.Counter(tokens.Vocabulary(str(path))).count("abc") == 2
+    with pytest.raises(ValueError):
+        tokens.Vocabulary(str(path)).ranks()
