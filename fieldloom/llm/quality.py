@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import written
+from ._common import discard, joined, written
 
 #: Evidence features: name -> (Spark SQL, DuckDB SQL), whole numbers; {t} is the text, {n} its
 #: characters, {w} its blank-separated words. Their bin is the bit length, at most BINS.
@@ -20,8 +20,6 @@ FEATURES = {
     "words": ("cast(size({w}) as bigint)", "cast(len({w}) as bigint)"),
 }
 BINS = 16
-#: Sites a broadcast may hold; beyond it the join is salted.
-MAX_BROADCAST_SITES, SALTS = 20_000, 16
 
 
 def _bin(sql: str) -> str:
@@ -72,24 +70,29 @@ def strength(mean: float, n: float, groups: float, spread: float) -> float:
 
 
 def sites(scored: DataFrame) -> DataFrame:
-    """(host, path, host_rate, path_rate) from (host, path, p): sums by path, then by host, then over all.
+    """(host, path, n, host_rate, path_rate) from (host, path, p), written: sums by path, then by host, then over all.
 
     A host's rate is shrunk toward the rate of all, a path's toward its host's, by strengths found
-    from the groups themselves: the fewer documents, the nearer the parent.
+    from the groups themselves: the fewer documents, the nearer the parent. n: the path's documents.
+
+    Rows are one document each, repeated ones count each. host and path are never null (site_columns);
+    a null p adds nothing but counts. An empty table gives no rows. Other columns aren't read.
     """
     paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     n, s, groups = hosts.agg(F.sum("hn"), F.sum("hs"), F.count("*")).first()
     if not n:
-        return paths.select("host", "path", F.lit(0.5).alias("host_rate"), F.lit(0.5).alias("path_rate"))
+        return paths.select("host", "path", "n", F.lit(0.5).alias("host_rate"), F.lit(0.5).alias("path_rate"))
     mean = s / n
     spread = hosts.agg(F.sum(F.col("hn") * F.pow(F.col("hs") / F.col("hn") - mean, 2)) / n).first()[0]
     k = strength(mean, n, groups, spread)
     hosts = hosts.withColumn("host_rate", (F.col("hs") + k * mean) / (F.col("hn") + k))
-    paths = paths.join(hosts.select("host", "host_rate"), "host")
-    groups, spread = paths.agg(F.count("*"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("host_rate"), 2)) / n).first()
+    rated = paths.join(hosts.select("host", "host_rate"), "host")
+    groups, spread = rated.agg(F.count("*"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("host_rate"), 2)) / n).first()
     k = strength(mean, n, groups, spread)
-    return paths.select("host", "path", "host_rate", ((F.col("s") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate"))
+    out = written(rated.select("host", "path", "n", "host_rate", ((F.col("s") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), "sites")
+    discard(paths)
+    return out
 
 
 def site_columns(docs: DataFrame, site_col: str, path_col: str) -> tuple[Column, Column]:
@@ -101,27 +104,24 @@ def site_columns(docs: DataFrame, site_col: str, path_col: str) -> tuple[Column,
     return host, path
 
 
-def _joined(df: DataFrame, site_table: DataFrame) -> DataFrame:
-    """df (__fl_host, __fl_path) with its site's rates: broadcast behind a count, else salted."""
-    named = site_table.select(F.col("host").alias("__fl_host"), F.col("path").alias("__fl_path"), F.col("host_rate").alias("__fl_host_rate"), F.col("path_rate").alias("__fl_path_rate"))
-    if named.count() <= MAX_BROADCAST_SITES:
-        return df.join(F.broadcast(named), ["__fl_host", "__fl_path"])
-    salted = named.withColumn("__fl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = F.pmod(F.xxhash64("__fl_id"), F.lit(SALTS)).cast("int")  # of the row itself: a task that runs again deals alike
-    return df.withColumn("__fl_salt", own).join(salted, ["__fl_host", "__fl_path", "__fl_salt"])
+def _rated(df: DataFrame, site_table: DataFrame) -> DataFrame:
+    """df (__fl_host, __fl_path) with its site's rates; sites of many rows are broadcast, however many sites there are."""
+    named = site_table.select(F.col("host").alias("__fl_host"), F.col("path").alias("__fl_path"), F.col("n").alias("__fl_n"), F.col("host_rate").alias("__fl_host_rate"), F.col("path_rate").alias("__fl_path_rate"))
+    return joined(df, named, ["__fl_host", "__fl_path"], "__fl_n")
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, site_col: str, path_col: str, id_col: str, text_col: str):
     host, path = site_columns(docs, site_col, path_col)
-    bins = written(with_features(docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).alias("__fl_id"), F.col(text_col).alias("text"), host.alias("__fl_host"), path.alias("__fl_path"))).drop("text"), "bins")
+    bins = written(with_features(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), host.alias("__fl_host"), path.alias("__fl_path"))).drop("text"), "bins")
     evidence = Evidence.fit(bins, labels)
     found = sites(bins.select(F.col("__fl_host").alias("host"), F.col("__fl_path").alias("path"), evidence.posterior(evidence.ratio()).alias("p")))
-    return bins, evidence, written(found, "sites")
+    return bins, evidence, found
 
 
 def _scored(df: DataFrame, evidence: Evidence, site_table: DataFrame) -> DataFrame:
+    """The ratio is found before the join: a filter by score cannot be pushed below that and inline the features."""
     rate = F.col("__fl_path_rate")
-    return _joined(df.withColumn("__fl_ratio", evidence.ratio()), site_table).withColumn("__fl_score", 1 / (1 + F.exp(-(F.col("__fl_ratio") + F.log(rate / (1 - rate))))))
+    return _rated(df.withColumn("__fl_ratio", evidence.ratio()), site_table).withColumn("__fl_score", 1 / (1 + F.exp(-(F.col("__fl_ratio") + F.log(rate / (1 - rate))))))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.2, site_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,13 +144,16 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.2, site_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.2, site_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they were, that quality() keeps; texts are read again, not shuffled, while the sites fit a broadcast.
+    """The rows of docs, all columns as they were, that quality() keeps.
+
+    Texts are read again; those of sites with over 1/1024 of all rows aren't shuffled, others once.
 
     Nulls, repeated rows, missing labels and empty tables: as quality() has them; null ids stay if they score.
     """
-    _, evidence, site_table = _fitted(docs, labels, site_col, path_col, id_col, text_col)
+    bins, evidence, site_table = _fitted(docs, labels, site_col, path_col, id_col, text_col)
+    discard(bins)
     host, path = site_columns(docs, site_col, path_col)
-    made = with_features(docs.withColumn("__fl_host", host).withColumn("__fl_path", path).withColumn("__fl_id", F.struct(F.col(id_col), F.col(text_col))), text_col)
+    made = with_features(docs.withColumn("__fl_host", host).withColumn("__fl_path", path), text_col)
     return _scored(made, evidence, site_table).where(F.col("__fl_score") >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fieldloom.llm import language, quality, toxicity
+from fieldloom.llm import _common, language, quality, toxicity
 
 
 def held(doc_id, modulus, fold):
@@ -62,8 +62,12 @@ def test_strength():
 
 def test_sites_beyond_a_broadcast(documents, labels, monkeypatch):
     want = sorted(map(tuple, quality.quality(documents, labels).collect()))
-    monkeypatch.setattr(quality, "MAX_BROADCAST_SITES", 0)
-    assert sorted(map(tuple, quality.quality(documents, labels).collect())) == want
+    plain = sorted(map(repr, quality.keep_good(documents, labels).collect()))
+    for heavy, rows in ((10**9, 0), (1, 0), (20, 0)):  # all sites are broadcast, none, some
+        monkeypatch.setattr(_common, "HEAVY", heavy)
+        monkeypatch.setattr(_common, "HEAVY_ROWS", rows)
+        assert sorted(map(tuple, quality.quality(documents, labels).collect())) == want
+        assert sorted(map(repr, quality.keep_good(documents, labels).collect())) == plain
 
 
 def test_addresses(spark):
