@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .operators.sketches import distinct_error, estimates, merged, sketched, store
 from .operators.timelines import asof_join, interval_join
 from .plans import column_of
 from .sources import read_table
@@ -79,11 +80,42 @@ def ext_rule_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _closed(spark, broken_runs(stream, "user_id", "at", "event_id", broken, 86400, "1 hour"), "runs")
 
 
-QUERIES = {f.__name__: f for f in (ext_events_asof, ext_events_asof_global, ext_events_in_windows, ext_event_windows, ext_rule_runs)}
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table of each day's and type's users, values and property strings, as sketches."""
+    events = read_table(spark, sf_dir, "events", ["ts", "event_type", "user_id", "value", "props"]).withColumn("day", F.to_date("ts"))
+    daily = sketched(events, ["event_type", "day"], {"users": "user_id", "properties": "props"}, {"amount": "value"})
+    return store(daily, scratch(spark, "sketches"), "day")
+
+
+def ext_weekly_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates for each type and week, each week and all time, out of the days' sketches alone."""
+    daily = _daily(spark, sf_dir).withColumn("week", F.to_date(F.date_trunc("week", "day")))
+    sketches = ["users", "properties"], ["amount"]
+    weekly = merged(daily, ["event_type", "week"], *sketches)
+    every = merged(weekly, ["week"], *sketches).withColumn("event_type", F.lit(None).cast("string"))
+    whole = merged(weekly, [], *sketches).withColumn("event_type", F.lit(None).cast("string")).withColumn("week", F.lit(None).cast("date"))
+    found = weekly.unionByName(every).unionByName(whole)
+    return estimates(found, sketches[0], {"amount": {"median": 0.5, "high": 0.95}})
+
+
+def ext_sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type's exact figures, and whether the merged sketches are within three standard errors of them."""
+    events = read_table(spark, sf_dir, "events", ["event_type", "user_id", "value", "props"])
+    exact = events.groupBy("event_type").agg(F.count("*").alias("rows"), F.countDistinct("user_id").alias("exact_users"), F.countDistinct("props").alias("exact_properties"))
+    found = estimates(merged(_daily(spark, sf_dir), ["event_type"], ["users", "properties"], ["amount"]), ["users", "properties"], {"amount": {"median": 0.5}})
+    ranks = events.join(found.select("event_type", "median"), "event_type").groupBy("event_type").agg((F.count_if(F.col("value") <= F.col("median")) / F.count("value")).alias("rank"))
+    near = lambda name: F.abs(F.col(name) - F.col(f"exact_{name}")) <= distinct_error() * F.col(f"exact_{name}")
+    both = exact.join(found, "event_type").join(ranks, "event_type")
+    return both.select("event_type", "rows", "exact_users", "exact_properties", (F.col("n") == F.col("rows")).alias("all_rows"), near("users").alias("users_near"), near("properties").alias("properties_near"), F.col("rank").between(0.48, 0.52).alias("median_near"))
+
+
+QUERIES = {f.__name__: f for f in (ext_events_asof, ext_events_asof_global, ext_events_in_windows, ext_event_windows, ext_rule_runs, ext_weekly_sketches, ext_sketch_bounds)}
 
 _ORDERS = "SELECT o_orderkey, o_custkey // 10 AS buyer, TIMESTAMP '2024-01-01' + to_seconds((o_orderkey * 7919) % 2592000) AS placed, o_orderpriority FROM orders"
 
 ORACLE_SQL = {
+    "ext_sketch_bounds": """SELECT event_type, count(*) AS rows, count(DISTINCT user_id) AS exact_users, count(DISTINCT props) AS exact_properties,
+        true AS all_rows, true AS users_near, true AS properties_near, true AS median_near FROM events WHERE event_type IS NOT NULL GROUP BY event_type""",
     "ext_events_asof": f"""WITH o AS ({_ORDERS}), e AS (SELECT user_id, ts, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY ALL)
         SELECT o.*, e.event_id AS last_event, e.event_type AS last_type FROM o ASOF LEFT JOIN e ON o.buyer = e.user_id AND o.placed >= e.ts""",
     "ext_events_asof_global": """WITH b AS (SELECT ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY ts),
