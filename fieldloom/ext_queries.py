@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators.sketches import distinct_error, estimates, merged, sketched, store
 from .operators.timelines import asof_join, interval_join
-from .plans import column_of
+from .operators.validate import rule_totals
+from .plans import column_of, compile_form
+from .queries import BROKEN, CUSTOMER_FORM
 from .sources import read_table
 from .sources.scratch import scratch
 from .streaming.runs import broken_runs
@@ -109,11 +111,23 @@ def ext_sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("event_type", "rows", "exact_users", "exact_properties", (F.col("n") == F.col("rows")).alias("all_rows"), near("users").alias("users_near"), near("properties").alias("properties_near"), F.col("rank").between(0.48, 0.52).alias("median_near"))
 
 
-QUERIES = {f.__name__: f for f in (ext_events_asof, ext_events_asof_global, ext_events_in_windows, ext_event_windows, ext_rule_runs, ext_weekly_sketches, ext_sketch_bounds)}
+def ext_rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What customers break, by segment and nation, by either and over all; those in debt are in no segment."""
+    customers = read_table(spark, sf_dir, "customer", ["c_name", "c_mktsegment", "c_nationkey", "c_acctbal"])
+    df = customers.withColumn("segment", F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment"))).withColumnRenamed("c_nationkey", "nation")
+    return rule_totals(df, compile_form(CUSTOMER_FORM), ["segment", "nation"], [["segment", "nation"], ["segment"], ["nation"], []])
+
+
+QUERIES = {f.__name__: f for f in (ext_events_asof, ext_events_asof_global, ext_events_in_windows, ext_event_windows, ext_rule_runs, ext_weekly_sketches, ext_sketch_bounds, ext_rule_totals)}
 
 _ORDERS = "SELECT o_orderkey, o_custkey // 10 AS buyer, TIMESTAMP '2024-01-01' + to_seconds((o_orderkey * 7919) % 2592000) AS placed, o_orderpriority FROM orders"
 
 ORACLE_SQL = {
+    "ext_rule_totals": f"""WITH b AS ({BROKEN}), r(field, rule) AS (VALUES ('c_name', 'nonalphamin'), ('c_name', 'regex'), ('c_name', 'required'), ('c_mktsegment', 'regex'), ('c_mktsegment', 'rangelength'), ('c_acctbal', 'range')),
+        c AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment, c_nationkey AS nation FROM customer)
+        SELECT segment, nation, GROUPING(segment, nation) AS grouping_id, r.field, r.rule, count(*) AS checked, count(b.c_custkey) AS broken
+        FROM c CROSS JOIN r LEFT JOIN b ON b.c_custkey = c.c_custkey AND b.field = r.field AND b.rule = r.rule
+        GROUP BY GROUPING SETS ((r.field, r.rule, segment, nation), (r.field, r.rule, segment), (r.field, r.rule, nation), (r.field, r.rule))""",
     "ext_sketch_bounds": """SELECT event_type, count(*) AS rows, count(DISTINCT user_id) AS exact_users, count(DISTINCT props) AS exact_properties,
         true AS all_rows, true AS users_near, true AS properties_near, true AS median_near FROM events WHERE event_type IS NOT NULL GROUP BY event_type""",
     "ext_events_asof": f"""WITH o AS ({_ORDERS}), e AS (SELECT user_id, ts, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY ALL)

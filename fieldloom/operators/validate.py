@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -65,3 +65,28 @@ def rule_report(df: DataFrame, form, builders: Mapping | None = None) -> DataFra
     sums = df.agg(F.count("*").alias("n"), *(F.count_if(~ok).alias(f"c{i}") for i, (_, _, ok) in enumerate(checks)))
     rows = F.array(*(F.struct(F.lit(name).alias("field"), F.lit(rule).alias("rule"), F.col("n").alias("checked"), F.col(f"c{i}").alias("broken")) for i, (name, rule, _) in enumerate(checks)))
     return sums.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def rule_totals(df: DataFrame, form, by: Sequence[str], sets: Sequence[Sequence[str]] | None = None, builders: Mapping | None = None) -> DataFrame:
+    """(by..., grouping_id, field, rule, checked, broken) for each group of each grouping set; by default the rollup of by.
+
+    Rows are counted once, by all of `by`; the sets are sums over those groups, so that what is expanded for each
+    set is groups and never rows. grouping_id has a bit for each column of by, the first the highest, set where
+    the column is summed over: that tells its NULL from a NULL in the data, which is a group of its own.
+    An empty table or a form without rules gives no rows; columns of by named like the others raise.
+    """
+    own = {"grouping_id", "field", "rule", "checked", "broken"} & {c.lower() for c in by}
+    if own:
+        raise ValueError(f"column {', '.join(sorted(own))} of by has the name of a result")
+    sets = [list(by[:i]) for i in range(len(by), -1, -1)] if sets is None else [list(s) for s in sets]
+    if unknown := {c for s in sets for c in s} - set(by):
+        raise ValueError(f"column {', '.join(sorted(unknown))} is not in by")
+    checks = _checks(form, builders)
+    if not checks:
+        return df.select(*by).where("false").selectExpr("*", "cast(0 as bigint) grouping_id", "'' field", "'' rule", "cast(0 as bigint) checked", "cast(0 as bigint) broken")
+    keys = [F.col(c).alias(f"__fl_by{i}") for i, c in enumerate(by)]
+    counted = df.groupBy(*keys).agg(F.count("*").alias("__fl_n"), *(F.count_if(~ok).alias(f"__fl_c{i}") for i, (_, _, ok) in enumerate(checks)))
+    key = {c: F.col(f"__fl_by{i}") for i, c in enumerate(by)}
+    sums = counted.groupingSets([[key[c] for c in s] for s in sets], *key.values()).agg(F.grouping_id().alias("grouping_id"), F.sum("__fl_n").alias("n"), *(F.sum(f"__fl_c{i}").alias(f"c{i}") for i in range(len(checks))))
+    rows = F.array(*(F.struct(F.lit(name).alias("field"), F.lit(rule).alias("rule"), F.col("n").alias("checked"), F.col(f"c{i}").alias("broken")) for i, (name, rule, _) in enumerate(checks)))
+    return sums.select(*(k.alias(c) for c, k in key.items()), "grouping_id", F.explode(rows).alias("r")).select(*(F.col(f"`{c}`") for c in by), "grouping_id", "r.*")

@@ -199,7 +199,7 @@ QUERIES = {
 
 _WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _SIGNS = r"""[!"#$%&''()*+,./:;<=>?@\[\\\]^`{|}~]"""
-_BROKEN = f"""
+BROKEN = f"""
   SELECT c_custkey, 'c_name' AS field, 'nonalphamin' AS rule, 'weak' AS message FROM customer WHERE len(regexp_extract_all(c_name, '[^A-Za-z0-9_]')) < 1
   UNION ALL SELECT c_custkey, 'c_name', 'regex', 'weak' FROM customer WHERE regexp_extract(c_name, '{EVEN_NAME}') <> c_name
   UNION ALL SELECT c_custkey, 'c_name', 'required', 'name?' FROM customer WHERE coalesce(c_name, '') = ''
@@ -233,11 +233,11 @@ ORACLE_SQL = {
     "request_id": """WITH v AS (SELECT event_id, coalesce(CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE event_type END, props) AS r FROM events)
         SELECT event_id, r AS request_id, r IS NOT NULL AND r <> '' AS shown FROM v""",
     "password_rule": f"SELECT c_custkey, regexp_extract(c_name, '{EVEN_NAME}') = c_name AND len(regexp_extract_all(c_name, '[^A-Za-z0-9_]')) >= 1 AS valid FROM customer",
-    "form_violations": _BROKEN,
-    "form_report": f"""WITH b AS ({_BROKEN}), r(field, rule) AS (VALUES ('c_name', 'nonalphamin'), ('c_name', 'regex'), ('c_name', 'required'), ('c_mktsegment', 'regex'), ('c_mktsegment', 'rangelength'), ('c_acctbal', 'range'))
+    "form_violations": BROKEN,
+    "form_report": f"""WITH b AS ({BROKEN}), r(field, rule) AS (VALUES ('c_name', 'nonalphamin'), ('c_name', 'regex'), ('c_name', 'required'), ('c_mktsegment', 'regex'), ('c_mktsegment', 'rangelength'), ('c_acctbal', 'range'))
         SELECT field, rule, (SELECT count(*) FROM customer) AS checked, (SELECT count(*) FROM b WHERE b.field = r.field AND b.rule = r.rule) AS broken FROM r""",
-    "form_valid": f"SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM ({_BROKEN}))",
-    "form_invalid": f"SELECT DISTINCT c_custkey FROM ({_BROKEN})",
+    "form_valid": f"SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM ({BROKEN}))",
+    "form_invalid": f"SELECT DISTINCT c_custkey FROM ({BROKEN})",
     "part_violations": """WITH v AS (SELECT p_partkey, p_name, p_brand, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN lower(p_brand) ELSE p_brand END AS again FROM part)
         SELECT p_partkey, 'p_name' AS field, 'minlength' AS rule, 'short' AS message FROM v WHERE length(p_name) BETWEEN 1 AND 9
         UNION ALL SELECT p_partkey, 'p_name', 'maxlength', 'long' FROM v WHERE length(p_name) > 16

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import Registry, default_registry, invalid_rows, rule_report, valid_rows, with_violations
+from fieldloom.operators import Registry, default_registry, invalid_rows, rule_report, rule_totals, valid_rows, with_violations
 from fieldloom.plans import Form, column_of, compile_field, compile_form, compile_forms
 from fieldloom.sources import read_table, write_split
 from fieldloom.streaming import start_split
@@ -190,3 +190,18 @@ def test_split_batch_and_stream(spark, data, tmp_path):
     for valid in ("true", "false"):
         a, b = (spark.read.parquet(str(tmp_path / kind / f"valid={valid}")).select("c_custkey").orderBy("c_custkey").collect() for kind in ("batch", "stream"))
         assert a == b and a
+
+
+def test_rule_totals_tell_null_groups(spark):
+    form = compile_form([{"name": "n", "data-val": "true", "data-val-range": "", "data-val-range-min": "1", "data-val-range-max": "5"}])
+    df = spark.createDataFrame([("a", 1, 3.0), ("a", None, 9.0), (None, 1, 9.0), (None, None, 2.0), (None, None, 7.0)], "k string, j int, n double")
+    got = {(r["k"], r["j"], r["grouping_id"]): (r["checked"], r["broken"]) for r in rule_totals(df, form, ["k", "j"]).collect()}
+    assert got == {("a", 1, 0): (1, 0), ("a", None, 0): (1, 1), (None, 1, 0): (1, 1), (None, None, 0): (2, 1), ("a", None, 1): (2, 1), (None, None, 1): (3, 2), (None, None, 3): (5, 3)}
+    apart = rule_totals(df, form, ["k", "j"], [["j"], []])
+    assert {(r["j"], r["grouping_id"], r["checked"]) for r in apart.collect()} == {(1, 2, 2), (None, 2, 3), (None, 3, 5)}
+    plan = apart._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Expand") < plan.index("partial_count_if" if "partial_count_if" in plan else "partial_count(")  # groups are expanded, not rows
+    assert rule_totals(df.limit(0), form, ["k"]).count() == 0 and rule_totals(df, compile_form([]), ["k"]).count() == 0
+    for by, sets in ((["rule"], None), (["k"], [["j"]])):
+        with pytest.raises(ValueError):
+            rule_totals(df.withColumn("rule", F.lit(1)), form, by, sets)
