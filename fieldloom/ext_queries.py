@@ -6,9 +6,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .operators.frames import frame_figures, islands
+from .operators.json_fields import json_fields
+from .operators.multisets import repeated, row_changes
+from .operators.ranking import top_rows
 from .operators.sketches import distinct_error, estimates, merged, sketched, store
 from .operators.timelines import asof_join, interval_join
-from .operators.validate import rule_totals
+from .operators.validate import rule_totals, with_violations
 from .plans import column_of, compile_form
 from .queries import BROKEN, CUSTOMER_FORM
 from .sources import read_table
@@ -118,7 +122,78 @@ def ext_rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_totals(df, compile_form(CUSTOMER_FORM), ["segment", "nation"], [["segment", "nation"], ["segment"], ["nation"], []])
 
 
-QUERIES = {f.__name__: f for f in (ext_events_asof, ext_events_asof_global, ext_events_in_windows, ext_event_windows, ext_rule_runs, ext_weekly_sketches, ext_sketch_bounds, ext_rule_totals)}
+_HOUR = 3_600_000_000
+
+
+def _cents():
+    return F.round(F.col("value") * 100).cast("bigint")
+
+
+def ext_user_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the number, sum and top value of its user's events in the day up to it."""
+    events = read_table(spark, sf_dir, "events", ["event_id", "user_id", "ts", "value"])
+    figures = {"events": F.count("*"), "cents": F.sum(_cents()), "top": F.max("value")}
+    return frame_figures(events, "ts", 24 * _HOUR, figures, ["user_id"]).drop("value")
+
+
+def ext_type_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the users of its type in the six hours up to it: few large keys, cut by time."""
+    events = read_table(spark, sf_dir, "events", ["event_id", "event_type", "user_id", "ts"])
+    figures = {"events": F.count("*"), "first_event": F.min("event_id"), "users": F.collect_set("user_id")}
+    return frame_figures(events, "ts", 6 * _HOUR, figures, ["event_type"], limit=100).drop("user_id").withColumn("users", F.size("users").cast("bigint"))
+
+
+def ext_error_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of a user that follow each other within twelve hours."""
+    events = read_table(spark, sf_dir, "events", ["user_id", "ts", "value", "event_type"]).where("event_type = 'error'")
+    return islands(events.withColumn("cents", _cents()), "ts", 12 * _HOUR, {"cents": ("sum", "cents"), "top": ("max", "value")}, ["user_id"])
+
+
+def ext_busy_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches in which some event comes every two minutes: one line without a key, cut by time."""
+    return islands(read_table(spark, sf_dir, "events", ["ts", "event_id"]), "ts", _HOUR // 30, {"first_event": ("min", "event_id")}, limit=100)
+
+
+def ext_latest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of the five latest places of each priority and status, with all that tie by day."""
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate"])
+    return top_rows(orders, ["o_orderpriority", "o_orderstatus"], [F.desc("o_orderdate")], 5)
+
+
+#: CUSTOMER_FORM with another range and without the rule of the segment's pattern.
+LATER_FORM = [CUSTOMER_FORM[0], {k: v for k, v in CUSTOMER_FORM[1].items() if "regex" not in k}, CUSTOMER_FORM[2] | {"data-val-range-max": "8000"}]
+
+
+def _rule_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = read_table(spark, sf_dir, "customer", ["c_name", "c_mktsegment", "c_acctbal"])
+    runs = [with_violations(customers, compile_form(form)).select(F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("segment"), F.explode("violations").alias("v")).select("segment", "v.field", "v.rule") for form in (CUSTOMER_FORM, LATER_FORM)]
+    return row_changes(*runs)
+
+
+def ext_rule_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many broken rules of each segment a later form keeps, loses and gains."""
+    return _rule_runs(spark, sf_dir)
+
+
+def ext_rules_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The broken rules that the later form loses, a row each."""
+    return repeated(_rule_runs(spark, sf_dir), "lost")
+
+
+def ext_event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in each event's properties, of which some are cut off, lack it or hold a word in its place."""
+    events = read_table(spark, sf_dir, "events", ["event_id", "props"])
+    kind = F.col("event_id") % 5
+    text = F.when(kind == 0, F.expr("substring(props, 1, length(props) - 1)")).when(kind == 1, F.replace("props", F.lit('"k"'), F.lit('"j"')))
+    text = text.when(kind == 2, F.regexp_replace("props", r"(\d+)", '"n$1"')).when(kind == 3, F.regexp_replace("props", r"(\d+)", '{"z": [$1]}')).otherwise(F.col("props"))
+    return json_fields(events.select("event_id", text.alias("text")), "text", {"k": ("$.k", "bigint"), "z": ("$.k.z[0]", "bigint")})
+
+
+QUERIES = {f.__name__: f for f in (ext_events_asof, ext_events_asof_global, ext_events_in_windows, ext_event_windows, ext_rule_runs, ext_weekly_sketches, ext_sketch_bounds, ext_rule_totals, ext_user_frames, ext_type_frames, ext_error_islands, ext_busy_islands, ext_latest_orders, ext_rule_changes, ext_rules_lost, ext_event_properties)}
+
+_RUNS = f"""b AS (SELECT CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment, field, rule, c_custkey, c_acctbal FROM ({BROKEN}) JOIN customer USING (c_custkey)),
+        before AS (SELECT segment, field, rule FROM b),
+        later AS (SELECT segment, field, rule FROM b WHERE NOT (field = 'c_mktsegment' AND rule = 'regex') AND (rule <> 'range' OR c_acctbal NOT BETWEEN 0 AND 8000))"""
 
 _ORDERS = "SELECT o_orderkey, o_custkey // 10 AS buyer, TIMESTAMP '2024-01-01' + to_seconds((o_orderkey * 7919) % 2592000) AS placed, o_orderpriority FROM orders"
 
@@ -151,4 +226,25 @@ ORACLE_SQL = {
         r AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY place) AS no FROM b WHERE bad)
         SELECT user_id, min(ts) AS run_start, max(ts) AS run_end, count(*) AS n FROM r GROUP BY user_id, no
         HAVING max(ts) < any_value(newest) OR date_trunc('milliseconds', max(ts) + INTERVAL 1 DAY) < any_value(p)""",
+    "ext_user_frames": """SELECT event_id, user_id, ts, count(*) OVER w AS events, cast(sum(cast(round(value * 100) AS BIGINT)) OVER w AS BIGINT) AS cents, max(value) OVER w AS top
+        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)""",
+    "ext_type_frames": """SELECT event_id, event_type, ts, count(*) OVER w AS events, min(event_id) OVER w AS first_event, count(DISTINCT user_id) OVER w AS users
+        FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)""",
+    "ext_error_islands": """WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM e)
+        SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n, cast(sum(cast(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, max(value) AS top FROM r GROUP BY user_id, no""",
+    "ext_busy_islands": """WITH e AS (SELECT ts, event_id, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) <= INTERVAL 2 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+        r AS (SELECT *, sum(fresh) OVER (ORDER BY ts) AS no FROM e)
+        SELECT min(ts) AS start, max(ts) AS "end", count(*) AS n, min(event_id) AS first_event FROM r GROUP BY no""",
+    "ext_latest_orders": """SELECT o_orderkey, o_orderpriority, o_orderstatus, o_orderdate, rank() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderdate DESC NULLS LAST) AS rank
+        FROM orders QUALIFY rank <= 5""",
+    "ext_rule_changes": f"""WITH {_RUNS}, s AS (SELECT *, 1 AS kept, 0 AS lost, 0 AS gained FROM (FROM before INTERSECT ALL FROM later)
+        UNION ALL SELECT *, 0, 1, 0 FROM (FROM before EXCEPT ALL FROM later) UNION ALL SELECT *, 0, 0, 1 FROM (FROM later EXCEPT ALL FROM before))
+        SELECT segment, field, rule, cast(sum(kept) AS BIGINT) AS kept, cast(sum(lost) AS BIGINT) AS lost, cast(sum(gained) AS BIGINT) AS gained FROM s GROUP BY ALL""",
+    "ext_rules_lost": f"WITH {_RUNS} FROM before EXCEPT ALL FROM later",
+    "ext_event_properties": r"""WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN left(props, length(props) - 1) WHEN 1 THEN replace(props, '"k"', '"j"')
+          WHEN 2 THEN regexp_replace(props, '(\d+)', '"n\1"', 'g') WHEN 3 THEN regexp_replace(props, '(\d+)', '{"z": [\1]}', 'g') ELSE props END AS text FROM events),
+        j AS (SELECT event_id, text, CASE WHEN json_valid(text) THEN text END AS doc FROM t)
+        SELECT event_id, text, try_cast(json_extract_string(doc, '$.k') AS BIGINT) AS k, try_cast(json_extract_string(doc, '$.k.z[0]') AS BIGINT) AS z,
+          CASE WHEN doc IS NULL AND text IS NOT NULL THEN 'malformed' WHEN json_extract(doc, '$.k') IS NOT NULL AND try_cast(json_extract_string(doc, '$.k') AS BIGINT) IS NULL THEN 'mistyped' END AS fault FROM j""",
 }
