@@ -33,6 +33,8 @@ APART = 0.7
 #: Lists are compared block against block, of so many vectors at least and at most; in between a block
 #: grows as STRETCH times the root of its list, so that copies for blocks stay few.
 BLOCK, LARGEST, STRETCH = 256, 16384, 8
+#: Bytes that a block's components take as doubles, at most: many dimensions make smaller blocks.
+BLOCK_BYTES = 64 << 20
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -135,6 +137,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     need no sample. Every vector is indexed. Lists are split, then compared block against block, in many
     tasks. Tasks hand back sums, and ties to the least id that their links reach, never pairs.
 
+    Lists carry ids and pivots; the vectors are joined to block pairs last. A task holds two blocks, each of
+    LARGEST vectors and BLOCK_BYTES at most.
+
     Null label; null, empty or zero vector; a null or non-finite component: linked with nothing, its
     own component. Null id: the same, component null. Repeated rows link as vectors do. An empty
     table gives no rows. Other columns aren't read.
@@ -144,7 +149,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("embedding", lambda v: v != 0)
     good = rows.where(F.coalesce(sound, F.lit(False)))
     distinct = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
-    distinct = written(distinct, "vectors")
+    # lists and blocks name a vector by its id and hash: rows of one id may hold several vectors
+    distinct = written(distinct.withColumn("vec", F.xxhash64("label", "embedding")), "vectors")
     labels = distinct.select("label").distinct().count()
     everyone = vectors.select(F.col(id_col).alias("vec_id"))
     if not labels:
@@ -166,15 +172,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
                 route = min(ROUTE, perm.shape[1])
                 at = pa.array(np.repeat(np.arange(len(x)), route))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(at), rows.column(1).take(at), rows.column(2).take(at), rows.column(3).take(at), pa.array(perm.tolist(), pa.list_(pa.int32())).take(at), pa.array(np.full(len(at), d), pa.int32()), pa.array(perm[:, :route].ravel(), pa.int32())],
-                    names=["label", "vec_id", "embedding", "copies", "pivots", "dim", "pivot"],
+                    [rows.column(0).take(at), rows.column(1).take(at), rows.column(3).take(at), rows.column(4).take(at), pa.array(perm.tolist(), pa.list_(pa.int32())).take(at), pa.array(np.full(len(at), d), pa.int32()), pa.array(perm[:, :route].ravel(), pa.int32())],
+                    names=["label", "vec_id", "copies", "vec", "pivots", "dim", "pivot"],
                 )
 
         return one
 
     label_type = distinct.schema["label"].dataType.simpleString()
-    vector_type = distinct.schema["embedding"].dataType.simpleString()
-    posted = arrow_map(distinct.select("label", "vec_id", "embedding", "copies"), make, f"label {label_type}, vec_id bigint, embedding {vector_type}, copies bigint, pivots array<int>, dim int, pivot int")
+    posted = arrow_map(distinct.select("label", "vec_id", "embedding", "copies", "vec"), make, f"label {label_type}, vec_id bigint, copies bigint, vec bigint, pivots array<int>, dim int, pivot int")
     posted = written(posted.withColumn("second", F.lit(-1)).withColumn("third", F.lit(-1)), "posted")
     keys = ["label", "dim", "pivot", "second", "third"]
     parts, old = [], [posted]
@@ -194,11 +199,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     lists = parts[0]
     for part in parts[1:]:
         lists = lists.unionByName(part)
-    blocks = lists.withColumn("blocks", F.ceil(F.col("size") / F.least(F.lit(float(LARGEST)), F.greatest(F.lit(float(BLOCK)), STRETCH * F.sqrt("size")))).cast("int"))
+    most = F.least(F.lit(float(LARGEST)), F.greatest(F.lit(1.0), F.floor(BLOCK_BYTES / (8 * F.col("dim")))))
+    blocks = lists.withColumn("blocks", F.ceil(F.col("size") / F.least(most, F.greatest(F.lit(float(BLOCK)), STRETCH * F.sqrt("size")))).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     # block pairs (i, j), i <= j: a block meets each block once
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    blocks = blocks.withColumn("pair", F.explode(pair)).select(*keys, "vec_id", "embedding", "copies", "pivots", "block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
+    blocks = blocks.withColumn("pair", F.explode(pair)).select(*keys, "vec_id", "vec", "copies", "pivots", "block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
+    # a vector itself comes in last, once for each block pair; until here its copies are narrow
+    blocks = blocks.join(distinct.select("vec_id", "vec", "embedding"), ["vec_id", "vec"]).drop("vec")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j, *key = (int(pdf[c].iloc[0]) for c in ("i", "j", "pivot", "second", "third"))

@@ -362,6 +362,27 @@ def test_lists_that_are_split_lose_nothing(spark, monkeypatch):
         assert sorted(map(tuple, pivots.near_vectors(df).collect())) == want
 
 
+def test_vectors_join_block_pairs_last(spark, monkeypatch):
+    """Lists, split or not, hold no vectors; blocks of many dimensions are small; an id may hold several vectors."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(4, 32))
+    vectors = [(i % 170, (base[i % 4] + 0.02 * rng.normal(size=32)).tolist(), i % 2) for i in range(200)]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>, label int")
+    want = sorted(map(tuple, pivots.near_vectors(df).collect()))
+    seen = {}
+
+    def noted(table, name, *rest):
+        seen.setdefault(name, []).append(table.columns)
+        return _common.written(table, name, *rest)
+
+    monkeypatch.setattr(pivots, "written", noted)
+    monkeypatch.setattr(pivots, "SPLIT", 10)
+    monkeypatch.setattr(pivots, "BLOCK_BYTES", 8 * 32 * 5)  # five vectors a block
+    assert sorted(map(tuple, pivots.near_vectors(df).collect())) == want
+    assert len(seen["posted"]) == 3 and not any("embedding" in columns for columns in seen["posted"] + seen["lists"])
+    assert [columns for columns in seen["vectors"]] == [["label", "embedding", "vec_id", "copies", "vec"]]
+
+
 def test_recall_with_many_pivots():
     """Pairs at a cosine of exactly 0.93 among 1024 pivots meet in a list and share enough pivots."""
     rng = np.random.default_rng(0)
