@@ -21,22 +21,100 @@ def _known(keys: Sequence[str], t: str) -> Column:
     return reduce(Column.__and__, held, F.coalesce(F.abs(t) < float("inf"), F.lit(False)))
 
 
-def frame_figures(df: DataFrame, at: str, back: int, figures: Mapping[str, Column], by: Sequence[str] = (), limit: int = PIECE_ROWS) -> DataFrame:
+def _framed(line: DataFrame, columns: Sequence[Column], keys: Sequence[str], back: int, figures: Mapping[str, Column], limit: int) -> DataFrame:
+    """line's columns and figures by Spark's own frames, hot keys cut into stretches."""
+    counts = line.groupBy(*keys).agg(F.count("*").alias("n"))
+    most = max(limit, (counts.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = counts.where(F.col("n") > most).drop("n")
+    found = hot.collect()  # fewer than HOT
+    copy = F.struct(F.lit(None).cast("bigint").alias("part"), F.lit(True).alias("own"))
+    if found:
+        marked = line.sparkSession.createDataFrame(found, hot.schema).withColumn("__fl_hot", F.lit(True))
+        line = line.join(F.broadcast(marked), keys, "left")
+        line = line.withColumn("__fl_copy", F.explode(F.when(F.col("__fl_hot"), _ways(back)).otherwise(F.array(copy))))
+    else:
+        line = line.withColumn("__fl_copy", copy)
+    frame = W.partitionBy(*keys, "__fl_copy.part").orderBy("__fl_t").rangeBetween(-back, 0)
+    return line.select(*columns, "__fl_copy", *(c.over(frame).alias(name) for name, c in figures.items())).where("__fl_copy.own").drop("__fl_copy")
+
+
+def _ways(back: int) -> Column:
+    """A row's own stretch of time and the next, where it is seen."""
+    part = F.floor(F.col("__fl_t") / back).cast("bigint")
+    return F.array(F.struct(part.alias("part"), F.lit(True).alias("own")), F.struct((part + 1).alias("part"), F.lit(False).alias("own")))
+
+
+def _stretched(line: DataFrame, columns: Sequence[Column], keys: Sequence[str], back: int, figures: Mapping[str, tuple[str, str | None]]) -> DataFrame:
+    """line's columns and figures, at a cost in proportion to the rows, however many rows a frame has.
+
+    Time is cut into stretches as long as the frame, so a frame is the end of one stretch and the beginning of the
+    next. A row goes to its own stretch and to the next; there one running aggregate from either side gives both parts.
+    """
+    line = line.withColumn("__fl_copy", F.explode(_ways(back))).select("*", F.col("__fl_copy.part").alias("__fl_part"), F.col("__fl_copy.own").alias("__fl_own"))
+    group = [*keys, "__fl_part"]
+    line = line.repartition(*group)  # the one shuffle: what follows is grouped by these columns or by more
+    up = W.partitionBy(*group).orderBy("__fl_t").rangeBetween(W.unboundedPreceding, W.currentRow)
+    down = W.partitionBy(*group).orderBy(F.desc("__fl_t")).rangeBetween(W.unboundedPreceding, back)
+    firsts = {}
+    for i, column in enumerate(dict.fromkeys(c for how, c in figures.values() if how == "distinct")):
+        # a value is in sight from a row of it until `back` after; starts and ends of such times, over all its rows
+        of = W.partitionBy(*group, f"`{column}`").orderBy("__fl_t")
+        value, t = F.col(f"`{column}`").isNotNull(), F.col("__fl_t")
+        before, after = F.lag("__fl_t").over(of), F.lead("__fl_t").over(of)
+        line = line.withColumns({f"__fl_start{i}": (value & F.coalesce(before < t - back, F.lit(True))).cast("int"), f"__fl_end{i}": (value & F.coalesce(t < after - back, F.lit(True))).cast("int")})
+        firsts[column] = i
+
+    ahead, behind, out = {}, {}, {}
+    for n, (name, (how, column)) in enumerate(figures.items()):
+        a, b = f"__fl_a{n}", f"__fl_b{n}"
+        if how == "distinct":
+            i = firsts[column]
+            everything = F.sum(f"__fl_end{i}").over(W.partitionBy(*group))
+            ahead[a], behind[b] = F.sum(f"__fl_start{i}").over(up), everything - F.sum(f"__fl_end{i}").over(down)
+            out[name] = F.col(a) - F.col(b)
+            continue
+        value = F.lit(1) if column is None else F.col(f"`{column}`")
+        ahead[a], behind[b] = (getattr(F, how)(F.when(own, value)).over(w) for own, w in ((F.col("__fl_own"), up), (~F.col("__fl_own"), down)))
+        if how == "count":
+            out[name] = F.col(a) + F.col(b)
+        elif how == "sum":
+            out[name] = F.coalesce(F.col(a) + F.col(b), a, b)
+        else:
+            out[name] = (F.least if how == "min" else F.greatest)(a, b)
+    return line.withColumns(ahead).withColumns(behind).where("__fl_own").select(*columns, *(c.alias(name) for name, c in out.items()))
+
+
+def frame_figures(df: DataFrame, at: str, back: int, figures: Mapping[str, Column | tuple[str, str | None]], by: Sequence[str] = (), limit: int = PIECE_ROWS) -> DataFrame:
     """df with figures over the rows of its key from `back` before its time up to its time, both included.
 
-    figures: new name -> aggregate of df's columns, such as F.sum("value"). back: microseconds, days or units,
-    above 0. Rows of one time see each other, so ties need no order; a row always sees itself and repeated rows
-    count each. A row without a key, or whose time is NULL, NaN or infinite, stays and is in no frame: its figures are
-    NULL. A name that df has raises. An empty table gives no rows.
+    figures: new name -> ("sum", "min", "max", "count" or "distinct", column), the last the number of different values
+    that are not NULL; ("count", None) counts rows. Or new name -> any aggregate of df's columns, such as F.sum("value").
+    back: microseconds, days or units, above 0. Rows of one time see each other, so ties need no order; a row always
+    sees itself and repeated rows count each. A row without a key, or whose time is NULL, NaN or infinite, stays and is
+    in no frame: its figures are NULL. A name that df has raises. An empty table gives no rows.
+
+    With named figures each row is handled a fixed number of times: all keys are cut into stretches as long
+    as the frame, and rows go to their own stretch and to the next, in one shuffle of twice the rows.
 
-    One shuffle by key. A key of over `limit` rows (or 1/HOT of all, if that is more) is cut into stretches as
-    long as the frame; its rows go to their own stretch and, to be seen, to the next: twice the rows, for those keys alone. A
-    task then holds the rows of two frames at most. Those keys, fewer than HOT, are found by counting and broadcast.
+    Spark reads a whole frame again for other aggregates, at each time anew: that is for frames of few rows. One shuffle
+    by key. A key of over `limit` rows (or 1/HOT of all, if that is more) is cut into such stretches: twice
+    the rows, for those keys alone. Those keys, fewer than HOT, are found by counting and broadcast.
+
+    In both ways a task can hold the rows of two frames.
     """
     if back <= 0:
         raise ValueError("a frame reaches back by more than 0")
+    named = [x for x in figures.values() if isinstance(x, tuple)]
+    if named and len(named) < len(figures):
+        raise ValueError("figures are named ones or aggregates, not both")
+    if wrong := {how for how, _ in named} - {"sum", "min", "max", "count", "distinct"}:
+        raise ValueError(f"{', '.join(sorted(wrong))} is no figure of a frame")
+    if any(column is None and how != "count" for how, column in named):
+        raise ValueError("only rows can be counted without a column")
     keys = [f"__fl_k{i}" for i in range(len(by) or 1)]
     own = [*keys, "__fl_t", "__fl_hot", "__fl_copy"]
+    if named:
+        own += ["__fl_part", "__fl_own", *(f"__fl_{x}{i}" for x in ("start", "end", "a", "b") for i in range(len(figures)))]
     free(df, *figures, *own)
     if taken := {x.lower() for x in figures} & set(own):
         raise ValueError(f"{', '.join(sorted(taken))} is a name of its own use")
@@ -44,23 +122,9 @@ def frame_figures(df: DataFrame, at: str, back: int, figures: Mapping[str, Colum
     rows = df.withColumns({**dict(zip(keys, values)), "__fl_t": position(F.col(f"`{at}`"), df.schema[at].dataType)})
     known = _known(keys, "__fl_t")
     line = rows.where(known)
-
-    counts = line.groupBy(*keys).agg(F.count("*").alias("n"))
-    most = max(limit, (counts.agg(F.sum("n")).first()[0] or 0) // HOT)
-    hot = counts.where(F.col("n") > most).drop("n")
-    found = hot.collect()  # fewer than HOT
-    copy = F.struct(F.lit(None).cast("bigint").alias("part"), F.lit(True).alias("own"))
-    if found:
-        marked = df.sparkSession.createDataFrame(found, hot.schema).withColumn("__fl_hot", F.lit(True))
-        line = line.join(F.broadcast(marked), keys, "left")
-        part = F.floor(F.col("__fl_t") / back).cast("bigint")
-        copies = F.array(F.struct(part.alias("part"), F.lit(True).alias("own")), F.struct((part + 1).alias("part"), F.lit(False).alias("own")))
-        line = line.withColumn("__fl_copy", F.explode(F.when(F.col("__fl_hot"), copies).otherwise(F.array(copy))))
-    else:
-        line = line.withColumn("__fl_copy", copy)
-    frame = W.partitionBy(*keys, "__fl_copy.part").orderBy("__fl_t").rangeBetween(-back, 0)
     mine = [F.col(f"`{c}`") for c in df.columns]
-    seen = line.select(*mine, "__fl_copy", *(c.over(frame).alias(name) for name, c in figures.items())).where("__fl_copy.own").drop("__fl_copy")
+
+    seen = _stretched(line, mine, keys, back, figures) if named else _framed(line, mine, keys, back, figures, limit)
     none = [F.lit(None).cast(seen.schema[name].dataType).alias(name) for name in figures]
     return seen.unionByName(rows.where(~known).select(*mine, *none))
 

@@ -165,3 +165,30 @@ def test_json(spark):
     assert json_fields(df.limit(0), "text", {}).columns == ["text", "place", "fault"]
     with pytest.raises(ValueError):
         json_fields(df, "text", {"Place": ("$.p", "int")})
+
+
+@pytest.mark.parametrize("back", [1, 60, 3000])
+@pytest.mark.parametrize("by", [["key"], []])
+def test_named_figures_of_frames(line, rows, back, by):
+    figures = {"n": ("count", None), "some": ("count", "v"), "total": ("sum", "v"), "least": ("min", "v"), "top": ("max", "v"), "kinds": ("distinct", "v")}
+    got = frame_figures(line, "at", back, figures, by)
+    expected = []
+    for r in rows:
+        if r[1] is None or not abs(r[1]) < INF or (by and r[0] is None):
+            expected.append((*r, *[None] * 6))
+            continue
+        seen = [x[2] for x in rows if x[1] is not None and abs(x[1]) < INF and (not by or x[0] == r[0]) and r[1] - back <= x[1] <= r[1]]
+        v = [x for x in seen if x is not None]
+        expected.append((*r, len(seen), len(v), sum(v) if v else None, min(v, default=None), max(v, default=None), len(set(v))))
+    assert Counter(map(repr, map(tuple, got.collect()))) == Counter(map(repr, expected))
+    assert frame_figures(line.limit(0), "at", back, figures, by).count() == 0
+
+
+def test_frames_of_many_rows_take_time_in_proportion(spark, line):
+    """200,000 rows of one frame: read again for each row they would be 20,000,000,000."""
+    df = spark.range(200_000).select(F.lit("one").alias("key"), F.col("id").cast("double").alias("at"), (F.col("id") % 1000).alias("v"))
+    got = frame_figures(df, "at", 10**6, {"n": ("count", None), "kinds": ("distinct", "v"), "least": ("min", "v")}, ["key"])
+    assert got.where("n = at + 1 and kinds = least(n, 1000) and least = 0").count() == 200_000
+    for bad in ({"n": ("mean", "v")}, {"n": ("sum", None)}, {"n": ("count", None), "m": F.count("*")}, {"__fl_a0": ("count", None)}):
+        with pytest.raises(ValueError):
+            frame_figures(line, "at", 5, bad, ["key"])
