@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import arrow_map, by_characters, fold, sample_rows, written
+from ._common import arrow_map, by_characters, fold, give_back, sample_rows, written
 from .shingles import Shingler, mix
 
 DECAY = 0.6
@@ -211,7 +211,10 @@ def fit(toxic: list[Counter], clean: list[Counter]) -> Machine:
     """
     if not toxic or not clean:
         return Machine(np.zeros(SYMBOLS**3), -1.0)
-    bags = [[sorted({v for u in d for v in windows(u.strip(EDGES)) if len(v) >= 3}) for d in docs] for docs in (clean, toxic)]
+    one: dict[str, str] = {}  # one string for each unit, whichever texts hold it
+    parts = {u: [one.setdefault(v, v) for v in windows(u.strip(EDGES)) if len(v) >= 3] for u in set().union(*toxic, *clean)}
+    bags = [[sorted({v for u in d for v in parts[u]}) for d in docs] for docs in (clean, toxic)]
+    del one, parts
     sizes = [len(clean), len(toxic)]
     grams = lambda u: {f"^{u}$"[i : i + k] for k in (4, 5) for i in range(len(u) + 3 - k)}
     own, runs = [[Counter(u for d in side for u in d) for side in bags], [Counter(), Counter()]]
@@ -279,13 +282,28 @@ def first_of_kin(texts: list[str]) -> list[bool]:
     """
     seen: set[tuple[int, int]] = set()
     out = []
-    for s in Shingler().sets(pa.array(texts, pa.string())):
-        keys = {(k, int((mix(s ^ np.uint64(k * 0x9E3779B9)) if k else s).min())) for k in range(3)} if len(s) else set()
-        out.append(seen.isdisjoint(keys))
-        seen |= keys
+    shingler = Shingler()
+    for part in by_characters(texts, CHARACTERS):
+        for s in shingler.sets(pa.array(part, pa.string())):
+            keys = {(k, int((mix(s ^ np.uint64(k * 0x9E3779B9)) if k else s).min())) for k in range(3)} if len(s) else set()
+            out.append(seen.isdisjoint(keys))
+            seen |= keys
     return out
 
 
+def bags_of(rows: list[tuple[str, bool]]) -> tuple[list[Counter], list[Counter]]:
+    """The units of toxic and of clean texts, one of each family of copies. Units that texts share are one string;
+    rows are emptied on the way, so that texts and their units are not held together."""
+    one: dict[str, str] = {}
+    bags: tuple[list[Counter], list[Counter]] = [], []
+    first = first_of_kin([t for t, _ in rows])
+    for at, (text, toxic) in enumerate(rows):
+        rows[at] = None
+        if first[at]:
+            bags[not toxic].append(Counter({one.setdefault(u, u): n for u, n in units_of(text).items()}))
+    return bags
+
+
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """Fits on a sample of labelled rows outside the held-out fold: the first FIT_TOXIC and FIT_CLEAN rows
     in hash order of id and text, as many of them as have FIT_TOTAL characters together, whole texts.
@@ -298,8 +316,10 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int =
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     known = written(known, "labels")
     rows = [(r["text"], toxic) for toxic, limit in ((True, FIT_TOXIC), (False, FIT_CLEAN)) for r in sample_rows(texts, limit, FIT_TOTAL, 3, known.where(F.col("toxic") == toxic))]
-    rows = [r for r, first in zip(rows, first_of_kin([t for t, _ in rows])) if first]
-    return fit([units_of(t) for t, toxic in rows if toxic], [units_of(t) for t, toxic in rows if not toxic])
+    machine = fit(*bags_of(rows))
+    rows.clear()
+    give_back()  # the driver goes on for long after this
+    return machine
 
 
 class scorer:

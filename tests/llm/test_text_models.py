@@ -300,3 +300,15 @@ def test_language_odd_rows(odd, empty):
     assert by[43]["lang_pred"] in {"de", "en"}
     assert language.identify(empty, field).count() == 0
     assert {r["lang_pred"] for r in language.identify(odd, language.train(empty)).collect()} == {"und"}
+
+
+def test_units_of_the_sample_are_held_once():
+    """The driver holds the sample's units: a unit is one string, texts are let go, copies count once."""
+    rows = [(f"grobnak a{i} common b{i} word c{i} here d{i} too", i % 2 == 0) for i in range(6)]
+    rows.append(rows[0])
+    texts = list(rows)
+    bags = toxicity.bags_of(rows)
+    assert rows == [None] * 7 and [len(b) for b in bags] == [3, 3]
+    assert bags == tuple([toxicity.units_of(t) for t, toxic in texts[:6] if toxic is side] for side in (True, False))
+    held = [u for side in bags for bag in side for u in bag]
+    assert len({id(u) for u in held}) == len(set(held)) < len(held)
